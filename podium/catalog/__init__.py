@@ -1,6 +1,6 @@
 """All registered queries; importing a module here registers its queries."""
 
-from . import functions_q, scoring_q  # noqa: F401
+from . import functions_q, observation_q, scoring_q  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
