@@ -82,6 +82,15 @@ def fallback_match(rows: DataFrame, keys: str, known: DataFrame, known_key: str,
     return rows.join(hits, id_col, "left")
 
 
+def event_sets(members: DataFrame) -> DataFrame:
+    """(entity, events, set_id): each entity's events, rarest first; equal sets share the smallest entity's id."""
+    events = members.groupBy("event").agg(F.count(F.lit(1)).alias("_freq"))
+    ordered = members.join(events, "event").groupBy("entity").agg(
+        F.transform(F.sort_array(F.collect_set(F.struct("_freq", "event"))), lambda s: s["event"]).alias("events"))
+    ids = ordered.groupBy("events").agg(F.min("entity").alias("set_id"))
+    return ordered.join(ids, "events")
+
+
 def co_occurrence(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs of distinct event sets whose Jaccard similarity exceeds ``threshold`` (> 0), exactly.
 
@@ -91,10 +100,7 @@ def co_occurrence(members: DataFrame, threshold: float) -> DataFrame:
     commonest events are never joined on by larger sets.  A set shared by several
     entities is listed against itself with similarity 1.
     """
-    events = members.groupBy("event").agg(F.count(F.lit(1)).alias("_freq"))
-    ordered = members.join(events, "event").groupBy("entity").agg(
-        F.transform(F.sort_array(F.collect_set(F.struct("_freq", "event"))), lambda s: s["event"]).alias("events"))
-    sets = ordered.groupBy("events").agg(F.min("entity").alias("set_id"), F.count(F.lit(1)).alias("n")) \
+    sets = event_sets(members).groupBy("set_id").agg(F.first("events").alias("events"), F.count(F.lit(1)).alias("n")) \
         .withColumn("size", F.size("events"))
     prefix = F.slice("events", 1, (F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).cast("int"))
     tokens = sets.select("set_id", "size", F.explode(prefix).alias("token"))

@@ -23,7 +23,7 @@ def input_bytes(df: DataFrame) -> int:
     jdf = getattr(df, "_jdf", None)
     if jdf is None:
         return UNKNOWN_BYTES
-    leaves = jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes()))
                for i in range(leaves.size()))
 
