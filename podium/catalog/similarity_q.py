@@ -74,7 +74,8 @@ def d02(t):
 
 def scaled_with_roles(t: Tables):
     keys = px.counted_obs(t, opponent=False).select("entity", "season").distinct()
-    return similarity.with_roles(similarity.robust_scale(features(t), SPACE), joins.role_by_season(keys, px.stints(t), 1995, 2001))
+    roles = joins.role_by_season(keys, px.stints(t), 1995, 2001)
+    return similarity.vectors(similarity.robust_scale(features(t), SPACE), roles, SPACE)
 
 
 def near_ids(t):

@@ -91,11 +91,13 @@ def robust_scale(table: DataFrame, sp: Space) -> DataFrame:
     return moved.select("entity", *[scaled(f) for f in sp.features])
 
 
-def with_roles(scaled: DataFrame, roles: DataFrame, unknown: str = "Unknown") -> DataFrame:
-    """Attach the season -> role map of known roles (one entry per season at most)."""
+def vectors(scaled: DataFrame, roles: DataFrame, sp: Space, unknown: str = "Unknown") -> DataFrame:
+    """(entity, vec, roles): the scaled features as one array in the space's order, missing ones null,
+    and the season -> role map of known roles (one entry per season at most)."""
     known = roles.where(F.col("role") != unknown).groupBy("entity").agg(
         F.map_from_entries(F.sort_array(F.collect_set(F.struct("season", "role")))).alias("roles"))
-    return scaled.join(known, "entity", "left")
+    packed = scaled.select("entity", F.array(*sp.names).alias("vec"))
+    return packed.join(known, "entity", "left")
 
 
 def role_distance(a: Column, b: Column) -> Column:
@@ -109,17 +111,17 @@ def role_distance(a: Column, b: Column) -> Column:
 
 
 def feature_terms(sp: Space, left: str, right: str) -> list[tuple[Feature, Column, Column]]:
-    """(feature, both present, capped difference) for columns with the two prefixes."""
+    """(feature, both present, capped difference) for the vectors with the two prefixes."""
     out = []
-    for f in sp.features:
-        x, y = F.col(f"{left}{f.name}"), F.col(f"{right}{f.name}")
+    for i, f in enumerate(sp.features):
+        x, y = F.get(f"{left}vec", F.lit(i)), F.get(f"{right}vec", F.lit(i))
         both = x.isNotNull() & y.isNotNull()
         out.append((f, both, F.least(F.abs(x - y) / F.lit(sp.cap), F.lit(1.0))))
     return out
 
 
 def distance(sp: Space, left: str = "a_", right: str = "b_") -> Column:
-    """Plain column arithmetic over both sides' columns; 1 when no feature is shared."""
+    """Generated arithmetic over both sides' vectors (no Python, no lambdas); 1 when no feature is shared."""
     terms = feature_terms(sp, left, right)
     weight, total = F.lit(0.0), F.lit(0.0)
     for f, both, diff in terms:
@@ -138,7 +140,7 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def pair_rows(pairs: DataFrame, scaled: DataFrame) -> DataFrame:
-    """pairs(a, b) with both sides' features under a_ and b_."""
+    """pairs(a, b) with both sides' vectors and roles under a_ and b_."""
     return pairs.join(prefixed(scaled, "a_"), F.col("a") == F.col("a_entity")).join(
         prefixed(scaled, "b_"), F.col("b") == F.col("b_entity"))
 
@@ -175,21 +177,22 @@ def _projection(sp: Space, sign: int) -> Column:
     total = F.lit(0.0)
     for i, f in enumerate(sp.features):
         anchor = -sp.cap / 2 if sign > 0 or i % 2 else sp.cap / 2
-        diff = F.least(F.abs(F.col(f.name) - F.lit(anchor)) / F.lit(sp.cap), F.lit(1.0))
-        total = total + F.when(F.col(f.name).isNotNull(), F.lit(f.weight) * diff).otherwise(F.lit(0.0))
+        x = F.get("vec", F.lit(i))
+        diff = F.least(F.abs(x - F.lit(anchor)) / F.lit(sp.cap), F.lit(1.0))
+        total = total + F.when(x.isNotNull(), F.lit(f.weight) * diff).otherwise(F.lit(0.0))
     return total
 
 
 def _profiles(scaled: DataFrame, sp: Space, k: int) -> tuple[DataFrame, DataFrame]:
     """Rows with equal features, roles and event set collapse to one profile with its k + 1 smallest members."""
-    content = F.to_json(F.struct(*[F.col(n) for n in sp.names], F.sort_array(F.map_entries("roles")).alias("roles"), F.col("set_id")))
+    content = F.to_json(F.struct("vec", F.sort_array(F.map_entries("roles")).alias("roles"), "set_id"))
     keyed = scaled.withColumn("profile", F.sha2(content, 256))
     members = keyed.select("profile", "entity")
     few = top_k(members, ["profile"], [("entity", True)], k + 1).groupBy("profile").agg(F.sort_array(F.collect_list("entity")).alias("ids"))
-    one = keyed.groupBy("profile").agg(*[F.first(n).alias(n) for n in sp.names], F.first("roles").alias("roles"), F.first("set_id").alias("set_id"))
+    one = keyed.groupBy("profile").agg(*[F.first(c).alias(c) for c in ("vec", "roles", "set_id")])
     missing = F.lit(0.0)
-    for f in sp.features:
-        missing = missing + F.when(F.col(f.name).isNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
+    for i, f in enumerate(sp.features):
+        missing = missing + F.when(F.get("vec", F.lit(i)).isNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
     rows = (one.join(few, "profile").withColumn("p1", _projection(sp, 1)).withColumn("p2", _projection(sp, -1))
             .withColumn("missing", missing))
     return rows, members

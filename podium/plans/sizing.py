@@ -9,6 +9,7 @@ alternative otherwise.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,20 +43,22 @@ def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFram
     return F.broadcast(df) if input_bytes(df) <= limit else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; make a local one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared directory of the session (a local one only in local mode)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="spark-podium-")
-    context.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in reliable storage so later branches see identical rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back.
+
+    Later branches see identical rows, lineage ends there (a lost executor re-reads files), and the
+    files give the next size check an exact answer.
+    """
+    path = workspace(df.sparkSession, "pin")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.sizing import workspace  # noqa: F401
+
 # Metadata a manifest entry must carry and the timestamp form of each precision.
 REQUIRED_METADATA = ["status", "source", "provenance", "precision", "batch_id", "version", "scope"]
 TIMESTAMP_FORMS = {"second": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "date": r"^\d{4}-\d{2}-\d{2}$"}
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared directory of the session (a local one only in local mode)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="spark-podium-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def fingerprint(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
     """(source, rows, digest) of a table's content, independent of row order and partitioning.
 
