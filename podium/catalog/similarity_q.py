@@ -149,3 +149,79 @@ SELECT entity, feature, value, CASE WHEN value IS NULL THEN NULL WHEN count(valu
 def d12(t):
     long = features(t).select("entity", *[F.round(n, 9).alias(n) for n in SPACE.names]).unpivot("entity", SPACE.names, "feature", "value")
     return association.shared_percentile(long, ["feature"], "value")
+
+
+@query("j09_similarity_join", "SELECT a, b, round(distance, 8) AS distance FROM every_pair WHERE a < b AND round(distance, 9) <= 0.12")
+def j09(t):
+    return similarity.within_distance(scaled_with_roles(t), SPACE, 0.12).withColumn("distance", F.round("distance", 8))
+
+
+@query("d07_k_medoids")
+def d07(t):
+    return clustering.cluster(scaled_with_roles(t), SPACE, 4).withColumn("distance", F.round("distance", 6)).drop("next_distance")
+
+
+def fixed_labels(points):
+    """Given labels, so that the measures can be checked on their own."""
+    return points.select("entity", (F.col("entity") % 4).alias("cluster"))
+
+
+@query("d08_silhouette", """
+WITH m AS (SELECT a, a % 4 AS ca, b % 4 AS cb, avg(distance) AS m FROM every_pair GROUP BY 1, 2, 3),
+s AS (SELECT a, max(CASE WHEN ca = cb THEN m END) AS own, min(CASE WHEN ca <> cb THEN m END) AS other FROM m GROUP BY 1)
+SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 8) AS silhouette FROM s""")
+def d08(t):
+    points = pin(scaled_with_roles(t))
+    pairs = clustering.sample_pairs(clustering.draw_samples(points, draws=1), SPACE)
+    labels = fixed_labels(points).withColumn("grp", F.lit(4)).withColumn("draw", F.lit(0))
+    return clustering.silhouette(pairs, labels).select(F.round("silhouette", 8).alias("silhouette"))
+
+
+@query("d08_medoid_silhouette")
+def d08m(t):
+    return clustering.medoid_silhouette(clustering.cluster(scaled_with_roles(t), SPACE, 4)).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("d09_choose_k")
+def d09(t):
+    return clustering.choose_k(scaled_with_roles(t), SPACE).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("d10_cluster_stability")
+def d10(t):
+    return clustering.cluster_stability(scaled_with_roles(t), SPACE, 4).withColumn("stability", F.round("stability", 6))
+
+
+@query("d11_describe_cluster", "WITH l AS (SELECT entity % 4 AS cluster, unnest([" + ", ".join(f"'{n}'" for n in SPACE.names) + "]) AS feature, unnest(["
+       + ", ".join(SPACE.names) + """]) AS value FROM scaled), m AS (SELECT cluster, feature, avg(value) AS mean FROM l GROUP BY 1, 2 HAVING avg(value) IS NOT NULL)
+SELECT cluster, feature, round(mean, 8) AS mean, CASE WHEN mean > 0 THEN 'high' ELSE 'low' END AS side, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(abs(mean), 8) DESC, feature) AS position FROM m) WHERE position <= 3""")
+def d11(t):
+    scaled = similarity.robust_scale(features(t), SPACE)
+    return clustering.describe_clusters(scaled, fixed_labels(scaled), SPACE.names).withColumn("mean", F.round("mean", 8))
+
+
+@query("d11_cluster_cowin", """
+WITH s AS (SELECT entity, list(DISTINCT event) AS events FROM placement WHERE place <= 8 GROUP BY 1), e AS (SELECT DISTINCT entity FROM totals)
+SELECT n.cluster, n.members, round(coalesce(p.j, 0) / (n.members * (n.members - 1) / 2), 8) AS mean_cowin FROM (SELECT entity % 4 AS cluster, count(*) AS members FROM e GROUP BY 1) n
+LEFT JOIN (SELECT a.entity % 4 AS cluster, sum(CAST(len(list_intersect(a.events, b.events)) AS DOUBLE) / (len(a.events) + len(b.events) - len(list_intersect(a.events, b.events)))) AS j
+  FROM s a JOIN s b ON a.entity < b.entity AND a.entity % 4 = b.entity % 4 GROUP BY 1) p ON p.cluster = n.cluster""")
+def d11c(t):
+    podium = px.placement(t).where("place <= 8").select("entity", "event")
+    labels = fixed_labels(px.entity_event(t).select("entity").distinct())
+    return clustering.cluster_cowin(labels, joins.event_sets(podium), joins.co_occurrence(podium, 0.0)).withColumn("mean_cowin", F.round("mean_cowin", 8))
+
+
+@query("d13_project_2d")
+def d13(t):
+    orient = features(t).select("entity", F.col("adjusted").alias("x_up"), F.col("career_years").alias("y_down"))
+    out = clustering.project_2d(scaled_with_roles(t), SPACE, orient)
+    return out.select("entity", *[F.round(c, 5).alias(c) for c in ("x", "y", "kept")])
+
+
+@query("d14_order_clusters", """
+SELECT cluster, members, round(mean, 8) AS mean, row_number() OVER (ORDER BY round(mean, 9), cluster) AS position FROM (
+  SELECT entity % 4 AS cluster, sum(coalesce(adjusted, 0)) / count(*) AS mean, count(*) AS members FROM features GROUP BY 1)""")
+def d14(t):
+    table = features(t)
+    return clustering.order_clusters(fixed_labels(table), table, "adjusted").withColumn("mean", F.round("mean", 8))

@@ -1 +1,262 @@
-"""placeholder"""
+"""Medoid clustering on bounded samples, silhouettes, stability, profiles and a landmark projection.
+
+Partitioning around medoids needs distances between candidates, so it runs on samples of fixed size
+(CLARA; Kaufman & Rousseeuw 1990) and every row of the table is then assigned to the chosen medoids.
+When a sample covers the table the result is the plain algorithm's.  All samples, all cluster counts
+and all bootstrap replicates advance together, one aggregation per step; only medoids (samples x k
+rows) return to the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.stats import pearson
+from ..functions.values import ratio
+from ..plans import pin
+from .boards import top_k
+from .similarity import Space, distance, prefixed
+
+SAMPLE_SIZE, DRAWS = 512, 5
+STABLE, WEAK = 0.75, 0.5
+GAIN = 1e-9
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    """A handful of driver-side values as a table."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+def draw_samples(points: DataFrame, size: int = SAMPLE_SIZE, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """(draw, entity, vec, roles): per draw the ``size`` rows with the smallest seeded hash."""
+    spread = points.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))) \
+                   .withColumn("_key", F.xxhash64("entity", "draw", F.lit(seed)))
+    return top_k(spread, ["draw"], [("_key", True), ("entity", True)], size).select("draw", "entity", "vec", "roles")
+
+
+def sample_pairs(sample: DataFrame, sp: Space) -> DataFrame:
+    """(draw, a, b, d) within each draw; a draw holds at most the sample size, so this is bounded."""
+    rows = prefixed(sample, "a_").join(prefixed(sample, "b_"), F.col("a_draw") == F.col("b_draw"))
+    d = F.when(F.col("a_entity") == F.col("b_entity"), 0.0).otherwise(distance(sp))
+    return rows.select(F.col("a_draw").alias("draw"), F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), d.alias("d"))
+
+
+def _build(pairs: DataFrame, k: int) -> dict[int, list]:
+    """Greedy start: the most central row, then whatever lowers the total cost most."""
+    spark = pairs.sparkSession
+    first = pairs.groupBy("draw", "b").agg(F.round(F.sum("d"), 9).alias("cost")).groupBy("draw").agg(
+        F.min_by("b", F.struct("cost", "b")).alias("b")).collect()
+    chosen = {r["draw"]: [r["b"]] for r in first}
+    for _ in range(1, k):
+        med = literal_rows(spark, [(d, e) for d, es in chosen.items() for e in es], ["draw", "b"])
+        near = pairs.join(med, ["draw", "b"]).groupBy("draw", "a").agg(F.min("d").alias("nd"))
+        gains = (pairs.join(near, ["draw", "a"]).join(med, ["draw", "b"], "left_anti").groupBy("draw", "b")
+                 .agg(F.round(F.sum(F.greatest(F.col("nd") - F.col("d"), F.lit(0.0))), 9).alias("gain")))
+        best = gains.groupBy("draw").agg(F.min_by("b", F.struct(-F.col("gain"), F.col("b"))).alias("b")).collect()
+        for r in best:
+            chosen[r["draw"]].append(r["b"])
+    return chosen
+
+
+def k_medoids(pairs: DataFrame, ks: Sequence[int], max_iter: int = 50) -> dict[tuple[int, int], tuple[list, float]]:
+    """{(draw, k): (medoids, cost)} by best-improvement swaps for every draw and cluster count at once."""
+    spark = pairs.sparkSession
+    start = _build(pairs, max(ks))
+    runs = [(i, d, k) for i, (d, k) in enumerate((d, k) for d in start for k in ks if len(start[d]) >= k)]
+    medoids = {i: list(start[d][:k]) for i, d, k in runs}
+    cost: dict[int, float] = {}
+    active = {i for i, _, _ in runs}
+    for _ in range(max_iter):
+        live = [(i, d, k) for i, d, k in runs if i in active]
+        if not live:
+            break
+        med = literal_rows(spark, [(i, d, s, e) for i, d, _ in live for s, e in enumerate(medoids[i])], ["run", "draw", "slot", "b"])
+        order = F.sort_array(F.collect_list(F.struct("d", "slot")))  # k entries
+        state = pairs.join(med, ["draw", "b"]).groupBy("run", "draw", "a").agg(order.alias("o")).select(
+            "run", "draw", "a", F.get("o", F.lit(0))["d"].alias("d1"), F.get("o", F.lit(0))["slot"].alias("s1"),
+            F.coalesce(F.get("o", F.lit(1))["d"], F.lit(float("inf"))).alias("d2"), F.size("o").alias("k"))
+        state = pin(state)
+        current = {r["run"]: r["c"] for r in state.groupBy("run").agg(F.sum("d1").alias("c")).collect()}
+        cost.update(current)
+        left = F.when(F.col("s1") == F.col("slot"), F.col("d2")).otherwise(F.col("d1"))
+        trial = (pairs.join(state, ["draw", "a"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+                 .groupBy("run", "slot", "b").agg(F.sum(F.least(F.col("d"), left)).alias("c"))
+                 .join(med.select("run", "b"), ["run", "b"], "left_anti"))
+        best = trial.groupBy("run").agg(F.min(F.struct(F.round("c", 9).alias("key"), "slot", "b", "c")).alias("t")).collect()
+        active = set()
+        for r in best:
+            if r["t"]["c"] < current[r["run"]] - GAIN:
+                medoids[r["run"]][r["t"]["slot"]] = r["t"]["b"]
+                cost[r["run"]] = r["t"]["c"]
+                active.add(r["run"])
+    return {(d, k): (medoids[i], cost[i]) for i, d, k in runs}
+
+
+def assign(points: DataFrame, medoids: DataFrame, sp: Space) -> DataFrame:
+    """Nearest and second-nearest medoid of every row; medoids(grp, slot, entity) is a small table.
+
+    Each row meets every medoid through an equi-join on the slot number, a fan-out of groups x k.
+    """
+    centres = medoids.join(points, "entity").withColumn("at", F.concat_ws(":", "grp", "slot"))
+    slots = [f"{r['grp']}:{r['slot']}" for r in medoids.select("grp", "slot").collect()]
+    spread = points.withColumn("at", F.explode(F.array(*[F.lit(s) for s in slots])))
+    rows = prefixed(spread, "a_").join(prefixed(centres, "b_"), F.col("a_at") == F.col("b_at"))
+    d = F.when(F.col("a_entity") == F.col("b_entity"), 0.0).otherwise(distance(sp))
+    near = rows.select(F.col("a_entity").alias("entity"), F.col("b_grp").alias("grp"), F.struct(
+        d.alias("d"), F.col("b_slot").alias("slot"), F.col("b_entity").alias("medoid")).alias("m"))
+    two = near.groupBy("grp", "entity").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # k entries
+    first, second = F.get("ms", F.lit(0)), F.get("ms", F.lit(1))
+    return two.select("grp", "entity", first["slot"].alias("cluster"), first["medoid"].alias("medoid"),
+                      first["d"].alias("distance"), second["d"].alias("next_distance"))
+
+
+def cluster(points: DataFrame, sp: Space, k: int, size: int = SAMPLE_SIZE, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Every row with its cluster, medoid and distance, from the sample whose medoids cost least overall."""
+    points = pin(points)
+    if points.count() <= size:
+        draws = 1
+    pairs = pin(sample_pairs(draw_samples(points, size, draws, seed), sp))
+    found = k_medoids(pairs, [k])
+    table = literal_rows(points.sparkSession, [(d, s, e) for (d, _), (es, _) in found.items() for s, e in enumerate(es)],
+                         ["grp", "slot", "entity"])
+    labelled = pin(assign(points, table, sp))
+    totals = labelled.groupBy("grp").agg(F.round(F.sum("distance"), 9).alias("c"))
+    best = totals.orderBy("c", "grp").first()["grp"]
+    return labelled.where(F.col("grp") == best).drop("grp")
+
+
+def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean silhouette per (grp, draw) over sample pairs; labels(grp, draw, entity, cluster).
+
+    A member of a singleton cluster counts 0, as does a labelling with one cluster.
+    """
+    mine = labels.select("grp", "draw", F.col("entity").alias("a"), F.col("cluster").alias("ca"))
+    theirs = labels.select("grp", "draw", F.col("entity").alias("b"), F.col("cluster").alias("cb"))
+    rows = pairs.where("a <> b").join(mine, ["draw", "a"]).join(theirs, ["grp", "draw", "b"])
+    per = rows.groupBy("grp", "draw", "a", "ca", "cb").agg(F.avg("d").alias("m"))
+    sides = per.groupBy("grp", "draw", "a").agg(
+        F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("other"))
+    width = F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.nullif(F.greatest("own", "other"), F.lit(0.0))), F.lit(0.0))
+    value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(width)
+    return sides.groupBy("grp", "draw").agg(F.avg(value).alias("silhouette"))
+
+
+def medoid_silhouette(labels: DataFrame) -> DataFrame:
+    """Silhouette against medoids over all rows (Lenssen & Schubert 2022): mean of 1 - nearest / second nearest."""
+    width = F.coalesce(1 - F.try_divide(F.col("distance"), F.nullif(F.col("next_distance"), F.lit(0.0))), F.lit(0.0))
+    return labels.agg(F.avg(width).alias("silhouette"), F.count(F.lit(1)).alias("rows"))
+
+
+def _labels(pairs: DataFrame, found: dict[tuple[int, int], tuple[list, float]]) -> DataFrame:
+    """(grp = k, draw, entity, cluster) of sample rows by nearest medoid."""
+    med = literal_rows(pairs.sparkSession, [(k, d, s, e) for (d, k), (es, _) in found.items() for s, e in enumerate(es)],
+                       ["grp", "draw", "cluster", "b"])
+    return pairs.join(med, ["draw", "b"]).groupBy("grp", "draw", F.col("a").alias("entity")).agg(
+        F.min(F.struct("d", "cluster"))["cluster"].alias("cluster"))
+
+
+def choose_k(points: DataFrame, sp: Space, ks: Sequence[int] = range(2, 9), size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
+    """(k, silhouette, best) on one sample, every k in the same jobs."""
+    pairs = pin(sample_pairs(draw_samples(points, size, 1, seed), sp))
+    scored = silhouette(pairs, _labels(pairs, k_medoids(pairs, list(ks)))).select(F.col("grp").alias("k"), "silhouette")
+    top = scored.agg(F.max_by("k", F.struct(F.round("silhouette", 9), -F.col("k"))).alias("_k"))
+    return scored.crossJoin(F.broadcast(top)).withColumn("best", F.col("k") == F.col("_k")).drop("_k")  # one row
+
+
+def cluster_stability(points: DataFrame, sp: Space, k: int, replicates: int = 20, size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
+    """Mean best Jaccard of each reference cluster with the clusters of bootstrap replicates.
+
+    A replicate keeps each sample row with probability 1 - 1/e, the share a resample with replacement leaves.
+    """
+    pairs = pin(sample_pairs(draw_samples(points, size, 1, seed), sp))
+    ref = _labels(pairs, k_medoids(pairs, [k])).select(F.col("entity"), F.col("cluster").alias("ref"))
+    ref = pin(ref)
+    threshold = int((1 - np.exp(-1)) * 10_000)
+    kept = ref.select("entity", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("draw")).where(
+        F.pmod(F.xxhash64("entity", "draw", F.lit(seed + 1)), F.lit(10_000)) < threshold)
+    sub = pin(pairs.drop("draw").join(kept.withColumnRenamed("entity", "a"), "a")
+              .join(kept.withColumnRenamed("entity", "b"), ["draw", "b"]).select("draw", "a", "b", "d"))
+    lab = _labels(sub, k_medoids(sub, [k])).join(ref, "entity")
+    inter = lab.groupBy("draw", "ref", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    ref_n = lab.groupBy("draw", "ref").agg(F.count(F.lit(1)).alias("rn"))
+    new_n = lab.groupBy("draw", "cluster").agg(F.count(F.lit(1)).alias("cn"))
+    j = inter.join(ref_n, ["draw", "ref"]).join(new_n, ["draw", "cluster"]).withColumn("j", F.col("n") / (F.col("rn") + F.col("cn") - F.col("n")))
+    best = j.groupBy("draw", "ref").agg(F.max("j").alias("j")).groupBy("ref").agg((F.sum("j") / replicates).alias("stability"))
+    sizes = ref.groupBy("ref").agg(F.count(F.lit(1)).alias("members"))
+    tag = F.when(F.col("stability") >= STABLE, "STABLE").when(F.col("stability") >= WEAK, "weak").otherwise("UNSTABLE")
+    return sizes.join(best, "ref", "left").fillna(0.0, ["stability"]).withColumn("tag", tag).withColumnRenamed("ref", "cluster")
+
+
+def describe_clusters(scaled: DataFrame, labels: DataFrame, names: Sequence[str], k: int = 3) -> DataFrame:
+    """The k features whose mean scaled value is furthest from the median, per cluster."""
+    long = scaled.join(labels.select("entity", "cluster"), "entity").unpivot(["entity", "cluster"], list(names), "feature", "value")
+    means = long.groupBy("cluster", "feature").agg(F.avg("value").alias("mean")).where("mean IS NOT NULL") \
+        .withColumn("_size", F.round(F.abs("mean"), 8))
+    return top_k(means, ["cluster"], [("_size", False), ("feature", True)], k).select(
+        "cluster", "position", "feature", "mean", F.when(F.col("mean") > 0, "high").otherwise("low").alias("side"))
+
+
+def cluster_cowin(labels: DataFrame, sets: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Mean pairwise co-win similarity inside each cluster, from set-level overlaps (threshold 0)."""
+    counts = labels.join(sets.select("entity", "set_id"), "entity", "left").groupBy("cluster", "set_id").agg(F.count(F.lit(1)).alias("n"))
+    size = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    a = counts.select("cluster", "set_id", F.col("n").alias("na"))
+    b = counts.select("cluster", F.col("set_id").alias("other_id"), F.col("n").alias("nb"))
+    met = overlaps.select("set_id", "other_id", "jaccard").join(a, "set_id").join(b, ["cluster", "other_id"])
+    weight = F.when(F.col("set_id") == F.col("other_id"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
+    total = met.groupBy("cluster").agg(F.sum(F.col("jaccard") * weight).alias("_sum"))
+    return size.join(total, "cluster", "left").select(
+        "cluster", "members", F.coalesce(F.try_divide(F.col("_sum"), F.col("members") * (F.col("members") - 1) / 2), F.lit(0.0)).alias("mean_cowin"))
+
+
+def order_clusters(labels: DataFrame, metric: DataFrame, column: str) -> DataFrame:
+    """Clusters numbered by the mean of a metric (missing counts as zero)."""
+    means = labels.join(metric.select("entity", column), "entity", "left").groupBy("cluster").agg(
+        ratio(F.sum(F.coalesce(F.col(column), F.lit(0.0))), F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("members"))
+    ranked = top_k(means.withColumn("_m", F.round("mean", 9)), [], [("_m", True), ("cluster", True)], 1 << 20, "position")  # k rows
+    return ranked.drop("_m")
+
+
+def project_2d(points: DataFrame, sp: Space, orient: DataFrame, size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
+    """Two coordinates per row by landmark scaling (de Silva & Tenenbaum 2004), in -1..1.
+
+    The eigenvectors come from the landmarks' squared distances (size x size numbers on the driver);
+    every row is then placed by one weighted sum over its distances to the landmarks.  With all rows
+    as landmarks this is classical scaling.  orient(entity, x_up, y_down) fixes the signs.
+    """
+    points = pin(points)
+    marks = pin(draw_samples(points, size, 1, seed).drop("draw"))
+    pairs = sample_pairs(marks.withColumn("draw", F.lit(0)), sp).select("a", "b", "d").toPandas()
+    d2 = pairs.pivot(index="a", columns="b", values="d").sort_index().sort_index(axis=1) ** 2
+    ids, m = list(d2.index), d2.to_numpy()
+    n = len(ids)
+    centre = np.eye(n) - np.ones((n, n)) / n
+    values, vecs = np.linalg.eigh(-0.5 * centre @ m @ centre)
+    order = np.argsort(values)[::-1]
+    values, vecs = values[order], vecs[:, order]
+    top = np.maximum(values[:2], 1e-12)
+    kept = float(values[:2].sum() / values[values > 0].sum()) if (values > 0).any() else 0.0
+    place, mean = vecs[:, :2] / np.sqrt(top), m.mean(axis=0)
+    coef = literal_rows(points.sparkSession, [(e, float(place[i, 0]), float(place[i, 1]), float(mean[i])) for i, e in enumerate(ids)],
+                        ["entity", "cx", "cy", "mu"])
+    landmark = coef.join(marks, "entity").withColumn("at", F.col("entity"))
+    spread = points.withColumn("at", F.explode(F.array(*[F.lit(e) for e in ids])))
+    rows = prefixed(spread, "a_").join(prefixed(landmark, "b_"), F.col("a_at") == F.col("b_at"))
+    d = F.when(F.col("a_entity") == F.col("b_entity"), 0.0).otherwise(distance(sp))
+    shift = d * d - F.col("b_mu")
+    xy = rows.groupBy(F.col("a_entity").alias("entity")).agg(
+        (-0.5 * F.sum(F.col("b_cx") * shift)).alias("x"), (-0.5 * F.sum(F.col("b_cy") * shift)).alias("y"))
+    xy = pin(xy)
+    signs = xy.join(orient, "entity", "left").agg(
+        F.coalesce(pearson(F.col("x"), F.coalesce("x_up", F.lit(0.0))) < 0, F.lit(False)).alias("fx"),
+        F.coalesce(pearson(F.col("y"), F.coalesce("y_down", F.lit(0.0))) > 0, F.lit(False)).alias("fy"),
+        F.max(F.abs("x")).alias("mx"), F.max(F.abs("y")).alias("my"))
+    def scaled(c: str, flip: str, limit: str):
+        v = F.try_divide(F.col(c), F.nullif(F.col(limit), F.lit(0.0)))
+        return F.when(F.col(flip), -v).otherwise(v).alias(c)
+    return xy.crossJoin(F.broadcast(signs)).select("entity", scaled("x", "fx", "mx"), scaled("y", "fy", "my"), F.lit(kept).alias("kept"))  # one row

@@ -268,3 +268,29 @@ def nearest(scaled: DataFrame, sp: Space, k: int, sets: DataFrame | None = None,
     offers = members.join(best.unionByName(own), "profile").where(F.col("entity") != F.col("other"))
     return top_k(offers.drop("profile"), ["entity"], [("distance", True), ("other", True)], k) \
         .withColumn("score", F.round((1 - F.col("distance")) * 100, 6))
+
+
+def within_distance(scaled: DataFrame, sp: Space, limit: float) -> DataFrame:
+    """(a, b, distance) of every pair a < b no further apart than ``limit``, exactly.
+
+    The same projection bound as ``nearest`` with one radius for all rows; only pairs in touching
+    cells are measured.  Rows with equal content are measured once per pair of contents.
+    """
+    rows, members = _profiles(scaled.withColumn("set_id", F.lit(None).cast("long")), sp, 1)
+    rows = pin(rows)
+    reach = F.lit(limit / (1 - sp.role_weight) + SLACK)
+    def cells(lo: Column, hi: Column) -> tuple[Column, Column]:
+        clip = lambda c: F.least(F.greatest(F.floor(c * CELLS), F.lit(0)), F.lit(CELLS)).cast("int")
+        return clip(lo), clip(hi)
+    lo_p, hi_p = cells(F.col("p1") - F.col("missing"), F.col("p1") + F.col("missing"))
+    lo_q, hi_q = cells(F.col("p1") - F.col("missing") - reach, F.col("p1") + F.col("missing") + reach)
+    a = prefixed(rows.withColumn("first", lo_q).withColumn("cell", F.explode(F.sequence(lo_q, hi_q))), "a_")
+    b = prefixed(rows.withColumn("first", lo_p).withColumn("cell", F.explode(F.sequence(lo_p, hi_p))), "b_")
+    slack = reach + F.col("a_missing") + F.col("b_missing")
+    close = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_cell") == F.greatest("a_first", "b_first")) \
+        & (F.abs(F.col("a_p1") - F.col("b_p1")) <= slack) & (F.abs(F.col("a_p2") - F.col("b_p2")) <= slack)
+    d = F.when((F.col("a_profile") == F.col("b_profile")) & (F.col("a_missing") < 1 - SLACK), 0.0).otherwise(distance(sp))
+    found = a.join(b, close).select("a_profile", "b_profile", d.alias("distance")).where(F.round("distance", 9) <= limit)
+    one, two = members.select(F.col("profile").alias("a_profile"), F.col("entity").alias("a")), members.select(
+        F.col("profile").alias("b_profile"), F.col("entity").alias("b"))
+    return found.join(one, "a_profile").join(two, "b_profile").where("a < b").select("a", "b", "distance")
