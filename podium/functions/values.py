@@ -87,7 +87,7 @@ def split_of(mode: Column) -> Column:
 def career_position(first: Column, at: Column, last: Column) -> Column:
     """Where a date falls between two others, clamped to 0..1; null without a positive span."""
     span = F.date_diff(last, first)
-    return F.when(span > 0, F.least(F.greatest(F.date_diff(at, first) / span, F.lit(0.0)), F.lit(1.0)))
+    return F.when((span > 0) & at.isNotNull(), F.least(F.greatest(F.date_diff(at, first) / span, F.lit(0.0)), F.lit(1.0)))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

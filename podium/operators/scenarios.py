@@ -31,7 +31,7 @@ def consensus_index(ranked: DataFrame) -> DataFrame:
 
 def _share_of(value: Column, best: Column) -> Column:
     """0-100 relative to the largest value; null without a value or a positive maximum."""
-    return F.when(best > 0, F.greatest(F.lit(0.0), value / best * 100))
+    return F.when((best > 0) & value.isNotNull(), F.greatest(F.lit(0.0), value / best * 100))
 
 
 def lanes(entities: DataFrame, seasons: DataFrame, context: DataFrame, entered: DataFrame, ranked: DataFrame,
