@@ -29,7 +29,7 @@ cte("lane_in", """
 SELECT x.selection_id, s.s_suppkey AS entity, coalesce(p.adjusted, 0) AS adjusted, coalesce(p.titles, 0) AS titles, p.skill_input, coalesce(p.ws, 0) AS winning_seasons, coalesce(p.rs, 0) AS ranked_seasons,
   p.peak, p.peak_season, coalesce(n.n, 0) AS longevity_input, coalesce(p.adjusted, 0) + coalesce(p.titles, 0) * 2 AS resume_input
 FROM supplier s CROSS JOIN (SELECT DISTINCT selection_id FROM sel) x
-LEFT JOIN (SELECT selection_id, entity, round(sum(title_adjusted), 9) AS adjusted, CAST(sum(coalesce(titles, 0)) AS BIGINT) AS titles, round(sum(points), 9) AS skill_input, count(wins) AS ws, count(points) AS rs,
+LEFT JOIN (SELECT selection_id, entity, round(sum(title_adjusted), 9) AS adjusted, CAST(sum(coalesce(titles, 0)) AS BIGINT) AS titles, sum(points) AS skill_input, count(wins) AS ws, count(points) AS rs,
    max(peak_score) AS peak, arg_max(season, round(peak_score, 9) * 1000 - idx * 1e-9) AS peak_season FROM peaks GROUP BY 1, 2) p ON p.selection_id = x.selection_id AND p.entity = s.s_suppkey
 LEFT JOIN (SELECT selection_id, entity, count(DISTINCT season) AS n FROM totals JOIN sel USING (season) GROUP BY 1, 2) n ON n.selection_id = x.selection_id AND n.entity = s.s_suppkey""")
 cte("laned", """
@@ -41,12 +41,12 @@ FROM lane_in WINDOW s AS (PARTITION BY selection_id)""")
 
 @query("m01_composite_score", """
 WITH z AS (SELECT *, round(resume * 0.5 + skill * 0.3 + longevity * 0.1 + peak_lane * 0.1, 9) AS sc FROM laned WHERE winning_seasons > 0 OR ranked_seasons > 0)
-SELECT selection_id, entity, round(adjusted, 6) AS adjusted, titles, round(resume, 6) AS resume, round(skill, 6) AS skill, round(longevity, 6) AS longevity, round(peak_lane, 6) AS peak, peak_season,
+SELECT selection_id, entity, round(adjusted, 6) AS adjusted, titles, round(resume, 8) AS resume, round(skill, 8) AS skill, round(longevity, 8) AS longevity, round(peak_lane, 8) AS peak, peak_season,
   round(sc, 6) AS score, row_number() OVER (PARTITION BY selection_id ORDER BY sc DESC, adjusted DESC, entity) AS position FROM z""")
 def m01(t):
     rows = scenarios.composite_score(lane_table(t))
     return rows.select("selection_id", "entity", F.round("adjusted", 6).alias("adjusted"), "titles",
-                       *[F.round(c, 6).alias(c) for c in ("resume", "skill", "longevity", "peak")], "peak_season", F.round("score", 6).alias("score"), "position")
+                       *[F.round(c, 8).alias(c) for c in ("resume", "skill", "longevity", "peak")], "peak_season", F.round("score", 6).alias("score"), "position")
 
 
 @query("m02_consensus_index", """
@@ -58,7 +58,7 @@ def m02(t):
 
 
 @query("m03_lane_leaders", """
-WITH l AS (SELECT selection_id, entity, unnest(['resume', 'skill', 'longevity', 'peak']) AS lane, unnest([resume_input, skill_input, longevity_input, round(peak_lane, 9)]) AS value FROM laned)
+WITH l AS (SELECT selection_id, entity, unnest(['resume', 'skill', 'longevity', 'peak']) AS lane, unnest([resume_input, round(skill_input, 9), longevity_input, round(peak_lane, 9)]) AS value FROM laned)
 SELECT selection_id, lane, entity AS leader, round(value, 6) AS value FROM l WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY selection_id, lane ORDER BY value DESC, entity) = 1""")
 def m03(t):
     return scenarios.lane_leaders(lane_table(t)).withColumn("value", F.round("value", 6))

@@ -55,7 +55,7 @@ def lanes(entities: DataFrame, seasons: DataFrame, context: DataFrame, entered:
         + F.coalesce(_share_of(F.col("points"), F.col("max_points")), F.lit(NEUTRAL))) / 2)
     per = scored.groupBy("selection_id", "entity").agg(
         F.round(F.sum("title_adjusted"), 9).alias("adjusted"), F.sum(F.coalesce("titles", F.lit(0))).alias("titles"),
-        F.round(F.sum("points"), 9).alias("skill_input"), F.count("wins").alias("winning_seasons"), F.count("points").alias("ranked_seasons"),
+        F.sum("points").alias("skill_input"), F.count("wins").alias("winning_seasons"), F.count("points").alias("ranked_seasons"),
         F.max_by(F.struct("season", "peak_score"), F.struct(F.round("peak_score", 9), -F.col("idx"))).alias("_peak"))
     played = entered.select("entity", "season").distinct().join(selection, "season").groupBy("selection_id", "entity").agg(
         F.count(F.lit(1)).alias("longevity_input"))
@@ -93,7 +93,7 @@ def composite_score(table: DataFrame, lane_weights: Mapping[str, float] | None =
 
 def lane_leaders(table: DataFrame) -> DataFrame:
     """The entity that owns each lane's maximum (the smallest on a tie)."""
-    long = table.select("selection_id", "entity", F.col("resume_input").alias("resume"), F.col("skill_input").alias("skill"),
+    long = table.select("selection_id", "entity", F.col("resume_input").alias("resume"), F.round("skill_input", 9).alias("skill"),
                         F.col("longevity_input").cast("double").alias("longevity"), F.round("peak", 9).alias("peak")) \
         .unpivot(["selection_id", "entity"], ["resume", "skill", "longevity", "peak"], "lane", "value").where("value IS NOT NULL")
     return long.groupBy("selection_id", "lane").agg(F.max_by("entity", F.struct("value", -F.col("entity"))).alias("leader"),
