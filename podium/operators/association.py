@@ -33,7 +33,7 @@ def conditional_rates(obs: DataFrame) -> DataFrame:
         F.count_if(even).alias("even_maps"), F.count_if(even & won).alias("even_wins"),
         F.count_if(down).alias("down_maps"), F.count_if(down & won).alias("down_wins"),
         F.count(kd).alias("_known"), pearson(kd, y).alias("ratio_corr"), pearson(good, y).alias("good_corr"),
-        pearson(bad, y).alias("bad_corr"), F.count_distinct(won).alias("_outcomes"),
+        pearson(bad, y).alias("bad_corr"), (F.coalesce((F.bool_or(won) != F.bool_and(won)).cast("int"), F.lit(0)) + 1).alias("_outcomes"),
         (F.coalesce((F.min(kd) < F.max(kd)).cast("int"), F.lit(0)) + 1).alias("_values"))
     out = grouped.withColumn("mode", F.when(F.col("_gid") == 1, ALL_MODES).otherwise(F.col("mode")))
     other_maps, other_wins = F.col("even_maps") + F.col("down_maps"), F.col("even_wins") + F.col("down_wins")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, weights
 from ..functions.values import ratio
-from ..plans import competition_rank, exact_quantile, row_rank
+from ..plans import competition_rank, exact_quantile, pin, row_rank
 
 
 def ballot_entries(votes: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def ballot_weights(ballots: DataFrame) -> DataFrame:
 
 def weighted_ballots(entries: DataFrame, ballot_weight: DataFrame) -> DataFrame:
     """Average ballot score per (source, entity); ballots that leave the entity out count as zero."""
+    ballot_weight = pin(ballot_weight)  # one row per ballot, used twice
     totals = ballot_weight.groupBy("source_id").agg(F.sum("weight").alias("_total"), F.count(F.lit(1)).alias("ballots"))
     summed = (entries.join(ballot_weight.select("ballot_id", "weight"), "ballot_id")
               .groupBy("source_id", "entity").agg(F.sum(F.col("points") * F.col("weight")).alias("_sum")))
@@ -137,6 +138,7 @@ def evidence_summary(sources: DataFrame, entries: DataFrame, claims: DataFrame,
     claimed = claims.join(seeded, "source_id").withColumn("is_claim", F.lit(True)).withColumn("rank", F.lit(None).cast("int"))
     cols = ["source_id", "family", "season", "entity", "rank", "tags", "is_claim"]
     facts = listed.select(*cols).unionByName(claimed.select(*cols))
+    facts = pin(facts)  # feeds four aggregations
     all_time = (F.col("family") == "authored_all_time_ranking") & ~F.col("is_claim")
     in_title = (F.col("family") == "authored_title_ranking") & ~F.col("is_claim")
     main = facts.groupBy("entity").agg(

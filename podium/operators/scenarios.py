@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import weights
 from ..functions.values import ratio
-from ..plans import competition_rank, prefix_counts, row_rank
+from ..plans import competition_rank, pin, prefix_counts, row_rank
 from ..plans.ordered import join_null_safe
 from .boards import top_k
 
@@ -46,6 +46,7 @@ def lanes(entities: DataFrame, seasons: DataFrame, context: DataFrame, entered:
     scale = calendar.groupBy("selection_id").agg(ratio(F.sum("denom"), F.count(F.lit(1))).alias("mean"))
     results = seasons.select("entity", "season", "wins", "titles").join(
         ranked.select("entity", "season", weights.season_points(F.col("rank")).alias("points")), ["entity", "season"], "full")
+    results = pin(results)  # one row per entity and season, used three times below
     titles = (results.join(calendar, "season").join(scale, "selection_id")
               .withColumn("title_adjusted", F.coalesce(ratio(F.col("wins"), F.col("denom")) * F.col("mean"), F.lit(0.0)))
               .withColumn("title_input", F.col("title_adjusted") + F.coalesce("titles", F.lit(0)) * (ring - 1)))
@@ -63,6 +64,7 @@ def lanes(entities: DataFrame, seasons: DataFrame, context: DataFrame, entered:
     rows = (everyone.join(per, ["selection_id", "entity"], "left").join(played, ["selection_id", "entity"], "left")
             .fillna(0, ["adjusted", "titles", "winning_seasons", "ranked_seasons", "longevity_input"])
             .withColumn("resume_input", F.col("adjusted") + F.col("titles") * (ring - 1)))
+    rows = pin(rows)
     tops = rows.groupBy("selection_id").agg(*[F.max(f"{c}_input").alias(f"_{c}") for c in ("resume", "skill", "longevity")])
     rows = rows.join(tops, "selection_id")
     for lane in ("resume", "skill", "longevity"):
