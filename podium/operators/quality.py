@@ -88,8 +88,8 @@ def observation_id(df: DataFrame, id_col: str = "stat_id", base: Sequence[str] =
                                                F.lit("")) for c in base]))
     rows = df.withColumn("_sig", F.sha2(sig, 256)).withColumn("_base", F.sha2(base_text, 256)) \
              .withColumn("_order", sig).withColumn("_up", upstream)
-    contents = rows.where("_up IS NULL").select("_base", "_sig", "_order").distinct()
-    ranked = prefix_counts(contents, ["_base"], [("_order", True)]).select(
+    contents = rows.where("_up IS NULL").select("_base", "_order")
+    ranked = prefix_counts(contents, ["_base"], [("_order", True)], dense=True).select(
         "_base", "_order", (F.col("n_before") + 1).alias("_rank"))
     ranked = ranked.withColumn("_sig", F.sha2("_order", 256)).drop("_order")
     joined = rows.join(ranked, ["_base", "_sig"], "left")

@@ -46,13 +46,17 @@ def _before(weight: str, partition: Sequence[str], order: list[Column]) -> Colum
     return F.coalesce(F.sum(weight).over(frame), F.lit(0)).cast("long")
 
 
-def prefix_counts(df: DataFrame, groups: Sequence[str], order: Order, weight: str | None = None) -> DataFrame:
+def prefix_counts(df: DataFrame, groups: Sequence[str], order: Order, weight: str | None = None,
+                  dense: bool = False) -> DataFrame:
     """Distinct order keys per group with ``n_same`` rows and ``n_before`` rows strictly ahead.
 
+    ``dense`` counts distinct keys instead of rows.
     With ``weight`` both are sums of that column, so rows of weight 0 can ask where they would stand.
     """
     names = [c for c, _ in order]
     size = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
+    if dense:
+        size = F.max(F.lit(1)).cast("long")
     keys = df.groupBy(*groups, *names).agg(size.alias("n_same"))
     if is_small(df):
         return keys.withColumn("n_before", _before("n_same", groups, sort_columns(order)))
