@@ -391,3 +391,13 @@ def c19(t):
     kept, dropped = quality.exclude_groups(group_obs(t), MAP_KEY, members, ["team", "team_vs"])
     rows = kept.groupBy("season").agg(F.count(F.lit(1)).alias("kept_rows"))
     return rows.join(dropped.groupBy("season").agg(F.count(F.lit(1)).alias("dropped_maps")), "season", "full").fillna(0)
+
+
+@query("u02_symmetric_difference", """
+WITH a AS (SELECT DISTINCT season, entity FROM wins), b AS (SELECT season, entity FROM placement WHERE place = 2 GROUP BY 1, 2)
+SELECT season, entity, 'left_only' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT season, entity, 'right_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def u02(t):
+    """Entities that won in a season but were never second in it, and the reverse."""
+    placed = px.placement(t)
+    return quality.reconcile_sets(placed.where("place = 1").select("season", "entity"), placed.where("place = 2").select("season", "entity"), ["season", "entity"])
