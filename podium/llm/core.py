@@ -143,3 +143,29 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 def bucket(doc_id: np.ndarray) -> np.ndarray:
     """A stable 64-bit hash of document ids."""
     return mix(doc_id.astype(np.int64).view(U) * U(0xA0761D6478BD642F) + U(0xE7037ED1A0B428DB))
+
+
+TABLE_2 = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+
+
+def running_2(data: np.ndarray) -> np.ndarray:
+    """As ``running``, of an independent second hash."""
+    pow_, _ = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(TABLE_2[data] * pow_[:len(data)], out=sums[1:])
+    return sums
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the \\n-split lines of each text, and the text of each; an empty text has one empty line."""
+    marks = np.flatnonzero(data == 0x0A)
+    n = len(offsets) - 1
+    starts = np.concatenate([offsets[:-1], marks + 1])
+    doc = np.concatenate([np.arange(n), np.searchsorted(offsets, marks, "right") - 1])
+    order = np.lexsort((starts, doc))
+    starts, doc = starts[order], doc[order]
+    ends = np.empty_like(starts)
+    ends[:-1] = starts[1:] - 1
+    last = np.flatnonzero(np.diff(doc, append=n))
+    ends[last] = offsets[doc[last] + 1]
+    return starts, ends, doc

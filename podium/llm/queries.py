@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import line_dedup, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,19 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
+@_register
+def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, path, "documents"))
+
+
+ORACLES["op5_line_dedup"] = line_dedup.SQL
+
+
 @_register
 def op7_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, path, "documents"), _table(spark, path, "labels"))
+
+
+@_register
+def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
+    return packing.pack(_table(spark, path, "documents"))
