@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules
+from . import line_dedup, packing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op7_quality_rules(spark: SparkSession, path: str) -> DataFrame:
 @_register
 def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(_table(spark, path, "documents"))
+
+
+@_register
+def op10_secret_scans(spark: SparkSession, path: str) -> DataFrame:
+    return secret_scan.digest(_table(spark, path, "documents"))
