@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_rules, secret_scan
+from . import decontaminate, line_dedup, packing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
+@_register
+def op3_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
+
+
 @_register
 def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return line_dedup.digest(_table(spark, path, "documents"))
