@@ -6,6 +6,7 @@ Every stage but the last returns the columns of documents; a stage's result is w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from podium.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
 from podium.llm.tables import pin
@@ -18,7 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated windows of lines; those with no line left go."""
-    return line_dedup.without_repeats(docs)
+    cut = line_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality_rules, secret_scan
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
 ORACLES["op5_line_dedup"] = line_dedup.SQL
 
 
+@_register
+def op6_language_id(spark: SparkSession, path: str) -> DataFrame:
+    return language_id.language_id(_table(spark, path, "documents"))
+
+
 @_register
 def op7_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, path, "documents"), _table(spark, path, "labels"))
