@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
+from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op7_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, path, "documents"), _table(spark, path, "labels"))
 
 
+@_register
+def op8_html_extraction(spark: SparkSession, path: str) -> DataFrame:
+    return html_text.extract(_table(spark, path, "pages"))
+
+
 @_register
 def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(_table(spark, path, "documents"))
