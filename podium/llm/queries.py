@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan
+from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
+@_register
+def op1_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, path, "documents"))
+
+
 @_register
 def op2_ngram_jaccard_join(spark: SparkSession, path: str) -> DataFrame:
     return jaccard_join.linked(_table(spark, path, "documents"), n=3, num=90, den=100)
