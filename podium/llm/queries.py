@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, suffix_dedup
+from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, phrase_dedup, quality_rules, secret_scan, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op3_benchmark_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
 
 
+@_register
+def op4_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return phrase_dedup.digest(_table(spark, path, "documents"))
+
+
 @_register
 def op5_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     return line_dedup.digest(_table(spark, path, "documents"))
