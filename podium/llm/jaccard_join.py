@@ -9,8 +9,8 @@ empty; ``SPARE`` partitions beyond the pigeonhole make sure that a set with few
 more emits its empty subsets too, so no link is lost.
 
 Equal sets are one class. Within the documents of a signature each class is compared with the group's leader, not with all others; classes
-already in one component need no further comparison. Leaders change for ``ROUNDS`` rounds; after them the pairs of a
-signature that still lie in different components, and whose sizes allow a link, are compared one by one, so the components are
+already in one component need no further comparison. New leaders are taken until the pairs that still lie in different components are no more than ``FEW``
+times the rows they come from (or for ``ROUNDS`` rounds); these, where their sizes allow a link, are compared one by one, so the components are
 exact. Every comparison is the exact intersection of the two sets, in the JVM.
 
 Defined results: null or wordless text has an empty set, linked with nothing; fewer words than n form one shingle; a doc_id
@@ -32,7 +32,7 @@ from .tables import ROW, pin, row_id
 
 PARTS, SPARE = 3, 2
 SMALL_K = 12
-ROUNDS = 4
+ROUNDS, FEW = 6, 8
 U = core.U
 
 
@@ -101,50 +101,35 @@ def _plain(documents: DataFrame) -> DataFrame:
     return documents.select(row_id().alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def keys(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, id, n_shingles, k1, k2): a 128-bit key for each set, null for an empty one."""
+def signatures(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, id, n_shingles, k1, k2, sigs): size, 128-bit key (null for an empty set) and signatures of each document's set."""
 
     def emit(batches):
+        bands = Bands(num, den)
         for batch in batches:
             size = np.zeros(batch.num_rows, np.int64)
             both = np.zeros((2, batch.num_rows), np.int64)
+            found, many = [np.zeros(0, U)], np.zeros(batch.num_rows + 1, np.int32)
             for row, s in _sets(batch.column(2), n):
                 size[row] = len(s)
-                both[0, row] = core.mix(s).sum(dtype=U).astype(U).view(np.int64)
+                sums = np.zeros(len(s) + 1, U)
+                np.cumsum(core.mix(s), out=sums[1:])
+                both[0, row] = sums[-1].view(np.int64)
                 both[1, row] = core.mix(s * core.STEP + U(1)).sum(dtype=U).view(np.int64)
-            empty = size == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(k, mask=empty) for k in both)],
-                                             ["doc_id", "id", "n_shingles", "k1", "k2"])
-
-    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(emit, "doc_id long, id long, n_shingles long, k1 long, k2 long")
-
-
-def signatures(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, id) of every document."""
-
-    def emit(batches):
-        bands = Bands(num, den)
-        for batch in batches:
-            ids, found, rows, held = batch.column(0).to_numpy(), [], [], 0
-            for row, s in _sets(batch.column(1), n):
                 edges = bands.edges(1 << max(len(s), 2).bit_length())
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
-                sums = np.zeros(len(s) + 1, U)
-                np.cumsum(core.mix(s), out=sums[1:])
                 for j in (band, band + 1):
                     top = int(edges[j + 1]) - 1
                     sig = _signatures(s, sums, bands.difference(top, top), j)
                     found.append(sig)
-                    rows.append(np.full(len(sig), ids[row]))
-                    held += len(sig)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["sig", "id"])
-                    found, rows, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["sig", "id"])
+                    many[row + 1] += len(sig)
+            empty = size == 0
+            sigs = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(k, mask=empty) for k in both), sigs],
+                                             ["doc_id", "id", "n_shingles", "k1", "k2", "sigs"])
 
-    return _plain(documents).mapInArrow(emit, "sig long, id long")
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(emit, "doc_id long, id long, n_shingles long, k1 long, k2 long, sigs array<long>")
 
 
 def shingle_sets(documents: DataFrame, n: int) -> DataFrame:
@@ -159,19 +144,16 @@ def shingle_sets(documents: DataFrame, n: int) -> DataFrame:
     return _plain(documents).mapInArrow(emit, "id long, shingles array<long>")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that links (a, b) reach from each node. Labels move along links and jump to their label's label."""
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
-    labels = pin(nodes.select("id", F.col("id").alias("comp")))
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp): the smallest label that links (a, b) reach from each node. Labels move along links and jump to their label's label."""
+    edges = links.select("a", "b").union(links.select("b", "a"))
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        stepped = labels.join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("other", "comp")).alias("next"))
+        stepped = pin(labels.join(near, "id", "left").select("id", "comp", F.least("comp", F.coalesce("other", "comp")).alias("next")))
+        if stepped.where("comp <> next").isEmpty():
+            return stepped.select("id", "comp")
         jump = stepped.select(F.col("id").alias("next"), F.col("next").alias("root"))
-        moved = pin(stepped.join(jump, "next", "left").select("id", F.least("next", F.coalesce("root", "next")).alias("comp"), "comp"
-                                                              ).toDF("id", "comp", "was"))
-        labels = moved.select("id", "comp")
-        if moved.where("comp <> was").isEmpty():
-            return labels
+        labels = stepped.join(jump, "next", "left").select("id", F.least("next", F.coalesce("root", "next")).alias("comp"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -185,44 +167,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents."""
-    known = pin(keys(documents, n))
+    known = pin(signatures(documents, n, num, den))
     classes = known.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("class"), F.min("n_shingles").alias("n"))
-    sigs = signatures(documents, n, num, den)
-    shared = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
     chosen = classes.select(F.col("class").alias("id"), "n").groupBy("id").agg(F.max("n").alias("most"), F.min("n").alias("least"))
-    members = pin(sigs.join(shared, "sig").join(chosen, "id").distinct())
-    wide = members.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
-    members = pin(members.join(wide, "sig"))
-    nodes = pin(members.select("id").distinct())
-    sets = pin(shingle_sets(documents.withColumn(ROW, row_id()).join(nodes.withColumnRenamed("id", ROW), ROW, "left_semi"), n).distinct())
-    labels, links, tried = nodes.select("id", F.col("id").alias("comp")), None, None
-    for turn in range(ROUNDS + 1):
-        rows = members.join(labels, "id")
-        open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        rows = rows.join(open_, "sig")
-        if turn < ROUNDS:
-            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            first = F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least"))
-            heads = rows.groupBy("sig").agg(first.alias("h")).select("sig", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "comp", "most", "least")])
+    sigs = known.select(F.explode("sigs").alias("sig"), "id")
+    shared = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+    members = sigs.join(shared, "sig").join(chosen, "id").distinct()
+    nodes = pin(members.groupBy("id").agg(F.collect_set("sig").alias("sigs"), F.first("most").alias("most"), F.first("least").alias("least")))
+    members = nodes.select(F.explode("sigs").alias("sig"), "id", "most", "least")
+    sets = pin(shingle_sets(documents.withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi"), n).distinct())
+    labels, links, tried, turn = nodes.select("id", F.col("id").alias("comp")), None, None, 0
+    while True:
+        rows = pin(members.join(labels, "id"))
+        parts = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("comps")).where("comps > 1")
+        open_ = pin(parts.select("sig", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"))
+        left = open_.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
+        if not left["pairs"]:
+            break
+        rows = rows.join(open_.select("sig"), "sig")
+        last = turn >= ROUNDS or left["pairs"] <= FEW * left["rows"]
+        if last:
+            heads = rows
         else:
-            heads = rows.toDF("h_id", "sig", "h_most", "h_least", "h_comp") if rows.columns == ["id", "sig", "most", "least", "comp"] else rows.select(
-                "sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least")])
+            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            heads = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least")).alias("h")).select("sig", "h.id", "h.comp", "h.most", "h.least")
+        heads = heads.select("sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least")])
         fits = (F.col("comp") != F.col("h_comp")) & (den * F.col("most") >= num * F.col("h_least")) & (den * F.col("h_most") >= num * F.col("least"))
         pairs = (rows.join(heads, "sig").where(fits)
                  .select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pin(pairs)
-        if pairs.isEmpty():
-            if turn < ROUNDS and not open_.isEmpty():
-                continue
-            break
+        pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = pin(_verified(pairs, sets, num, den))
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
-        labels = components(nodes, links)
+        labels = components(labels, links)
+        if last:
+            break
+        turn += 1
     named = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("k1", "k2", F.coalesce("comp", "class").alias("component_id"))
-    return known.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known.drop("sigs").join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
