@@ -10,8 +10,8 @@ more emits its empty subsets too, so no link is lost.
 
 Equal sets are one class. Within the documents of a signature each class is compared with the group's leader, not with all others; classes
 already in one component need no further comparison. New leaders are taken until the pairs that still lie in different components are no more than ``FEW``
-times the rows they come from (or for ``ROUNDS`` rounds); these, where their sizes allow a link, are compared one by one, so the components are
-exact. Every comparison is the exact intersection of the two sets, in the JVM.
+times the rows they come from (or for ``ROUNDS`` rounds); these are compared one by one, so the components are exact. A pair is
+compared only if its sizes allow a link and so do the shingles that either set shares with no other candidate: all of them count as difference. Every comparison is the exact intersection of the two sets, in the JVM.
 
 Defined results: null or wordless text has an empty set, linked with nothing; fewer words than n form one shingle; a doc_id
 that repeats with other text takes, row by row, the component of its own text; a null doc_id counts as the least id and is returned as
@@ -32,7 +32,7 @@ from .tables import ROW, pin, row_id
 
 PARTS, SPARE = 3, 2
 SMALL_K = 12
-ROUNDS, FEW = 6, 8
+ROUNDS, FEW = 2, 8
 U = core.U
 
 
@@ -176,9 +176,11 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     nodes = pin(members.groupBy("id").agg(F.collect_set("sig").alias("sigs"), F.first("most").alias("most"), F.first("least").alias("least")))
     members = nodes.select(F.explode("sigs").alias("sig"), "id", "most", "least")
     sets = pin(shingle_sets(documents.withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi"), n).distinct())
+    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    own = pin(nodes.select("id").join(single.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own")))
     labels, links, tried, turn = nodes.select("id", F.col("id").alias("comp")), None, None, 0
     while True:
-        rows = pin(members.join(labels, "id"))
+        rows = pin(members.join(labels, "id").join(own, "id"))
         parts = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("comps")).where("comps > 1")
         open_ = pin(parts.select("sig", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"))
         left = open_.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
@@ -189,10 +191,11 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         if last:
             heads = rows
         else:
-            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            heads = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least")).alias("h")).select("sig", "h.id", "h.comp", "h.most", "h.least")
-        heads = heads.select("sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least")])
-        fits = (F.col("comp") != F.col("h_comp")) & (den * F.col("most") >= num * F.col("h_least")) & (den * F.col("h_most") >= num * F.col("least"))
+            rank = F.col("own") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            heads = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least", "own")).alias("h")).select("sig", "h.id", "h.comp", "h.most", "h.least", "h.own")
+        heads = heads.select("sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least", "own")])
+        fits = ((F.col("comp") != F.col("h_comp")) & (den * F.col("most") >= num * F.col("h_least")) & (den * F.col("h_most") >= num * F.col("least"))
+                & ((den + num) * (F.col("own") + F.col("h_own")) <= (den - num) * (F.col("most") + F.col("h_most"))))
         pairs = (rows.join(heads, "sig").where(fits)
                  .select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
         pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
