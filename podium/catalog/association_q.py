@@ -270,16 +270,16 @@ def run_obs(t):
 
 
 cte("robs", """
-SELECT entity, season, event || '-' || (series % 2) AS event, date, series, line, mode, map, split, good, bad, won FROM obs WHERE won IS NOT NULL""")
+SELECT entity, season, event || '-' || (series % 2) AS event, date, series, line, mode, map, split, good, bad, won FROM obs WHERE won IS NOT NULL""", materialized=True)
 cte("runs", """
 SELECT season, date, event, sum(n) OVER (PARTITION BY season ORDER BY date, event ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT season, date, event, CASE WHEN event = lag(event) OVER (PARTITION BY season ORDER BY date, event) THEN 0 ELSE 1 END AS n
-  FROM (SELECT DISTINCT season, date, event FROM robs))""")
+  FROM (SELECT DISTINCT season, date, event FROM robs))""", materialized=True)
 cte("hist", """
 SELECT season, entity, scope, run, sum(g) OVER w AS g, sum(b) OVER w AS b, sum(m) OVER w AS m FROM (
   SELECT r.season, entity, scope, run, sum(good) AS g, sum(bad) AS b, count(*) AS m FROM (SELECT *, unnest(['overall', split]) AS scope FROM robs) r
   JOIN runs u ON u.season = r.season AND u.date = r.date AND u.event = r.event GROUP BY 1, 2, 3, 4)
-WINDOW w AS (PARTITION BY season, entity, scope ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+WINDOW w AS (PARTITION BY season, entity, scope ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", materialized=True)
 cte("prior", """
 SELECT r.*, u.run, CASE WHEN o.m >= 20 THEN o.m END AS om, CASE WHEN o.m >= 20 THEN o.g END AS og, CASE WHEN o.m >= 20 THEN o.b END AS ob,
   CASE WHEN s.m >= CASE r.split WHEN 'snd' THEN 5 ELSE 14 END THEN s.m END AS sm, CASE WHEN s.m >= CASE r.split WHEN 'snd' THEN 5 ELSE 14 END THEN s.g END AS sg,

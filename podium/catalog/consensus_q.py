@@ -18,28 +18,25 @@ COVERAGE = "CASE season % 3 WHEN 0 THEN 'end_of_title' WHEN 1 THEN 'late_season'
 
 
 def all_ballots(t: Tables):
-    """One ballot per order with lines; sources are (season, priority)."""
+    """One ballot per order with lines; sources are (season, priority), and each single ballot is a source of its own."""
     placed = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     rows = t("orders").join(placed, "o_orderkey", "left_semi").selectExpr(
         "o_orderkey AS ballot_id", "year(o_orderdate) AS season", "o_orderpriority AS priority",
         "CAST(floor(o_totalprice) AS INT) % 101 - 50 AS score")
-    return rows.selectExpr("concat(season, ':', priority) AS source_id", "ballot_id", "season", "priority", "score", f"{KIND} AS kind")
+    source = f"concat(season, ':', priority, CASE WHEN {KIND} = 'single_community_ballot' THEN concat(':', ballot_id) ELSE '' END)"
+    return rows.selectExpr(f"{source} AS source_id", "ballot_id", "season", "priority", "score", f"{KIND} AS kind")
 
 
 def ballots(t: Tables):
-    """Ballots that count: a single-ballot source keeps its first one."""
-    rows = all_ballots(t).where("kind <> 'community_aggregate_survey'")
-    first = rows.where("kind = 'single_community_ballot'").groupBy("source_id").agg(F.min("ballot_id").alias("_first"))
-    return rows.join(first, "source_id", "left").where("_first IS NULL OR ballot_id = _first").drop("_first")
+    """All ballots but the surveys' answers, which are tallied as votes."""
+    return all_ballots(t).where("kind <> 'community_aggregate_survey'")
 
 
 cte("allballots", f"""
-SELECT season || ':' || priority AS source_id, *, {KIND} AS kind FROM (
+SELECT season || ':' || priority || CASE WHEN {KIND} = 'single_community_ballot' THEN ':' || ballot_id ELSE '' END AS source_id, *, {KIND} AS kind FROM (
   SELECT o_orderkey AS ballot_id, CAST(year(o_orderdate) AS INTEGER) AS season, o_orderpriority AS priority, CAST(floor(o_totalprice) AS INTEGER) % 101 - 50 AS score
   FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))""")
-cte("ballots", """
-SELECT * FROM allballots b WHERE kind = 'community_thread_cluster' OR (kind = 'single_community_ballot' AND ballot_id = (
-  SELECT min(ballot_id) FROM allballots x WHERE x.source_id = b.source_id))""")
+cte("ballots", "SELECT * FROM allballots WHERE kind <> 'community_aggregate_survey'")
 
 
 def votes(t: Tables, chosen):

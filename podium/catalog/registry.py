@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+MATERIALIZED: set[str] = set()
 
 
 class Tables:
@@ -21,9 +22,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
 
-def cte(name: str, sql: str) -> None:
-    """Define shared SQL; later definitions may use earlier ones."""
+def cte(name: str, sql: str, materialized: bool = False) -> None:
+    """Define shared SQL; later definitions may use earlier ones. A materialized one is computed once for all its uses."""
     CTES[name] = sql
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def with_ctes(sql: str) -> str:
@@ -36,7 +39,7 @@ def with_ctes(sql: str) -> str:
                 needed.add(name)
                 visit(CTES[name])
     visit(sql)
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n]})" for n in CTES if n in needed]
     body = sql.strip()
     if not parts:
         return body

@@ -12,15 +12,15 @@ from .registry import Tables, cte, query
 
 def lane_table(t: Tables):
     ctx = px.context(t)
-    ranked = consensus_table(t).where("rank <= 30").select("entity", "season", "rank")
+    ranked = consensus_table(t).select("entity", "season", "rank")
     entities = t("supplier").select(F.col("s_suppkey").alias("entity"))
     return scenarios.lanes(entities, px.entity_seasons(t), ctx, px.entity_event(t), ranked, scoring.era_selection(ctx, 2000))
 
 
-cte("cons30", "SELECT entity, season, rank, pow(greatest(0.0, (31 - rank) / 30.0), 2.5) AS points FROM cons WHERE rank <= 30")
+cte("consp", "SELECT entity, season, rank, pow(greatest(0.0, (31 - rank) / 30.0), 2.5) AS points FROM cons")
 cte("titles_in", """
 SELECT selection_id, m.mean, idx, season, entity, wins, titles, points, coalesce(wins / denom * mean, 0) + coalesce(titles, 0) * 2 AS title_input, coalesce(wins / denom * mean, 0) AS title_adjusted
-FROM (SELECT entity, season, e.wins, e.titles, c.points FROM es e FULL JOIN cons30 c USING (entity, season)) JOIN sel USING (season)
+FROM (SELECT entity, season, e.wins, e.titles, c.points FROM es e FULL JOIN consp c USING (entity, season)) JOIN sel USING (season)
 JOIN (SELECT season, denom, idx FROM ctx) USING (season) JOIN (SELECT selection_id, sum(denom) / count(*) AS mean FROM sel JOIN ctx USING (season) GROUP BY 1) m USING (selection_id)""")
 cte("peaks", """
 SELECT *, (coalesce(CASE WHEN mi > 0 THEN greatest(0, title_input / mi * 100) END, 50) + coalesce(CASE WHEN mp > 0 AND points IS NOT NULL THEN greatest(0, points / mp * 100) END, 50)) / 2 AS peak_score
@@ -51,9 +51,9 @@ def m01(t):
 
 @query("m02_consensus_index", """
 SELECT entity, count(*) AS ranked_seasons, round(sum(points), 8) AS points, round(sum(points) / count(*), 8) AS quality, min(rank) AS best_rank, 31 - min(rank) AS best_rank_score,
-  count(*) FILTER (rank <= 3) / count(*) AS top3_rate, count(*) FILTER (rank <= 5) / count(*) AS top5_rate FROM cons30 GROUP BY entity""")
+  count(*) FILTER (rank <= 3) / count(*) AS top3_rate, count(*) FILTER (rank <= 5) / count(*) AS top5_rate FROM consp GROUP BY entity""")
 def m02(t):
-    rows = scenarios.consensus_index(consensus_table(t).where("rank <= 30"))
+    rows = scenarios.consensus_index(consensus_table(t))
     return rows.withColumn("points", F.round("points", 8)).withColumn("quality", F.round("quality", 8))
 
 

@@ -30,11 +30,11 @@ def features(t: Tables):
     placed = scoring.placement_summary(px.placement(t).withColumn("place_x2", F.col("place") * 2)).where("season IS NULL") \
         .select("entity", "win_rate", "finals_rate", "deep_rate")
     grains = {k: observation.GRAINS[k] for k in ("overall", "split")}
-    stats = observation.stat_grains(px.counted_obs(t, opponent=False).where("season % 4 <> entity % 4"), grains) \
+    stats = observation.stat_grains(px.counted_obs(t, opponent=False), grains) \
         .withColumn("split", F.coalesce("split", F.lit("overall")))
     skill = similarity.skill_features(stats)
     career = scoring.career_span(px.entity_event(t)).select("entity", "career_years")
-    teams = px.counted_obs(t).where("good > 40").groupBy("entity").agg(F.count_distinct("team_vs").alias("distinct_teams"))
+    teams = px.counted_obs(t).groupBy("entity").agg(F.count_distinct("team_vs").alias("distinct_teams"))
     path = career.join(teams, "entity", "left").withColumn("tenure", similarity.tenure(F.col("career_years"), F.col("distinct_teams")))
     return pin(similarity.feature_table(career, [won, peak, placed, skill, path], SPACE.names))
 
@@ -48,8 +48,8 @@ LEFT JOIN (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY entity ORDER
 LEFT JOIN (SELECT entity, CASE WHEN count(*) >= 25 THEN sum(good) / sum(bad) END AS skill_ratio,
    CASE WHEN count(*) FILTER (split = 'respawn') >= 25 THEN sum(good) FILTER (split = 'respawn') / sum(bad) FILTER (split = 'respawn') END AS skill_respawn,
    CASE WHEN count(*) FILTER (split = 'snd') >= 25 THEN sum(good) FILTER (split = 'snd') / sum(bad) FILTER (split = 'snd') END AS skill_snd,
-   CASE WHEN count(*) >= 25 THEN (sum(good) + sum(bad)) / count(*) END AS skill_total FROM cobs WHERE season % 4 <> entity % 4 GROUP BY 1) k ON k.entity = c.entity
-LEFT JOIN (SELECT entity, count(DISTINCT team_vs) AS n FROM cobs WHERE good > 40 GROUP BY 1) t ON t.entity = c.entity""")
+   CASE WHEN count(*) >= 25 THEN (sum(good) + sum(bad)) / count(*) END AS skill_total FROM cobs GROUP BY 1) k ON k.entity = c.entity
+LEFT JOIN (SELECT entity, count(DISTINCT team_vs) AS n FROM cobs GROUP BY 1) t ON t.entity = c.entity""")
 ROUNDED = ", ".join(f"round({n}, 8) AS {n}" for n in SPACE.names)
 
 
@@ -78,10 +78,9 @@ def scaled_with_roles(t: Tables):
     return similarity.vectors(similarity.robust_scale(features(t), SPACE), roles, SPACE)
 
 
-def near_ids(t):
-    """Pairs of entities of the same nation."""
-    s = t("supplier").select(F.col("s_suppkey").alias("a"), "s_nationkey")
-    return s.join(s.withColumnRenamed("a", "b"), "s_nationkey").where("a < b").select("a", "b")
+def near_ids(points):
+    """Every entity with its six nearest others."""
+    return similarity.nearest(points, SPACE, 6).select(F.col("entity").alias("a"), F.col("other").alias("b"))
 
 
 cte("role_seasons", """
@@ -93,31 +92,32 @@ SELECT x.a, x.b, r.role_distance, CASE WHEN w IS NULL OR w = 0 THEN 1.0 WHEN r.r
   FROM scaled a JOIN scaled b ON a.entity <> b.entity) x
 LEFT JOIN (SELECT a.entity AS a, b.entity AS b, avg(CASE WHEN a.role = b.role THEN 0.0 WHEN 'Flex' IN (a.role, b.role) THEN 0.5 ELSE 1.0 END::DOUBLE) AS role_distance
   FROM role_seasons a JOIN role_seasons b ON a.season = b.season AND a.entity <> b.entity GROUP BY 1, 2) r ON r.a = x.a AND r.b = x.b""")
-cte("mates_pairs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+cte("ranked_pairs", "SELECT a AS entity, b AS other, round(distance, 9) AS distance, row_number() OVER (PARTITION BY a ORDER BY round(distance, 9), b) AS position FROM every_pair")
+cte("near_pairs", "SELECT entity AS a, other AS b FROM ranked_pairs WHERE position <= 6")
 
 
-@query("d03_pair_distance", "SELECT a, b, round(distance, 8) AS distance FROM every_pair JOIN mates_pairs USING (a, b)")
+@query("d03_pair_distance", "SELECT a, b, round(distance, 8) AS distance FROM every_pair JOIN near_pairs USING (a, b)")
 def d03(t):
-    return similarity.pair_distance(near_ids(t), scaled_with_roles(t), SPACE).select("a", "b", F.round("distance", 8).alias("distance"))
+    points = pin(scaled_with_roles(t))
+    return similarity.pair_distance(near_ids(points), points, SPACE).select("a", "b", F.round("distance", 8).alias("distance"))
 
 
-@query("d04_role_distance", "SELECT a, b, round(role_distance, 8) AS role_distance FROM every_pair JOIN mates_pairs USING (a, b)")
+@query("d04_role_distance", "SELECT a, b, round(role_distance, 8) AS role_distance FROM every_pair JOIN near_pairs USING (a, b)")
 def d04(t):
-    return similarity.pair_distance(near_ids(t), scaled_with_roles(t), SPACE).select("a", "b", F.round("role_distance", 8).alias("role_distance"))
+    points = pin(scaled_with_roles(t))
+    return similarity.pair_distance(near_ids(points), points, SPACE).select("a", "b", F.round("role_distance", 8).alias("role_distance"))
 
 
 @query("d05_explain", """
 WITH p AS (SELECT m.a, m.b, unnest([""" + ", ".join(f"'{n}'" for n in SPACE.names) + """, 'role']) AS label, unnest(["""
        + ", ".join(f"CASE WHEN x.{f.name} IS NOT NULL AND y.{f.name} IS NOT NULL THEN {f.weight * (1 - SPACE.role_weight)!r}::DOUBLE * least(abs(x.{f.name} - y.{f.name}) / 4.0, 1.0) END" for f in SPACE.features)
-       + """, CASE WHEN e.role_distance > 0 THEN 0.07 * e.role_distance END]) AS amount FROM mates_pairs m JOIN scaled x ON x.entity = m.a JOIN scaled y ON y.entity = m.b
+       + """, CASE WHEN e.role_distance > 0 THEN 0.07 * e.role_distance END]) AS amount FROM near_pairs m JOIN scaled x ON x.entity = m.a JOIN scaled y ON y.entity = m.b
   JOIN every_pair e ON e.a = m.a AND e.b = m.b),
 k AS (SELECT *, sum(amount) OVER (PARTITION BY a, b) AS total, row_number() OVER (PARTITION BY a, b ORDER BY round(amount, 9) DESC, label) AS position FROM p WHERE amount IS NOT NULL)
 SELECT a, b, CAST(position AS INTEGER) AS position, label, round(CASE WHEN total > 0 THEN amount / total ELSE 0 END, 6) AS share FROM k WHERE position <= 3""")
 def d05(t):
-    return similarity.explain(near_ids(t), scaled_with_roles(t), SPACE).withColumn("share", F.round("share", 6))
-
-
-cte("ranked_pairs", "SELECT a AS entity, b AS other, round(distance, 9) AS distance, row_number() OVER (PARTITION BY a ORDER BY round(distance, 9), b) AS position FROM every_pair")
+    points = pin(scaled_with_roles(t))
+    return similarity.explain(near_ids(points), points, SPACE).withColumn("share", F.round("share", 6))
 
 
 @query("d06_nearest", "SELECT entity, other, distance, position FROM ranked_pairs WHERE position <= 6")

@@ -111,15 +111,20 @@ def s08(t):
 
 
 FINGER = """SELECT '{0}' AS source, count(*) AS rows, CAST(sum(CAST(CAST('0x' || substr(sha256({1}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM {0}"""
-SOURCES = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "customer": ["c_custkey", "c_name", "c_mktsegment"],
-           "lineitem": ["l_orderkey", "l_suppkey", "l_returnflag"], "part": ["p_partkey", "p_name", "p_brand"]}
-cte("prints", " UNION ALL ".join(FINGER.format(s, " || '|' || ".join(c)) for s, c in SOURCES.items()))
+SOURCES = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "lineitem": "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+}
+FIELD = "coalesce(length(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+cte("prints", " UNION ALL ".join(FINGER.format(s, " || ".join(FIELD.format(c) for c in columns.split())) for s, columns in SOURCES.items()))
 
 
 def prints(t):
     out = None
     for name, columns in SOURCES.items():
-        one = publish.fingerprint(t(name), columns, name)
+        one = publish.fingerprint(t(name).select(*columns.split()), name)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
 from ..functions.values import ratio
-from ..plans import pin
+from ..plans import pin, row_rank
 from .boards import top_k
 from .similarity import Space, distance, prefixed
 
@@ -218,7 +218,7 @@ def order_clusters(labels: DataFrame, metric: DataFrame, column: str) -> DataFra
     """Clusters numbered by the mean of a metric (missing counts as zero)."""
     means = labels.join(metric.select("entity", column), "entity", "left").groupBy("cluster").agg(
         ratio(F.sum(F.coalesce(F.col(column), F.lit(0.0))), F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("members"))
-    ranked = top_k(means.withColumn("_m", F.round("mean", 9)), [], [("_m", True), ("cluster", True)], 1 << 20, "position")  # k rows
+    ranked = row_rank(means.withColumn("_m", F.round("mean", 9)), [], [("_m", True), ("cluster", True)], "position")
     return ranked.drop("_m")
 
 

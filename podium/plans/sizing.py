@@ -44,13 +44,17 @@ def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFram
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared directory of the session (a local one only in local mode)."""
+    """A fresh folder under the shared directory of the session (a local one only in local mode), removed when the application ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="spark-podium-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -15,12 +15,14 @@ REQUIRED_METADATA = ["status", "source", "provenance", "precision", "batch_id",
 TIMESTAMP_FORMS = {"second": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "date": r"^\d{4}-\d{2}-\d{2}$"}
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
-    """(source, rows, digest) of a table's content, independent of row order and partitioning.
+def fingerprint(df: DataFrame, source: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(source, rows, digest) of a table's content (all columns by default), independent of row order and partitioning.
 
-    The digest adds up 60-bit prefixes of each row's SHA-256, so it combines map-side in one pass.
+    Each value is written with its length and null as a dash, so no two rows share an encoding. The digest adds up
+    60-bit prefixes of each row's SHA-256, so it combines map-side in one pass.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    values = [F.col(c).cast("string") for c in columns or df.columns]
+    row = F.sha2(F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]), 256)
     prefix = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("rows"),
                   F.coalesce(F.sum(prefix), F.lit(0)).cast("string").alias("digest"))

@@ -89,19 +89,21 @@ def distinct_events(df: DataFrame, drop_seasons: Sequence = (), drop_events: Seq
 
 
 def merge_new(base: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``base`` plus the batch rows whose key is new; null and blank are the same, repeats inside the batch count once.
+    """``base`` plus the batch rows whose key is new; null and blank are the same.
 
+    Of repeats inside the batch the row whose content comes first as JSON counts, so the choice does not depend on order.
     The key columns are hashed for the lookup but compared in full.
     """
     def key(df: DataFrame) -> list[Column]:
         return [F.coalesce(df[k].cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
     names = [f"_k{i}" for i in range(len(keys))]
-    fresh = batch.select("*", *key(batch)).dropDuplicates(names)
+    row = F.struct(*[batch[c] for c in batch.columns])
+    fresh = batch.select(row.alias("_row"), *key(batch)).groupBy(*names).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*", *names)
     seen = base.select(*key(base))
     return base.unionByName(fresh.join(seen, names, "left_anti").drop(*names))
 
 
 def write_sharded(df: DataFrame, qualified: DataFrame, keys: Sequence[str], shard: str, path: str) -> None:
-    """Rows of qualified keys, one directory per shard; large shards are spread over many files."""
-    (df.join(qualified, list(keys), "left_semi").repartition(F.col(shard), F.expr(f"pmod(xxhash64({', '.join(keys)}), 16)"))
+    """Rows of qualified keys, one directory per shard; adaptive execution splits large shards and joins small ones by size."""
+    (df.join(qualified, list(keys), "left_semi").hint("rebalance", shard)
      .write.mode("overwrite").partitionBy(shard).parquet(path))

@@ -16,8 +16,8 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, o
     """Ingest the files not seen before and stop.
 
     Finished files are skipped through the checkpoint.  Rows failing ``valid`` go to quarantine with
-    the file they came from; the rest continues.  A batch keeps one row per key and skips keys of
-    earlier batches.  Every batch writes its own directories in overwrite mode, so a batch that is
+    the file they came from; the rest continues.  A batch is written once before it is split; it keeps one row
+    per key (by file, then content) and skips keys of earlier batches.  Every batch writes its own directories in overwrite mode, so a batch that is
     replayed after a failure replaces itself.
     """
     reader = spark.readStream.schema(schema).format(fmt)
@@ -27,8 +27,11 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, o
 
     def land(batch: DataFrame, batch_id: int) -> None:
         ok = F.coalesce(F.expr(valid), F.lit(False))
+        batch.write.mode("overwrite").parquet(f"{out}/read/batch={batch_id}")
+        batch = spark.read.schema(batch.schema).parquet(f"{out}/read/batch={batch_id}")
+        rest = F.struct(*[c for c in batch.columns if c not in keys])
         batch.where(~ok).withColumn("reason", F.lit(f"not ({valid})")).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
-        good = batch.where(ok).groupBy(*keys).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in keys]), F.col(UNIT)).alias("r")) \
+        good = batch.where(ok).groupBy(*keys).agg(F.min_by(rest, F.struct(F.col(UNIT), F.to_json(rest))).alias("r")) \
                     .select(*keys, "r.*")
         earlier = landed(spark, out, schema, before=batch_id)
         if earlier is not None:
