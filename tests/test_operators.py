@@ -280,3 +280,17 @@ def test_slim_drops_rows_without_numbers(frame):
     raw = frame("id string, extra string, good string, bad string", ("1", "x", "24", "20"), ("2", "x", "", "3"), ("3", "x", "9", " "))
     rows = tables.slim_observations(raw, ["id"]).collect()
     assert [tuple(r) for r in rows] == [("1", 24, 20)]
+
+
+def test_fingerprint_tells_rows_apart(spark, frame):
+    from podium.sources.publish import fingerprint
+    tables = [frame("a string, b string", r) for r in [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), (" ", "c"), ("1:c", ""), ("", "1:c")]]
+    digests = [fingerprint(t, "x").first()["digest"] for t in tables]
+    assert len(set(digests)) == len(digests)
+
+
+def test_merge_new_is_stable_under_repartition(spark, frame):
+    from podium.sources.tables import merge_new
+    base, batch = frame("k long, v string", (1, "old")), frame("k long, v string", (1, "new"), (2, "b"), (2, "a"), (2, "c"), (None, "n"), (None, "m"))
+    got = [sorted(map(tuple, merge_new(base, batch.repartition(n), ["k"]).collect()), key=repr) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] == sorted([(1, "old"), (2, "a"), (None, "m")], key=repr)
