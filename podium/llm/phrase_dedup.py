@@ -7,8 +7,8 @@ equal seeds, and neighbouring windows mostly share one.
 * Documents meet the list of their recurring seeds and give up, for each, the *segment* of words that its windows span. Segments go to the
   shard of their seed, packed by task. A seed in more than ``hot`` documents is spread over shards by window instead, so that no shard
   holds all surroundings of a very common run of words.
-* A shard confirms the phrases that occur in two places, keeps the smallest doc_id of each, compiles them into an Aho-Corasick
-  automaton over its words and streams all its segments through it. Matches compare whole words, not hashes. An occurrence whose phrase starts in a
+* A shard keeps the smallest doc_id of each distinct segment, confirms the phrases that different segments share, compiles them into an
+  Aho-Corasick automaton over its words and streams every distinct segment through it. Matches compare whole words, not hashes. An occurrence whose phrase starts in a
   document of smaller id is reported with its place.
 * Reported places of a document merge into covered words. Untouched and wholly covered texts need no second look at their words.
 
@@ -36,7 +36,7 @@ from .tables import bytes_of, pin
 WINDOW, SEED = 13, 5
 HOT = 50_000
 SHARD_BYTES = 4 << 20
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 U = core.U
 
 
@@ -66,24 +66,26 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, window: int):
 
 
 def _recurring(rows: DataFrame, window: int, hot: int) -> DataFrame:
-    """(doc, sum, seeds, hots): for each document its seeds that occur in two rows, and whether each is hot."""
+    """(doc, seeds, hots): for each document id its seeds that occur in two rows, and whether each is hot."""
 
     def emit(batches):
         for batch in batches:
-            for first, _, data, offsets in core.chunks(batch.column(2)):
+            for first, end, data, offsets in core.chunks(batch.column(1)):
                 _, got = _seeds(data, offsets, window)
                 if got is None:
                     continue
                 order = np.lexsort((got[0], got[1]))
                 seed, doc = got[0][order], got[1][order]
                 keep = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))
-                seed, row = seed[keep], pa.array(doc[keep] + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(seed.view(np.int64))], ["doc", "sum", "seed"])
+                seed, doc = seed[keep], doc[keep]
+                edges = np.searchsorted(doc, np.arange(end - first + 1))
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(seed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], ["doc", "seeds"])
 
-    seeds = rows.mapInArrow(emit, "doc long, sum int, seed long")
+    seeds = pin(rows.select("doc", "text").mapInArrow(emit, "doc long, seeds array<long>")).select("doc", F.explode("seeds").alias("seed"))
     often = seeds.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > hot).alias("hot"))
-    return (seeds.join(often, "seed").groupBy("doc", "sum")
-            .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", "sum", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))
+    return (seeds.join(often, "seed").groupBy("doc")
+            .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))
 
 
 def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
@@ -100,41 +102,44 @@ def _unpack(blob: bytes) -> list[tuple[int, int, int, bytes]]:
 
 
 def _locate(segments: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(doc, sum, word) of each window whose phrase starts in a document of smaller id; words are compared as numbers of the shard's vocabulary."""
-    vocabulary: dict[bytes, int] = {}
+    """(doc, sum, word) of each window whose phrase starts in a document of smaller id.
+
+    A segment that recurs as a whole needs no search beyond its own first document. Phrases that different segments share go into the
+    automaton, over numbers of the shard's vocabulary."""
     least: dict[bytes, int] = {}
-    several: set[bytes] = set()
-    for doc, _, _, text in segments:  # distinct segments and the least document of each
-        if text not in least:
+    for doc, _, _, text in segments:
+        if doc < least.get(text, 1 << 63):
             least[text] = doc
-        else:
-            several.add(text)
-            if doc < least[text]:
-                least[text] = doc
+    vocabulary: dict[bytes, int] = {}
     coded = {text: tuple(vocabulary.setdefault(w, len(vocabulary)) for w in text.split(b" ")) for text in least}
     phrases: dict[tuple, int] = {}
-    recurring: set[tuple] = set()
+    shared: set[tuple] = set()
     for text, words in coded.items():
         doc = least[text]
         for k in range(len(words) - window + 1):
             phrase = words[k:k + window]
-            before = phrases.get(phrase)
-            if before is None:
-                phrases[phrase] = doc
-                if text in several:
-                    recurring.add(phrase)
-            else:
-                recurring.add(phrase)
+            before = phrases.setdefault(phrase, doc)
+            if before != doc:
+                shared.add(phrase)
                 if doc < before:
                     phrases[phrase] = doc
-    if not recurring:
-        return []
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase in recurring:
-        machine.add_word(phrase, phrases[phrase])
-    machine.make_automaton()
-    matches = {text: [(end - window + 1, doc) for end, doc in machine.iter(words)] for text, words in coded.items()}
-    return [(doc, total, place + k) for doc, total, place, text in segments for k, first in matches[text] if first < doc]
+    matches: dict[bytes, list[tuple[int, int]]] = {}
+    if shared:
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for phrase in shared:
+            machine.add_word(phrase, phrases[phrase])
+        machine.make_automaton()
+        for text, words in coded.items():
+            found = [(end - window + 1, doc) for end, doc in machine.iter(words)]
+            if found:
+                matches[text] = found
+    out = []
+    for doc, total, place, text in segments:
+        if least[text] < doc:
+            out += [(doc, total, place + k) for k in range(len(coded[text]) - window + 1)]
+        elif text in matches:
+            out += [(doc, total, place + k) for k, first in matches[text] if first < doc]
+    return out
 
 
 def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -142,7 +147,7 @@ def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
     rows = _rows(documents)
     shards = bytes_of(documents) // SHARD_BYTES + 8
     squeezed = rows.mapInArrow(_squeeze, "doc long, sum int, text binary")
-    marked = squeezed.join(_recurring(rows, window, hot), ["doc", "sum"])
+    marked = squeezed.join(_recurring(rows, window, hot), "doc")
 
     def cut(batches):
         packs: dict[int, list] = {}
@@ -156,30 +161,37 @@ def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "pack"])
 
         for batch in batches:
-            seeds, hots = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i in range(batch.num_rows):
-                doc, total = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                data = np.frombuffer(wring.decompress(batch.column(2)[i].as_py()), np.uint8)
-                words, got = _seeds(data, np.array([0, len(data)]), window)
+            docs, sums = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = pa.array([wring.decompress(t.as_py()) for t in batch.column(2)], pa.binary())
+            for first, end, data, offsets in core.chunks(texts):
+                words, got = _seeds(data, offsets, window)
                 if got is None:
                     continue
-                mine = np.array(seeds[i], np.int64).view(U)
-                order = np.argsort(mine)
-                spot = np.minimum(np.searchsorted(mine[order], got[0]), len(mine) - 1)
-                known = np.flatnonzero(mine[order][spot] == got[0])
-                hot_seed = np.array(hots[i])[order][spot]
-                text = data.tobytes()
+                seed, doc, _, lo, hi = got
+                mine = batch.column(3).slice(first, end - first)
+                size = np.asarray(mine.value_lengths())
+                known = np.stack([np.repeat(np.arange(end - first), size).astype(U), mine.flatten().to_numpy().view(U)])
+                hots = batch.column(4).slice(first, end - first).flatten().to_numpy(zero_copy_only=False)
+                key = core.mix(known[1] + core.mix(known[0]))  # seed and document in one number
+                order = np.argsort(key)
+                wanted = core.mix(seed + core.mix(doc.astype(U)))
+                spot = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
+                hit = key[order][spot] == wanted
+                is_hot, text = hots[order][spot], data.tobytes()
                 starts, ends = words.starts, words.ends
-                solid = starts[1:] - ends[:-1] == 1
-                plain = len(solid) == 0 or bool(solid.all() and (data[ends[:-1]] == 0x20).all())
-                listed = None if plain else text.split()
-                for k in known.tolist():
-                    lo, hi = int(got[3][k]), int(got[4][k])
-                    pieces = [(a, a + window) for a in range(lo, hi + 1)] if hot_seed[k] else [(lo, hi + window)]
-                    for a, b in pieces:
-                        piece = text[starts[a]:ends[b - 1]] if plain else b" ".join(listed[a:b])
-                        shard = (int(core.mix(np.frombuffer(hashlib.blake2b(piece, digest_size=8).digest(), U))[0]) if hot_seed[k] else int(got[0][k])) % shards
-                        packs.setdefault(shard, []).append((doc, total, a, piece))
+                apart = np.append(starts[1:] - ends[:-1] != 1, False)
+                apart[:-1] |= data[ends[:-1]] != 0x20
+                odd = np.append(0, np.cumsum(apart))  # gaps between words that are not one space
+                for k in np.flatnonzero(hit).tolist():
+                    a, b = int(lo[k]), int(hi[k]) + window
+                    row = int(doc[k])
+                    base = int(words.first[row])
+                    for a, b in [(x, x + window) for x in range(a, b - window + 1)] if is_hot[k] else [(a, b)]:
+                        piece = text[starts[a]:ends[b - 1]]
+                        if odd[b - 1] != odd[a]:
+                            piece = b" ".join(piece.split())
+                        shard = (int(core.mix(np.frombuffer(hashlib.blake2b(piece, digest_size=8).digest(), U))[0]) if is_hot[k] else int(seed[k])) % shards
+                        packs.setdefault(shard, []).append((docs[first + row], sums[first + row], a - base, piece))
                         held += len(piece) + 100
                 if held > FLUSH_BYTES:
                     yield flush()
