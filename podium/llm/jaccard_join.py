@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
-from .tables import ROW, pin, row_id
+from .tables import ROW, pin, positional, row_id
 
 PARTS, SPARE = 3, 2
 SMALL_K = 12
@@ -175,7 +175,7 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     members = sigs.join(shared, "sig").join(chosen, "id").distinct()
     nodes = pin(members.groupBy("id").agg(F.collect_set("sig").alias("sigs"), F.first("most").alias("most"), F.first("least").alias("least")))
     members = nodes.select(F.explode("sigs").alias("sig"), "id", "most", "least")
-    sets = pin(shingle_sets(documents.withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi"), n).distinct())
+    sets = pin(shingle_sets(documents.select("doc_id", "text").withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi"), n).distinct())
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     own = pin(nodes.select("id").join(single.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own")))
     labels, links, tried, turn = nodes.select("id", F.col("id").alias("comp")), None, None, 0
@@ -213,4 +213,5 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 def one_of_each(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of documents that name their group: one of each group of linked texts, in their own columns."""
     groups = linked(documents, n, num, den).where("doc_id = component_id OR doc_id IS NULL").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(ROW)).distinct()
-    return documents.withColumn(ROW, row_id()).join(groups, ROW, "left_semi").select(*documents.columns)
+    plain, doc, _ = positional(documents)
+    return plain.withColumn(ROW, row_id(doc)).join(groups, ROW, "left_semi").drop(ROW).toDF(*documents.columns)

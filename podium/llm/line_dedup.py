@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import core
-from .tables import ROW, SUM, identified, pin
+from .tables import ROW, SUM, identified, pin, positional
 
 WINDOW = 3
 
@@ -53,7 +53,7 @@ def windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(line[ok].astype(np.int32)), *map(pa.array, both)],
                     ["row", "sum", "line", "h1", "h2"])
 
-    return (identified(documents).select(F.col(ROW), F.col(SUM), F.col("text").cast("string").alias("text"))
+    return (identified(documents.select("doc_id", "text")).select(F.col(ROW), F.col(SUM), F.col("text").cast("string").alias("text"))
             .mapInArrow(emit, "row long, sum long, line int, h1 long, h2 long"))
 
 
@@ -70,7 +70,8 @@ def line_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of documents with the covered lines cut from text, and two columns more at the end: lines that counted, and lines removed."""
     later = later_windows(documents, window).withColumnsRenamed({"row": ROW, "sum": SUM, "at": "__at"})
     names = documents.columns
-    joined = identified(documents.withColumn("text", F.col("text").cast("string"))).join(later, [ROW, SUM], "left").select(*names, "__at")
+    plain, doc, text = positional(documents)
+    joined = identified(plain.withColumn(text, F.col(text).cast("string")), doc, text).join(later, [ROW, SUM], "left").select(*plain.columns, "__at")
     text_at = names.index("text")
 
     def cut(batches):

@@ -16,16 +16,22 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def row_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+def row_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
 
 
-def text_sum() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def text_sum(column: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def identified(documents: DataFrame) -> DataFrame:
-    return documents.withColumn(ROW, row_id()).withColumn(SUM, text_sum())
+def identified(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return documents.withColumn(ROW, row_id(doc_id)).withColumn(SUM, text_sum(text))
+
+
+def positional(documents: DataFrame) -> tuple[DataFrame, str, str]:
+    """The same rows under names that clash with nothing (c0, c1, ...), and the names of doc_id and text there."""
+    names = documents.columns
+    return documents.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index('doc_id')}", f"c{names.index('text')}"
 
 
 def bytes_of(documents: DataFrame) -> int:
@@ -33,4 +39,4 @@ def bytes_of(documents: DataFrame) -> int:
     return documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
-__all__ = ["ROW", "SUM", "bytes_of", "identified", "pin", "row_id", "text_sum", "texts"]
+__all__ = ["ROW", "SUM", "bytes_of", "identified", "pin", "positional", "row_id", "text_sum", "texts"]
