@@ -1,6 +1,6 @@
 """Hashes of words, lines and spans of whole texts, computed in numpy inside Spark tasks.
 
-A batch of texts is walked in chunks of about two megabytes (a longer text is a chunk of its own), so the
+A batch of texts is walked in chunks of about one megabyte (a longer text is a chunk of its own), so the
 memory of a task follows its longest text, not its partition. The hash of bytes i..j is the polynomial
 ``sum(T[byte] * B**k)`` modulo 2**64, read off a running sum and finished by an avalanche step: every span
 costs one subtraction and one product.
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 STEP = U(0xD6E8FEB86659FD93)
