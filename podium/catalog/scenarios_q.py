@@ -69,7 +69,10 @@ def scenario(t: Tables):
     ctx = px.context(t)
     multiple = scoring.common_multiple(ctx)
     shares = scoring.opportunity_share(px.entity_seasons(t), ctx, multiple).select("entity", "numer", "wins")
-    target = scenarios.next_event(px.calendar(t)).first()
+    target = scenarios.next_event(px.calendar(t), px.wins(t)).first()
+    if target is None:  # nothing to come: no team can move
+        roster = px.entity_event(t).select("team", "entity").where(F.lit(False))
+        return scenarios.scenario_moves(roster, shares, 0), shares
     denom = ctx.where(F.col("season") == target["season"]).first()["denom"]
     entered = px.entity_event(t).where(F.col("season") == target["season"]).withColumn("date", F.trunc("date", "month"))
     roster = joins.latest_rows(entered).select("team", "entity")

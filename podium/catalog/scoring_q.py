@@ -55,9 +55,11 @@ SELECT season, CASE WHEN pre_epoch THEN 'early' WHEN season >= 2000 THEN 'late'
 UNION ALL SELECT season, 'all' FROM ctx UNION ALL SELECT season, 'post' FROM ctx WHERE NOT pre_epoch""")
 SELECTED = """
 WITH rows0 AS ({rows}),
+pl AS (SELECT selection_id, entity, count(*) AS events, CAST(sum(place) * 2 AS BIGINT) AS x2 FROM placement JOIN sel USING (season) GROUP BY 1, 2),
 sc AS (SELECT selection_id, sum(denom) AS dsum, count(*) AS g FROM sel JOIN ctx USING (season) GROUP BY 1),
 p AS (SELECT selection_id, r.entity, CAST(sum(r.wins) AS BIGINT) AS wins, CAST(sum(r.titles) AS BIGINT) AS titles,
         CAST(sum(r.wins * (3960 // c.denom)) AS BIGINT) AS numer, count(*) FILTER (r.wins > 0) AS eras,
+        min(r.season) FILTER (r.wins > 0) AS first_season, max(r.season) FILTER (r.wins > 0) AS last_season,
         arg_max(r.season, r.wins * (3960 // c.denom) * 1000 - c.idx) AS peak_season, max(r.wins * (3960 // c.denom)) AS peak_numer
       FROM rows0 r JOIN ctx c ON r.season = c.season JOIN sel s ON s.season = r.season GROUP BY 1, 2 HAVING sum(r.wins) > 0),
 q AS (SELECT p.*, sc.dsum, sc.g, CAST(numer AS HUGEINT) * dsum + titles * 2 * 3960 * g AS wkey FROM p JOIN sc USING (selection_id)),
@@ -65,13 +67,15 @@ k AS (SELECT *, rank() OVER (PARTITION BY selection_id ORDER BY wkey DESC) AS ad
              rank() OVER (PARTITION BY selection_id ORDER BY wins DESC) AS raw_rank FROM q)
 SELECT selection_id, entity, wins, titles, numer, eras, peak_season, numer / 3960 * (dsum / g) AS adjusted,
   peak_numer / 3960 * (dsum / g) AS peak, numer / 3960 * (dsum / g) + titles * 2 AS weighted, CAST(wkey AS BIGINT) AS weighted_key,
-  adjusted_rank, raw_rank, raw_rank - adjusted_rank AS rank_change FROM k"""
+  adjusted_rank, raw_rank, raw_rank - adjusted_rank AS rank_change, first_season, last_season, events,
+  (x2 * 100 + events) // (events * 2) / 100.0 AS average_place, wins / events AS conversion FROM k LEFT JOIN pl USING (selection_id, entity)"""
 
 
 def _selected(t, bonus=None):
     ctx = px.context(t)
     out = scoring.recompute_for_selection(px.entity_seasons(t), ctx, scoring.era_selection(ctx, 2000),
-                                          scoring.common_multiple(ctx), ring_weight=3, bonus=bonus)
+                                          scoring.common_multiple(ctx), ring_weight=3, bonus=bonus,
+                                          placements=px.placement(t).select("entity", "season", (F.col("place") * 2).alias("place_x2")))
     return out.withColumn("numer", F.col("numer").cast("bigint")).withColumn("weighted_key", F.col("weighted_key").cast("bigint"))
 
 

@@ -102,9 +102,15 @@ def lane_leaders(table: DataFrame) -> DataFrame:
                                                     F.max("value").alias("value"))
 
 
-def next_event(calendar: DataFrame) -> DataFrame:
-    """One row: the first event still to come."""
-    return calendar.where("date IS NULL").groupBy().agg(F.min(F.struct("season", "month", "event")).alias("e")).select("e.*").where("season IS NOT NULL")
+def next_event(calendar: DataFrame, winners: DataFrame | None = None) -> DataFrame:
+    """One row: the first event still to come without a stated winner, else the first one; no row when none is to come."""
+    ahead = calendar.where("date IS NULL")
+    if winners is None:
+        ahead = ahead.withColumn("_won", F.lit(False))
+    else:
+        ahead = ahead.join(winners.select("event").distinct().withColumn("_known", F.lit(True)), "event", "left").withColumn("_won", F.coalesce("_known", F.lit(False)))
+    first = ahead.groupBy().agg(F.min(F.struct("_won", "season", "month", "event")).alias("e"))
+    return first.select("e.season", "e.month", "e.event").where("season IS NOT NULL")
 
 
 def scenario_moves(roster: DataFrame, shares: DataFrame, delta: int) -> DataFrame:

@@ -109,11 +109,13 @@ def peak_season(seasons: DataFrame, multiple: int, by: tuple[str, ...] = ("entit
 
 def recompute_for_selection(seasons: DataFrame, context: DataFrame, selection: DataFrame,
                             multiple: int, ring_weight: int = 1,
-                            bonus: DataFrame | None = None) -> DataFrame:
+                            bonus: DataFrame | None = None,
+                            placements: DataFrame | None = None) -> DataFrame:
     """Scores of every entity under many season selections at once.
 
     selection(selection_id, season); bonus(entity, season, wins, titles) adds hypothetical
-    results.  The mean denominator covers the selected seasons only; entities without a win
+    results; placements(entity, season, place_x2) adds events entered, average place and wins an event, which
+    the bonus does not change.  The mean denominator covers the selected seasons only; entities without a win
     in the selection are dropped.  ``weighted_key`` orders exactly when championships count
     ``ring_weight`` times.
     """
@@ -131,6 +133,7 @@ def recompute_for_selection(seasons: DataFrame, context: DataFrame, selection: D
            .agg(F.sum("wins").alias("wins"), F.sum("titles").alias("titles"),
                 F.sum(part).cast(EXACT).alias("numer"), F.count_if(F.expr("wins > 0")).alias("eras"),
                 F.max_by("season", key).alias("peak_season"),
+                F.min(F.when(F.col("wins") > 0, F.col("season"))).alias("first_season"), F.max(F.when(F.col("wins") > 0, F.col("season"))).alias("last_season"),
                 F.max(part).cast(EXACT).alias("peak_numer"))
            .where("wins > 0").join(scale, "selection_id"))
     mean = ratio(F.col("denom_sum"), F.col("n_seasons"))
@@ -144,7 +147,12 @@ def recompute_for_selection(seasons: DataFrame, context: DataFrame, selection: D
               .drop("denom_sum", "n_seasons", "peak_numer"))
     scored = competition_rank(scored, ["selection_id"], [("weighted_key", False)], "adjusted_rank")
     scored = competition_rank(scored, ["selection_id"], [("wins", False)], "raw_rank")
-    return scored.withColumn("rank_change", F.col("raw_rank") - F.col("adjusted_rank"))
+    scored = scored.withColumn("rank_change", F.col("raw_rank") - F.col("adjusted_rank"))
+    if placements is None:
+        return scored
+    entered = placements.join(selection, "season").groupBy("selection_id", "entity").agg(F.count(F.lit(1)).alias("events"), F.sum("place_x2").alias("_x2"))
+    return (scored.join(entered, ["selection_id", "entity"], "left").withColumn("average_place", average_from_x2(F.col("_x2"), F.col("events")))
+            .withColumn("conversion", ratio(F.col("wins"), F.col("events"))).drop("_x2"))
 
 
 def win_span(wins: DataFrame, date: str = "date") -> DataFrame:

@@ -294,3 +294,23 @@ def test_merge_new_is_stable_under_repartition(spark, frame):
     base, batch = frame("k long, v string", (1, "old")), frame("k long, v string", (1, "new"), (2, "b"), (2, "a"), (2, "c"), (None, "n"), (None, "m"))
     got = [sorted(map(tuple, merge_new(base, batch.repartition(n), ["k"]).collect()), key=repr) for n in (1, 3, 7)]
     assert got[0] == got[1] == got[2] == sorted([(1, "old"), (2, "a"), (None, "m")], key=repr)
+
+
+def test_next_event_prefers_one_without_a_winner(frame):
+    from podium.operators.scenarios import next_event
+    calendar = frame("season int, month int, event string, date string", (2001, 1, "a", "2001-01-05"), (2001, 2, "b", None), (2001, 3, "c", None))
+    assert [tuple(r) for r in next_event(calendar).collect()] == [(2001, 2, "b")]
+    assert [tuple(r) for r in next_event(calendar, frame("event string", ("b",))).collect()] == [(2001, 3, "c")]
+    assert [tuple(r) for r in next_event(calendar, frame("event string", ("b",), ("c",))).collect()] == [(2001, 2, "b")]
+    assert next_event(calendar.where("date IS NOT NULL")).count() == 0
+
+
+def test_selection_carries_placements(frame):
+    from podium.operators import scoring
+    context = frame("season int, denom int, held int, idx int, pre_epoch boolean", (2000, 4, 4, 0, False), (2001, 2, 2, 1, False))
+    seasons = frame("entity int, season int, wins bigint, titles bigint", (1, 2000, 2, 1), (1, 2001, 1, 0), (2, 2001, 1, 1))
+    picked = frame("selection_id string, season int", ("all", 2000), ("all", 2001), ("late", 2001))
+    placed = frame("entity int, season int, place_x2 bigint", (1, 2000, 2), (1, 2000, 5), (1, 2001, 2), (2, 2001, 2))
+    got = {(r["selection_id"], r["entity"]): r for r in scoring.recompute_for_selection(seasons, context, picked, 4, placements=placed).collect()}
+    assert (got["all", 1]["first_season"], got["all", 1]["last_season"], got["all", 1]["events"], got["all", 1]["average_place"], got["all", 1]["conversion"]) == (2000, 2001, 3, 1.5, 1.0)
+    assert got["late", 2]["average_place"] == 1.0 and got["late", 1]["events"] == 1
