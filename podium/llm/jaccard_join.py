@@ -194,8 +194,10 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
             rank = F.col("own") if turn == 0 else F.xxhash64("id", F.lit(turn))
             heads = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least", "own")).alias("h")).select("sig", "h.id", "h.comp", "h.most", "h.least", "h.own")
         heads = heads.select("sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least", "own")])
+        # |x - y| is at least what x alone has, and |y - x| exceeds it by the difference of the sizes
+        differ = F.greatest(F.col("own") + F.col("h_own"), 2 * F.col("own") + F.col("h_least") - F.col("most"), 2 * F.col("h_own") + F.col("least") - F.col("h_most"))
         fits = ((F.col("comp") != F.col("h_comp")) & (den * F.col("most") >= num * F.col("h_least")) & (den * F.col("h_most") >= num * F.col("least"))
-                & ((den + num) * (F.col("own") + F.col("h_own")) <= (den - num) * (F.col("most") + F.col("h_most"))))
+                & ((den + num) * differ <= (den - num) * (F.col("most") + F.col("h_most"))))
         pairs = (rows.join(heads, "sig").where(fits)
                  .select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
         pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
