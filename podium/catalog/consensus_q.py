@@ -221,3 +221,11 @@ SELECT m.*, g.tags, h.title_ranks, row_number() OVER (ORDER BY all_time_lists DE
 FROM m LEFT JOIN g ON g.entity = m.entity LEFT JOIN h ON h.entity = m.entity""")
 def a23(t):
     return consensus.evidence_summary(*evidence(t))
+
+
+@query("a23_evidence_leads", """
+WITH s AS (SELECT source_id, status FROM esrc WHERE status <> 'seeded'),
+f AS (SELECT source_id, entity FROM eent UNION ALL SELECT source_id, entity FROM ecla)
+SELECT entity, count(*) AS leads, count(DISTINCT source_id) AS sources, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM f JOIN s USING (source_id) GROUP BY entity""")
+def a23l(t):
+    return consensus.evidence_leads(*evidence(t))

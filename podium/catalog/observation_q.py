@@ -167,10 +167,9 @@ def qualified(o):
 
 
 @query("a14_map_trace", """
-SELECT season, entity, event, CAST(date AS VARCHAR) AS date, series, maps, good, bad,
-  rank() OVER (PARTITION BY season, entity, event ORDER BY date, series) AS position FROM (
-  SELECT p.season, p.entity, p.event, p.date, p.series, count(*) AS maps, CAST(sum(p.good) AS BIGINT) AS good, CAST(sum(p.bad) AS BIGINT) AS bad
-  FROM cobs p SEMI JOIN fit f ON f.season = p.season AND f.split = p.split AND f.entity = p.entity GROUP BY 1, 2, 3, 4, 5)""")
+SELECT p.season, p.split, p.entity, p.event, CAST(p.date AS VARCHAR) AS date, p.series, p.line, p.good, p.bad,
+  rank() OVER (PARTITION BY p.season, p.split, p.entity, p.event ORDER BY p.date, p.series, p.line, p.good, p.bad) AS position
+FROM cobs p SEMI JOIN fit f ON f.season = p.season AND f.split = p.split AND f.entity = p.entity""")
 def a14m(t):
     o = px.counted_obs(t, opponent=False)
     return observation.map_trace(o, qualified(o)).withColumn("date", F.col("date").cast("string"))

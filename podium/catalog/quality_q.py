@@ -123,17 +123,18 @@ def c05(t):
 @query("c06_conflict_ledger", """
 SELECT 'participation:' || entity || ':' || event AS id, 'participation' AS subject,
   CASE WHEN status IN ('conflict', 'unparseable') THEN NULL WHEN tied > 1 THEN 'explicitReviewedDecision' ELSE 'bestPlacement' END AS rule,
-  CASE WHEN status IN ('conflict', 'unparseable') THEN NULL ELSE 'participation' END AS policy, status NOT IN ('conflict', 'unparseable') AS resolved, facts
-FROM best_facts WHERE facts > 1
-UNION ALL SELECT 'event-identity:' || season || ':' || event, 'event', NULL, NULL, FALSE, count(DISTINCT event_id) FROM pages_all
+  CASE WHEN status IN ('conflict', 'unparseable') THEN NULL ELSE 'participation' END AS policy, status NOT IN ('conflict', 'unparseable') AS resolved, facts, competing
+FROM best_facts JOIN (SELECT entity, event, string_agg(team || '@' || coalesce(CAST(place_x2 AS VARCHAR), '?'), ',' ORDER BY team || '@' || coalesce(CAST(place_x2 AS VARCHAR), '?')) AS competing
+  FROM facts GROUP BY 1, 2) USING (entity, event) WHERE facts > 1
+UNION ALL SELECT 'event-identity:' || season || ':' || event, 'event', NULL, NULL, FALSE, count(DISTINCT event_id), NULL FROM pages_all
   WHERE season <> 1995 GROUP BY season, event HAVING count(DISTINCT event_id) > 1
-UNION ALL SELECT 'event-identity:' || season || ':' || event, 'event', 'excludedBeforeIdentity', 'exclusions', TRUE, count(DISTINCT event_id) FROM pages_all
+UNION ALL SELECT 'event-identity:' || season || ':' || event, 'event', 'excludedBeforeIdentity', 'exclusions', TRUE, count(DISTINCT event_id), NULL FROM pages_all
   WHERE season = 1995 GROUP BY season, event HAVING count(DISTINCT event_id) > 1""")
 def c06(t):
     everything = quality.registry_conflicts(quality.event_registry(pages(t))).where("kind = 'event name has several ids'")
     dropped = everything.where("season = 1995").select(
         F.concat_ws(":", F.lit("event-identity"), F.col("season").cast("string"), "key").alias("id"), F.col("n").alias("facts"))
-    return quality.conflict_ledger(quality.best_fact(facts(t), decisions(t)), dropped, everything.where("season <> 1995"))
+    return quality.conflict_ledger(quality.best_fact(facts(t), decisions(t)), dropped, everything.where("season <> 1995"), facts(t))
 
 
 def team_results(t):

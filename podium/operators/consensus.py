@@ -128,6 +128,14 @@ def rollup_orders(rollup: DataFrame) -> DataFrame:
     return stable.select("entity", *ROLLUP_ORDERS)
 
 
+def evidence_leads(sources: DataFrame, entries: DataFrame, claims: DataFrame) -> DataFrame:
+    """Unverified leads per entity, apart from the evidence: how many facts of how many sources wait, and of which status."""
+    waiting = sources.where("status <> 'seeded'").select("source_id", "status")
+    facts = entries.select("source_id", "entity").unionByName(claims.select("source_id", "entity")).join(waiting, "source_id")
+    return facts.groupBy("entity").agg(F.count(F.lit(1)).alias("leads"), F.count_distinct("source_id").alias("sources"),
+                                       F.array_join(F.sort_array(F.collect_set("status")), ",").alias("statuses"))
+
+
 def evidence_summary(sources: DataFrame, entries: DataFrame, claims: DataFrame, name_key=None) -> DataFrame:
     """Authored evidence per entity: sources, families, list ranks, claims and tags; leads stay out.
 

@@ -145,11 +145,10 @@ def event_trace(obs: DataFrame, qualified: DataFrame) -> DataFrame:
 
 
 def map_trace(obs: DataFrame, qualified: DataFrame) -> DataFrame:
-    """Map rows of qualified entities with their order inside the event by date and series."""
+    """Every map of qualified (season, split, entity) rows, with its order inside the event by date, series and map."""
     kept = obs.join(qualified.select("season", "split", "entity"), ["season", "split", "entity"], "left_semi")
-    per = kept.groupBy("season", "entity", "event", "date", "series").agg(
-        F.count(F.lit(1)).alias("maps"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    return row_rank(per, ["season", "entity", "event"], [("date", True), ("series", True)], "position")
+    rows = kept.select("season", "split", "entity", "event", "date", "series", "line", "good", "bad")
+    return row_rank(rows, ["season", "split", "entity", "event"], [("date", True), ("series", True), ("line", True), ("good", True), ("bad", True)], "position")
 
 
 def with_baseline(board: DataFrame, baseline: DataFrame) -> DataFrame:

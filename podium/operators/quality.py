@@ -150,23 +150,28 @@ def best_fact(df: DataFrame, decisions: DataFrame | None = None, key: Sequence[s
             .select(*key, "place_x2", "team", "facts", "tied", "status"))
 
 
-def conflict_ledger(facts: DataFrame, resolved: DataFrame, registry_issues: DataFrame,
+def conflict_ledger(facts: DataFrame, resolved: DataFrame, registry_issues: DataFrame, competing: DataFrame,
                     policy: str = "participation") -> DataFrame:
-    """Every multi-fact key and identity clash with its rule, resolution state and fact count."""
-    several = facts.where("facts > 1")
+    """Every multi-fact key and identity clash with its rule, resolution state, fact count and the competing facts.
+
+    competing(entity, event, place_x2, team) are the single facts; an unreadable place is listed as a question mark."""
+    told = competing.groupBy("entity", "event").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(
+        "@", F.col("team").cast("string"), F.coalesce(F.col("place_x2").cast("string"), F.lit("?"))))), ",").alias("competing"))
+    several = facts.where("facts > 1").join(told, ["entity", "event"], "left")
     rule = F.when(F.col("status").isin("conflict", "unparseable"), F.lit(None).cast("string")) \
             .when(F.col("tied") > 1, "explicitReviewedDecision").otherwise("bestPlacement")
     rows = several.select(
         F.concat_ws(":", F.lit("participation"), F.col("entity").cast("string"), "event").alias("id"),
         F.lit("participation").alias("subject"), rule.alias("rule"),
         F.when(rule.isNotNull(), F.lit(policy)).alias("policy"), (~F.col("status").isin("conflict", "unparseable")).alias("resolved"),
-        F.col("facts").cast("long").alias("facts"))
+        F.col("facts").cast("long").alias("facts"), "competing")
     identity = registry_issues.select(
         F.concat_ws(":", F.lit("event-identity"), F.col("season").cast("string"), "key").alias("id"),
         F.lit("event").alias("subject"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("policy"),
-        F.lit(False).alias("resolved"), F.col("n").cast("long").alias("facts"))
+        F.lit(False).alias("resolved"), F.col("n").cast("long").alias("facts"), F.lit(None).cast("string").alias("competing"))
     excluded = resolved.select(F.col("id"), F.lit("event").alias("subject"), F.lit("excludedBeforeIdentity").alias("rule"),
-                               F.lit("exclusions").alias("policy"), F.lit(True).alias("resolved"), F.col("facts").cast("long").alias("facts"))
+                               F.lit("exclusions").alias("policy"), F.lit(True).alias("resolved"), F.col("facts").cast("long").alias("facts"),
+                               F.lit(None).cast("string").alias("competing"))
     return rows.unionByName(identity).unionByName(excluded)
 
 
