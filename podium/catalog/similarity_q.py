@@ -172,7 +172,7 @@ s AS (SELECT a, max(CASE WHEN ca = cb THEN m END) AS own, min(CASE WHEN ca <> cb
 SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 8) AS silhouette FROM s""")
 def d08(t):
     points = pin(scaled_with_roles(t))
-    pairs = clustering.sample_pairs(clustering.draw_samples(points, draws=1), SPACE)
+    pairs = clustering.sample_pairs(clustering.draw_samples(points), SPACE)
     labels = fixed_labels(points).withColumn("grp", F.lit(4)).withColumn("draw", F.lit(0))
     return clustering.silhouette(pairs, labels).select(F.round("silhouette", 8).alias("silhouette"))
 

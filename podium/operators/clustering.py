@@ -1,10 +1,11 @@
-"""Medoid clustering on bounded samples, silhouettes, stability, profiles and a landmark projection.
-
-Partitioning around medoids needs distances between candidates, so it runs on samples of fixed size
-(CLARA; Kaufman & Rousseeuw 1990) and every row of the table is then assigned to the chosen medoids.
-When a sample covers the table the result is the plain algorithm's.  All samples, all cluster counts
-and all bootstrap replicates advance together, one aggregation per step; only medoids (samples x k
-rows) return to the driver.
+"""Medoid clustering, silhouettes, stability, profiles and a landmark projection.
+
+Partitioning around medoids, silhouettes, the choice of k and stability are defined on the distances of all
+rows, and by default they use all of them: quadratic in the entities (not in their observations), as Spark
+joins.  A caller with too many entities passes ``size`` and ``draws`` to run the medoid search on samples (CLARA;
+Kaufman & Rousseeuw 1990), after which ``cluster`` still assigns every row; measures then cover the sample.  All
+samples, all cluster counts and all bootstrap replicates advance together, one aggregation per step; only
+medoids (samples x k rows) return to the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..plans import pin, row_rank
 from .boards import top_k
 from .similarity import Space, distance, prefixed
 
-SAMPLE_SIZE, DRAWS = 512, 5
+LANDMARKS = 512
 STABLE, WEAK = 0.75, 0.5
 GAIN = 1e-9
 
@@ -32,15 +33,17 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def draw_samples(points: DataFrame, size: int = SAMPLE_SIZE, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """(draw, entity, vec, roles): per draw the ``size`` rows with the smallest seeded hash."""
+def draw_samples(points: DataFrame, size: int | None = None, draws: int = 1, seed: int = 0) -> DataFrame:
+    """(draw, entity, vec, roles): all rows, or per draw the ``size`` rows with the smallest seeded hash."""
+    if size is None:
+        return points.select(F.lit(0).alias("draw"), "entity", "vec", "roles")
     spread = points.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))) \
                    .withColumn("_key", F.xxhash64("entity", "draw", F.lit(seed)))
     return top_k(spread, ["draw"], [("_key", True), ("entity", True)], size).select("draw", "entity", "vec", "roles")
 
 
 def sample_pairs(sample: DataFrame, sp: Space) -> DataFrame:
-    """(draw, a, b, d) within each draw; a draw holds at most the sample size, so this is bounded."""
+    """(draw, a, b, d) within each draw: the square of the rows, or of the sample size."""
     rows = prefixed(sample, "a_").join(prefixed(sample, "b_"), F.col("a_draw") == F.col("b_draw"))
     d = F.when(F.col("a_entity") == F.col("b_entity"), 0.0).otherwise(distance(sp))
     return rows.select(F.col("a_draw").alias("draw"), F.col("a_entity").alias("a"), F.col("b_entity").alias("b"), d.alias("d"))
@@ -115,11 +118,9 @@ def assign(points: DataFrame, medoids: DataFrame, sp: Space) -> DataFrame:
                       first["d"].alias("distance"), second["d"].alias("next_distance"))
 
 
-def cluster(points: DataFrame, sp: Space, k: int, size: int = SAMPLE_SIZE, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """Every row with its cluster, medoid and distance, from the sample whose medoids cost least overall."""
+def cluster(points: DataFrame, sp: Space, k: int, size: int | None = None, draws: int = 1, seed: int = 0) -> DataFrame:
+    """Every row with its cluster, medoid and distance; with samples, from the one whose medoids cost least overall."""
     points = pin(points)
-    if points.count() <= size:
-        draws = 1
     pairs = pin(sample_pairs(draw_samples(points, size, draws, seed), sp))
     found = k_medoids(pairs, [k])
     table = literal_rows(points.sparkSession, [(d, s, e) for (d, _), (es, _) in found.items() for s, e in enumerate(es)],
@@ -131,7 +132,7 @@ def cluster(points: DataFrame, sp: Space, k: int, size: int = SAMPLE_SIZE, draws
 
 
 def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean silhouette per (grp, draw) over sample pairs; labels(grp, draw, entity, cluster).
+    """Mean silhouette per (grp, draw) over all given pairs; labels(grp, draw, entity, cluster).
 
     A member of a singleton cluster counts 0, as does a labelling with one cluster.
     """
@@ -153,25 +154,25 @@ def medoid_silhouette(labels: DataFrame) -> DataFrame:
 
 
 def _labels(pairs: DataFrame, found: dict[tuple[int, int], tuple[list, float]]) -> DataFrame:
-    """(grp = k, draw, entity, cluster) of sample rows by nearest medoid."""
+    """(grp = k, draw, entity, cluster) of the rows of each draw by nearest medoid."""
     med = literal_rows(pairs.sparkSession, [(k, d, s, e) for (d, k), (es, _) in found.items() for s, e in enumerate(es)],
                        ["grp", "draw", "cluster", "b"])
     return pairs.join(med, ["draw", "b"]).groupBy("grp", "draw", F.col("a").alias("entity")).agg(
         F.min(F.struct("d", "cluster"))["cluster"].alias("cluster"))
 
 
-def choose_k(points: DataFrame, sp: Space, ks: Sequence[int] = range(2, 9), size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
-    """(k, silhouette, best) on one sample, every k in the same jobs."""
+def choose_k(points: DataFrame, sp: Space, ks: Sequence[int] = range(2, 9), size: int | None = None, seed: int = 0) -> DataFrame:
+    """(k, silhouette, best), every k in the same jobs."""
     pairs = pin(sample_pairs(draw_samples(points, size, 1, seed), sp))
     scored = silhouette(pairs, _labels(pairs, k_medoids(pairs, list(ks)))).select(F.col("grp").alias("k"), "silhouette")
     top = scored.agg(F.max_by("k", F.struct(F.round("silhouette", 9), -F.col("k"))).alias("_k"))
     return scored.crossJoin(F.broadcast(top)).withColumn("best", F.col("k") == F.col("_k")).drop("_k")  # one row
 
 
-def cluster_stability(points: DataFrame, sp: Space, k: int, replicates: int = 20, size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
+def cluster_stability(points: DataFrame, sp: Space, k: int, replicates: int = 20, size: int | None = None, seed: int = 0) -> DataFrame:
     """Mean best Jaccard of each reference cluster with the clusters of bootstrap replicates.
 
-    A replicate keeps each sample row with probability 1 - 1/e, the share a resample with replacement leaves.
+    A replicate keeps each row with probability 1 - 1/e, the share a resample with replacement leaves.
     """
     pairs = pin(sample_pairs(draw_samples(points, size, 1, seed), sp))
     ref = _labels(pairs, k_medoids(pairs, [k])).select(F.col("entity"), F.col("cluster").alias("ref"))
@@ -222,7 +223,7 @@ def order_clusters(labels: DataFrame, metric: DataFrame, column: str) -> DataFra
     return ranked.drop("_m")
 
 
-def project_2d(points: DataFrame, sp: Space, orient: DataFrame, size: int = SAMPLE_SIZE, seed: int = 0) -> DataFrame:
+def project_2d(points: DataFrame, sp: Space, orient: DataFrame, size: int = LANDMARKS, seed: int = 0) -> DataFrame:
     """Two coordinates per row by landmark scaling (de Silva & Tenenbaum 2004), in -1..1.
 
     The eigenvectors come from the landmarks' squared distances (size x size numbers on the driver);
