@@ -123,24 +123,24 @@ def repeats(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
 
     def strings(batches):
         for batch in batches:
-            lists = batch.column(3).to_pylist()
+            docs, sums, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            made, held = [], 0
             for i, todo in enumerate(lists):
-                if not todo:
-                    continue
-                data = np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8)
-                names = _identifiers(data, depth)
-                n = np.array([x["hi"] - x["lo"] + 1 for x in todo])
-                begin = np.array([x["at"] + x["lo"] for x in todo])
-                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-                own = core.mix(names[p] * core.STEP + names[p + depth])
-                bucket, open_ = np.array([x["bucket"] for x in todo]), np.array([x["state"] == 0 for x in todo])
-                size = len(p)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[i].as_py()] * size, pa.int64()), pa.array([batch.column(1)[i].as_py()] * size, pa.int32()),
-                     pa.array(p.astype(np.int32)), pa.array(np.repeat(bucket, n)), pa.array(own.view(np.int64)), pa.array(np.repeat(open_, n))],
-                    ["doc", "sum", "p", "bucket", "own", "open"])
-
-    each = pin(texts.where("todo IS NOT NULL").mapInArrow(strings, "doc long, sum int, p int, bucket long, own long, open boolean"))
+                if todo:
+                    names = _identifiers(np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8), depth)
+                    n = np.array([x["hi"] - x["lo"] + 1 for x in todo])
+                    begin = np.array([x["at"] + x["lo"] for x in todo])
+                    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+                    bucket, open_ = np.array([x["bucket"] for x in todo]), np.array([x["state"] == 0 for x in todo])
+                    made.append((np.full(len(p), docs[i]), np.full(len(p), sums[i], np.int32), p.astype(np.int32), np.repeat(bucket, n),
+                                 core.mix(names[p] * core.STEP + names[p + depth]).view(np.int64), np.repeat(open_, n)))
+                    held += len(p)
+                if made and (held > 200_000 or i == len(lists) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], ["doc", "sum", "p", "bucket", "own", "open"])
+                    made, held = [], 0
+
+    # made twice rather than written: the rows outweigh the texts they come from
+    each = texts.where("todo IS NOT NULL").mapInArrow(strings, "doc long, sum int, p int, bucket long, own long, open boolean")
     twice = each.groupBy("bucket", "own").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     single = each.where("open").join(twice, ["bucket", "own"]).select("doc", "sum", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
     whole = live.where("state <> 0").select("doc", "sum", (F.col("at") + F.col("lo")).alias("start"), (F.col("at") + F.col("hi") + length).alias("end"))
