@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import thinned
+
 SAMPLE, PAGE_BYTES, VARIANTS = 400, 200_000, 3
 BITS, ROUNDS, RATE, RIDGE = 13, 80, 0.2, 1e-4
 SIZE = 1 << BITS
@@ -356,7 +358,7 @@ def variant(texts: list[str], others: list[str], rng: np.random.Generator) -> st
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """The field from a bounded sample of pages that carry labels, and their variants."""
     text = F.col("html").cast("string")
-    rows = (pages.where(text.isNotNull() & F.rlike(F.lower(text), F.lit("<(article|main)\\b"))).where(F.octet_length(text) <= PAGE_BYTES)
+    rows = (thinned(pages, F.xxhash64(text), sample, pages.count()).where(text.isNotNull() & F.rlike(F.lower(text), F.lit("<(article|main)\\b"))).where(F.octet_length(text) <= PAGE_BYTES)
             .select(F.xxhash64(text).alias("h"), text.alias("html")).orderBy("h", "html").limit(sample).collect())
     rng = np.random.default_rng(5)
     parsed = [(page, got) for page in (blocks(r["html"]) for r in rows) if (got := labels_of(page))]

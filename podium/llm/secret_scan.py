@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pin
+from .tables import pin, thinned
 
 RUN = "A-Za-z0-9+/_=.\\-"
 CANDIDATE = f"(?<![{RUN}])(?=[{RUN}&&[^0-9]]*+[0-9])[{RUN}]{{12,}}+"
@@ -95,8 +95,9 @@ def features(found: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
 
 def train(findings: DataFrame, words: list[str], sample: int = SAMPLE) -> RandomForestClassificationModel | None:
     """A forest from findings with a boolean label, or None when only one label occurs."""
-    order = [F.xxhash64("doc_id", "nth", "value"), "doc_id", "nth", "value"]
-    chosen = [findings.where(F.col("label") == x).orderBy(*order).limit(sample) for x in (True, False)]
+    key = F.xxhash64("doc_id", "nth", "value")
+    sides = [findings.where(F.col("label") == x) for x in (True, False)]
+    chosen = [thinned(side, key, sample, side.count()).orderBy(key, "doc_id", "nth", "value").limit(sample) for side in sides]
     rows, names = features(chosen[0].unionByName(chosen[1]), words)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows).withColumn("label", F.col("label").cast("double"))
     if data.select("label").distinct().count() < 2:
