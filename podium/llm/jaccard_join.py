@@ -101,35 +101,51 @@ def _plain(documents: DataFrame) -> DataFrame:
     return documents.select(row_id().alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def signatures(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, id, n_shingles, k1, k2, sigs): size, 128-bit key (null for an empty set) and signatures of each document's set."""
+def keys(documents: DataFrame, n: int) -> DataFrame:
+    """(doc_id, id, n_shingles, k1, k2): size and 128-bit key of each document's set, null for an empty one."""
 
     def emit(batches):
-        bands = Bands(num, den)
         for batch in batches:
             size = np.zeros(batch.num_rows, np.int64)
             both = np.zeros((2, batch.num_rows), np.int64)
-            found, many = [np.zeros(0, U)], np.zeros(batch.num_rows + 1, np.int32)
             for row, s in _sets(batch.column(2), n):
                 size[row] = len(s)
+                both[0, row] = core.mix(s).sum(dtype=U).view(np.int64)
+                both[1, row] = core.mix(s * core.STEP + U(1)).sum(dtype=U).view(np.int64)
+            empty = size == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(k, mask=empty) for k in both)],
+                                             ["doc_id", "id", "n_shingles", "k1", "k2"])
+
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(emit, "doc_id long, id long, n_shingles long, k1 long, k2 long")
+
+
+def signatures(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(sig, id) of every document with words. There are about half as many as words, so they are made
+    from the text wherever they are read and never written."""
+
+    def emit(batches):
+        bands = Bands(num, den)
+        for batch in batches:
+            ids, found, rows, held = batch.column(0).to_numpy(), [], [], 0
+            for row, s in _sets(batch.column(1), n):
                 sums = np.zeros(len(s) + 1, U)
                 np.cumsum(core.mix(s), out=sums[1:])
-                both[0, row] = sums[-1].view(np.int64)
-                both[1, row] = core.mix(s * core.STEP + U(1)).sum(dtype=U).view(np.int64)
                 edges = bands.edges(1 << max(len(s), 2).bit_length())
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
                 for j in (band, band + 1):
                     top = int(edges[j + 1]) - 1
                     sig = _signatures(s, sums, bands.difference(top, top), j)
                     found.append(sig)
-                    many[row + 1] += len(sig)
-            empty = size == 0
-            sigs = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), *(pa.array(k, mask=empty) for k in both), sigs],
-                                             ["doc_id", "id", "n_shingles", "k1", "k2", "sigs"])
+                    rows.append(np.full(len(sig), ids[row]))
+                    held += len(sig)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["sig", "id"])
+                    found, rows, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["sig", "id"])
 
-    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(emit, "doc_id long, id long, n_shingles long, k1 long, k2 long, sigs array<long>")
+    return _plain(documents).mapInArrow(emit, "sig long, id long")
 
 
 def shingle_sets(documents: DataFrame, n: int) -> DataFrame:
@@ -167,11 +183,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents."""
-    known = pin(signatures(documents, n, num, den))
+    known = pin(keys(documents, n))
     classes = known.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("class"), F.min("n_shingles").alias("n"))
     chosen = classes.select(F.col("class").alias("id"), "n").groupBy("id").agg(F.max("n").alias("most"), F.min("n").alias("least"))
-    sigs = known.select(F.explode("sigs").alias("sig"), "id")
-    shared = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+    sigs = signatures(documents, n, num, den)
+    shared = sigs.groupBy("sig").count().where("count > 1").select("sig")
     members = sigs.join(shared, "sig").join(chosen, "id").distinct()
     nodes = pin(members.groupBy("id").agg(F.collect_set("sig").alias("sigs"), F.first("most").alias("most"), F.first("least").alias("least")))
     members = nodes.select(F.explode("sigs").alias("sig"), "id", "most", "least")
@@ -209,7 +225,7 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
             break
         turn += 1
     named = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("k1", "k2", F.coalesce("comp", "class").alias("component_id"))
-    return known.drop("sigs").join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return known.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
