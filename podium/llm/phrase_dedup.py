@@ -160,7 +160,7 @@ def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
             packs.clear()
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "pack"])
 
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):  # texts are opened a few at a time
             docs, sums = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = pa.array([wring.decompress(t.as_py()) for t in batch.column(2)], pa.binary())
             for first, end, data, offsets in core.chunks(texts):
