@@ -5,8 +5,9 @@ band or in neighbours; for a pair of bands the symmetric difference of linked se
 first-level partitions and these into ``PARTS`` second-level ones: by the pigeonhole principle enough first-level
 partitions hold at most k2 differing parts, so that some subset of its parts without them is equal in both sets. The
 hash of each such subset is a signature (k2 is 1 for small bands and 0, the whole partition, for large ones). A subset may be
-empty; ``SPARE`` partitions beyond the pigeonhole make sure that a set with few empty ones meets its partners elsewhere, and a set with
-more emits its empty subsets too, so no link is lost.
+empty, and empty subsets are no signatures. Partitions beyond the pigeonhole (``_layout``) make sure that a set with no more empty ones than those meets its
+partners elsewhere; a set with more is signed again under another hash of the domain, and under the last of ``LAYOUTS`` with its empty
+subsets too, so no link is lost.
 
 Equal sets are one class. Within the documents of a signature each class is compared with the group's leader, not with all others; classes
 already in one component need no further comparison. New leaders are taken until the pairs that still lie in different components are no more than ``FEW``
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import core
 from .tables import ROW, pin, positional, row_id
 
-PARTS, SPARE = 3, 2
+PARTS, SPARE, LAYOUTS = 3, 2, 4
 SMALL_K = 12
 ROUNDS, FEW = 2, 8
 U = core.U
@@ -56,30 +57,40 @@ class Bands:
 
 
 @lru_cache(maxsize=4096)
-def _layout(k: int) -> tuple[int, int, np.ndarray]:
-    """Second-level parts in a first-level partition, first-level partitions, and inner edges of all parts in the hash domain."""
+def _layout(k: int, low: int) -> tuple[int, int, int, np.ndarray]:
+    """Second-level parts in a first-level partition, first-level partitions, those beyond the pigeonhole (about as many as a
+    set of ``low`` shingles leaves empty, and two), and inner edges of all parts in the hash domain."""
     k2, parts = (1, PARTS) if k < SMALL_K else (0, 1)
     first = k // (k2 + 1) + 1 + SPARE
+    spare = SPARE + int(np.ceil(first * parts * np.exp(-low * max(parts - 1, 1) / (first * parts)) - 0.05))
+    first += spare - SPARE
     cells = first * parts
-    return parts, first, np.array([(j << 64) // cells for j in range(1, cells)], U)
+    return parts, first, spare, np.array([(j << 64) // cells for j in range(1, cells)], U)
 
 
-def _signatures(shingles: np.ndarray, sums: np.ndarray, k: int, band: int) -> np.ndarray:
-    """Signatures of a sorted set; ``sums`` are running sums of its mixed hashes, from 0."""
+def _signatures(shingles: np.ndarray, k: int, band: int, low: int) -> np.ndarray:
+    """Signatures of a sorted set in one pair of bands, whose sets have ``low`` shingles at least."""
     if k == 0:
         return np.zeros(0, U)  # only equal sets link
-    parts, first, edges = _layout(k)
-    at = np.concatenate([[0], np.searchsorted(shingles, edges), [len(shingles)]])
-    content, number = np.diff(sums[at]).reshape(first, parts), np.diff(at).reshape(first, parts)
-    if parts > 1:  # each subset leaves one part out
-        content = content.sum(axis=1, keepdims=True, dtype=U) - content
-        number = number.sum(axis=1, keepdims=True) - number
-    void = number == 0
-    tags = np.arange(first * parts, dtype=U).reshape(first, parts) + U(band << 32)
-    out = core.mix(content + core.mix(tags))
-    if void.any() and void.any(axis=1).sum() <= SPARE:
-        return out[~void]
-    return out.ravel()
+    parts, first, spare, edges = _layout(k, low)
+    out = []
+    for turn in range(LAYOUTS):
+        s = shingles if turn == 0 else np.sort(core.mix(shingles + U(turn)))
+        sums = np.zeros(len(s) + 1, U)
+        np.cumsum(core.mix(s), out=sums[1:])
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        content, number = np.diff(sums[at]).reshape(first, parts), np.diff(at).reshape(first, parts)
+        if parts > 1:  # each subset leaves one part out
+            content = content.sum(axis=1, keepdims=True, dtype=U) - content
+            number = number.sum(axis=1, keepdims=True) - number
+        void = number == 0
+        tags = np.arange(first * parts, dtype=U).reshape(first, parts) + U(turn << 56 | band << 32)
+        found = core.mix(content + core.mix(tags))
+        few = void.any(axis=1).sum() <= spare
+        out.append(found.ravel() if turn == LAYOUTS - 1 and not few else found[~void])
+        if few:
+            break
+    return np.concatenate(out)
 
 
 def _sets(column: pa.Array, n: int):
@@ -129,13 +140,11 @@ def signatures(documents: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             ids, found, rows, held = batch.column(0).to_numpy(), [], [], 0
             for row, s in _sets(batch.column(1), n):
-                sums = np.zeros(len(s) + 1, U)
-                np.cumsum(core.mix(s), out=sums[1:])
                 edges = bands.edges(1 << max(len(s), 2).bit_length())
                 band = int(np.searchsorted(edges, len(s), "right")) - 1
                 for j in (band, band + 1):
                     top = int(edges[j + 1]) - 1
-                    sig = _signatures(s, sums, bands.difference(top, top), j)
+                    sig = _signatures(s, bands.difference(top, top), j, int(edges[max(j - 1, 0)]))
                     found.append(sig)
                     rows.append(np.full(len(sig), ids[row]))
                     held += len(sig)
