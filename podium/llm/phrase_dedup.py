@@ -7,10 +7,12 @@ equal seeds, and neighbouring windows mostly share one.
 * Documents meet the list of their recurring seeds and give up, for each, the *segment* of words that its windows span. Segments go to the
   shard of their seed, packed by task. A seed in more than ``hot`` documents is spread over shards by window instead, so that no shard
   holds all surroundings of a very common run of words.
-* A shard keeps the smallest doc_id of each distinct segment, confirms the phrases that different segments share, compiles them into an
-  Aho-Corasick automaton over its words and streams every distinct segment through it. Matches compare whole words, not hashes. An occurrence whose phrase starts in a
-  document of smaller id is reported with its place.
-* Reported places of a document merge into covered words. Untouched and wholly covered texts need no second look at their words.
+* A task sends each distinct segment once a stretch of documents, with the least and largest doc_id, and keeps the occurrences apart, so copies of
+  a hot segment do not meet in its shard.
+* A shard confirms the phrases that different segments share, compiles them into an Aho-Corasick automaton over its words and streams every
+  distinct segment through it. Matches compare whole words, not hashes. The windows found are joined to the occurrences by a 96-bit digest of the
+  segment, a join that adaptive execution can split at a hot one.
+* The windows of a document merge into covered words. Untouched and wholly covered texts need no second look at their words.
 
 The number of shards follows the bytes of text, so a shard's automaton has a size that does not grow with the corpus.
 Defined results: null and blank texts have no words; fewer words than a window: nothing is removed; rows of one doc_id never remove each other's
@@ -88,34 +90,47 @@ def _recurring(rows: DataFrame, window: int, hot: int) -> DataFrame:
             .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))
 
 
-def _pack(rows: list[tuple[int, int, int, bytes]]) -> bytes:
-    head = np.array([r[:3] for r in rows], np.int64).tobytes()
-    texts = b"\n".join(r[3] for r in rows)
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(rows)) + head + texts)
+def _pack(least: dict[bytes, list[int]]) -> bytes:
+    """Distinct segments, each with the least and the largest document it was seen in."""
+    head = np.array(list(least.values()), np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(least)) + head + b"\n".join(least))
 
 
-def _unpack(blob: bytes) -> list[tuple[int, int, int, bytes]]:
+def _unpack(blob: bytes, least: dict[bytes, list[int]]) -> None:
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = struct.unpack_from("<q", data)[0]
-    head = np.frombuffer(data, np.int64, 3 * n, 8).reshape(n, 3).tolist()
-    return [(*h, t) for h, t in zip(head, data[8 + 24 * n:].split(b"\n"))]
+    head = np.frombuffer(data, np.int64, 2 * n, 8).reshape(n, 2).tolist()
+    for text, (low, high) in zip(data[8 + 16 * n:].split(b"\n"), head):
+        _see(least, text, low, high)
 
 
-def _locate(segments: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(doc, sum, word) of each window whose phrase starts in a document of smaller id.
+def _see(least: dict[bytes, list[int]], text: bytes, low: int, high: int) -> bool:
+    """Whether the segment is new."""
+    known = least.get(text)
+    if known is None:
+        least[text] = [low, high]
+        return True
+    known[0], known[1] = min(known[0], low), max(known[1], high)
+    return False
+
+
+def _key(text: bytes) -> tuple[int, int]:
+    """96 bits that name a segment."""
+    return struct.unpack("<qi", hashlib.blake2b(text, digest_size=12).digest())
+
+
+def _locate(least: dict[bytes, list[int]], window: int):
+    """(key, tail, least, windows, runs) of each distinct segment that loses words anywhere: documents above ``least`` lose all its windows, the
+    least one those of ``runs``, whose phrases start in a document of smaller id.
 
     A segment that recurs as a whole needs no search beyond its own first document. Phrases that different segments share go into the
     automaton, over numbers of the shard's vocabulary."""
-    least: dict[bytes, int] = {}
-    for doc, _, _, text in segments:
-        if doc < least.get(text, 1 << 63):
-            least[text] = doc
     vocabulary: dict[bytes, int] = {}
     coded = {text: tuple(vocabulary.setdefault(w, len(vocabulary)) for w in text.split(b" ")) for text in least}
     phrases: dict[tuple, int] = {}
     shared: set[tuple] = set()
     for text, words in coded.items():
-        doc = least[text]
+        doc = least[text][0]
         for k in range(len(words) - window + 1):
             phrase = words[k:k + window]
             before = phrases.setdefault(phrase, doc)
@@ -123,42 +138,51 @@ def _locate(segments: list[tuple[int, int, int, bytes]], window: int) -> list[tu
                 shared.add(phrase)
                 if doc < before:
                     phrases[phrase] = doc
-    matches: dict[bytes, list[tuple[int, int]]] = {}
+    machine = None
     if shared:
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for phrase in shared:
             machine.add_word(phrase, phrases[phrase])
         machine.make_automaton()
-        for text, words in coded.items():
-            found = [(end - window + 1, doc) for end, doc in machine.iter(words)]
-            if found:
-                matches[text] = found
-    out = []
-    for doc, total, place, text in segments:
-        if least[text] < doc:
-            out += [(doc, total, place + k) for k in range(len(coded[text]) - window + 1)]
-        elif text in matches:
-            out += [(doc, total, place + k) for k, first in matches[text] if first < doc]
-    return out
+    for text, words in coded.items():
+        low, high = least[text]
+        runs: list[list[int]] = []
+        for end, first in machine.iter(words) if machine else ():
+            if first < low:
+                k = end - window + 1
+                if runs and runs[-1][1] == k - 1:
+                    runs[-1][1] = k
+                else:
+                    runs.append([k, k])
+        if runs or low < high:
+            yield *_key(text), low, len(words) - window + 1, [{"first": x, "last": y} for x, y in runs]
 
 
-def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(doc, sum, word): every window whose phrase starts in a document of smaller id, with its first word."""
+RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+CUT = pa.schema([("shard", pa.int64()), ("pack", pa.binary()), ("key", pa.int64()), ("tail", pa.int32()), ("doc", pa.int64()), ("sum", pa.int32()), ("place", pa.int32())])
+
+
+def segments(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """Rows of two kinds: (shard, pack) with the segments of a stretch of documents, each once, and (key, tail, doc, sum, place) of every occurrence."""
     rows = _rows(documents)
     shards = bytes_of(documents) // SHARD_BYTES + 8
     squeezed = rows.mapInArrow(_squeeze, "doc long, sum int, text binary")
     marked = squeezed.join(_recurring(rows, window, hot), "doc")
 
     def cut(batches):
-        packs: dict[int, list] = {}
+        packs: dict[int, dict[bytes, list[int]]] = {}
+        places: list[tuple[int, int, int, int, int]] = []
         held = 0
         wring = zstandard.ZstdDecompressor()
 
+        def batch_of(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in CUT], schema=CUT)
+
         def flush():
-            shard = list(packs)
-            blobs = [_pack(packs[s]) for s in shard]
+            yield batch_of(len(packs), shard=list(packs), pack=[_pack(x) for x in packs.values()])
+            yield batch_of(len(places), **dict(zip(("key", "tail", "doc", "sum", "place"), zip(*places))))
             packs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "pack"])
+            places.clear()
 
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):  # texts are opened a few at a time
             docs, sums = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -190,21 +214,38 @@ def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
                         piece = text[starts[a]:ends[b - 1]]
                         if odd[b - 1] != odd[a]:
                             piece = b" ".join(piece.split())
-                        shard = (int(core.mix(np.frombuffer(hashlib.blake2b(piece, digest_size=8).digest(), U))[0]) if is_hot[k] else int(seed[k])) % shards
-                        packs.setdefault(shard, []).append((docs[first + row], sums[first + row], a - base, piece))
-                        held += len(piece) + 100
+                        name = _key(piece)
+                        shard = (name[0] if is_hot[k] else int(seed[k])) % shards
+                        places.append((*name, docs[first + row], sums[first + row], a - base))
+                        new = _see(packs.setdefault(shard, {}), piece, docs[first + row], docs[first + row])
+                        held += 100 + (len(piece) + 100 if new else 0)
                 if held > FLUSH_BYTES:
-                    yield flush()
+                    yield from flush()
                     held = 0
-        if packs:
-            yield flush()
+        if places:
+            yield from flush()
+
+    return marked.mapInArrow(cut, "shard long, pack binary, key long, tail int, doc long, sum int, place int")
+
+
+def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(doc, sum, first, last): runs of windows whose phrases start in documents of smaller id, by their first words."""
 
-    def locate(batches):
-        found = _locate([row for batch in batches for blob in batch.column(1) for row in _unpack(blob.as_py())], window)
-        columns = list(zip(*found)) if found else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()))], ["doc", "sum", "word"])
+    def locate(key, table):
+        least: dict[bytes, list[int]] = {}
+        for blob in table.column("pack"):
+            _unpack(blob.as_py(), least)
+        found = list(_locate(least, window))
+        columns = list(zip(*found)) if found else [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), RUNS))], ["key", "tail", "least", "windows", "runs"])
 
-    return marked.mapInArrow(cut, "shard long, pack binary").groupBy("shard").applyInArrow(lambda key, table: pa.Table.from_batches(locate(table.to_batches())), "doc long, sum int, word int")
+    cut = pin(segments(documents, window, hot))
+    found = (cut.where("pack IS NOT NULL").select("shard", "pack").groupBy("shard")
+             .applyInArrow(locate, "key long, tail int, least long, windows int, runs array<struct<first: int, last: int>>"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
+    return (cut.where("pack IS NULL").select("key", "tail", "doc", "sum", "place").join(found, ["key", "tail"])  # few rows on the right; a hot key splits on the left
+            .select("doc", "sum", "place", F.inline(F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("runs"))))
+            .select("doc", "sum", (F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("last")).alias("last")))
 
 
 def _squeeze(batches):
@@ -229,7 +270,7 @@ def phrase_dedup(documents: DataFrame, window: int = WINDOW, hot: int = HOT) ->
         for batch in batches:
             runs, gone = [], []
             for places in batch.column(2).to_pylist():
-                at = np.unique(np.array(places))
+                at = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in places]))
                 new = np.append(True, at[1:] > at[:-1] + window)
                 ends = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] + window
                 runs.append([{"start": a, "end": b} for a, b in zip(at[new].tolist(), ends.tolist())])
@@ -250,7 +291,7 @@ def phrase_dedup(documents: DataFrame, window: int = WINDOW, hot: int = HOT) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc", "sum", "cut_sha256"])
 
     rows = _rows(documents)
-    found = pin(occurrences(documents, window, hot).groupBy("doc", "sum").agg(F.collect_set("word").alias("places"))
+    found = pin(occurrences(documents, window, hot).groupBy("doc", "sum").agg(F.collect_set(F.struct("first", "last")).alias("places"))
                 .mapInArrow(merge, "doc long, sum int, removed array<struct<start: int, end: int>>, n_removed long"))
     known = rows.mapInArrow(base, "doc long, sum int, n_words long, sha256 string")
     told = known.join(found, ["doc", "sum"], "left")

@@ -68,6 +68,21 @@ def test_phrase_dedup_is_exact(spark, window, hot):
     assert got == brute_phrases(texts, window)
 
 
+def test_copies_of_a_hot_window_do_not_meet_in_a_shard(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = list(enumerate([passage + f" end{i}" for i in range(400)]))
+    docs = cases.table(spark, texts)
+    cut = phrase_dedup.segments(docs, 13, 2).collect()
+    sent = collections.Counter()
+    for r in cut:
+        if r["pack"] is not None:
+            held = {}
+            phrase_dedup._unpack(bytes(r["pack"]), held)
+            sent.update(held.keys())
+    assert sum(r["place"] is not None for r in cut) >= 400 * 18 and max(sent.values()) <= 4  # once a task
+    assert rows_of(phrase_dedup.phrase_dedup(docs, 13, 2), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_phrases(texts, 13)
+
+
 def test_phrase_dedup_empty_table(spark):
     assert phrase_dedup.digest(cases.empty(spark)).count() == 0
 
