@@ -156,6 +156,17 @@ def test_language_rules(spark):
     assert language_id.language_id(docs.where("doc_id < 0")).count() == 0
 
 
+def test_no_gram_is_lost_beyond_one_slice(spark):
+    import random
+    rng = random.Random(3)
+    big, small = cases.vocabulary(rng, 300), ["quux", "zyzzyva", "jokyq", "xyloz"]
+    rows = [(i, " ".join(rng.choice(big) for _ in range(40)), "aa") for i in range(60)] + [(100 + i, " ".join(rng.choice(small) for _ in range(6)), "zz") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    one, many = (sorted((tuple(r) for r in language_id.language_id(docs, grams=n).collect())) for n in (10**6, 150))
+    assert len(one) == len(many) and all(a[:3] == b[:3] and a[4] == b[4] and a[3] == pytest.approx(b[3], abs=1e-6) and a[5] == pytest.approx(b[5], abs=1e-5) for a, b in zip(one, many))
+    assert {r[2] for r in many if r[0] >= 100} == {"zz"}
+
+
 def test_model_is_a_distribution():
     texts = ["abab abba baab", "aabb abab"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
