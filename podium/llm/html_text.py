@@ -60,10 +60,14 @@ for _kind, _words in KINDS.items():
         KIND_OF.setdefault(_word, []).append(_kind)
 
 
+#: the label of an element in a variant; on other pages an attribute like any other
+MARK = "data-label"
+
+
 class Element:
     __slots__ = ("tag", "marks", "label")
 
-    def __init__(self, tag: str, attributes: str):
+    def __init__(self, tag: str, attributes: str, marked: bool = False):
         self.tag, self.label, marks = tag, None, ["t:" + tag]
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
@@ -72,7 +76,7 @@ class Element:
                     for word in PIECES.findall(value):
                         word = word.lower()
                         marks += ["k:" + k for k in KIND_OF.get(word, ())] or ["w:" + word]
-                elif name == "data-label":
+                elif marked and name == MARK:
                     self.label = int(value)
                 elif name == "style" and "none" in value.replace(" ", "").partition("display:")[2][:4] or name == "aria-hidden" and value == "true":
                     marks.append("k:hidden")
@@ -88,8 +92,8 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, white space collapsed and references decoded."""
+def blocks(page: str, marked: bool = False) -> list[Block]:
+    """Leaf blocks of a page in order, white space collapsed and references decoded; ``marked`` if it is a variant with labels."""
     found: list[Block] = []
     stack: list[Element] = []
     parts: list[str] = []
@@ -168,7 +172,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a" and links:
             k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "a")
             close(k)
-        stack.append(Element(tag, m[3]))
+        stack.append(Element(tag, m[3], marked))
         links += tag == "a"
     flush()
     return found
@@ -299,7 +303,7 @@ class Field:
 
 
 def labels_of(page: list[Block]) -> list[int] | None:
-    """Labels from article and main elements, or from data-label marks; None where neither occurs."""
+    """Labels from article and main elements, or from the marks of a variant; None where neither occurs."""
     out, any_ = [], False
     for block in page:
         label = 0
@@ -337,7 +341,7 @@ def variant(texts: list[str], others: list[str], rng: np.random.Generator) -> st
         else:
             body = words(int(rng.integers(3, 25))) if tag == "p" or rng.random() < 0.5 else prose()
         bare = tag in ("nav", "aside", "footer", "form", "header") and rng.random() < 0.6
-        return f"<{tag} data-label='0'{'' if bare else pick(' class', ' id') + chr(61) + chr(39) + named(kind) + chr(39)}>{body}</{tag}>"
+        return f"<{tag} {MARK}='0'{'' if bare else pick(' class', ' id') + chr(61) + chr(39) + named(kind) + chr(39)}>{body}</{tag}>"
 
     tag = pick("article", "main", "div", "div", "section", "td")
     name = "" if tag in ("article", "main") and rng.random() < 0.6 else f" class='{named('article')}'"
@@ -352,13 +356,14 @@ def variant(texts: list[str], others: list[str], rng: np.random.Generator) -> st
         inside.append(other(pick("comment", "share", "side")))
     before = [other(k) for k in ("notice", "head", "menu", "advert", "side", "form") if rng.random() < 0.5]
     after = [other(k) for k in ("share", "comment", "side", "form", "advert", "notice", "foot") if rng.random() < 0.5]
-    return f"<html><body>{''.join(before)}<{tag} data-label='1'{name}>{''.join(inside)}</{tag}>{''.join(after)}</body></html>"
+    return f"<html><body>{''.join(before)}<{tag} {MARK}='1'{name}>{''.join(inside)}</{tag}>{''.join(after)}</body></html>"
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """The field from a bounded sample of pages that carry labels, and their variants."""
     text = F.col("html").cast("string")
-    rows = (thinned(pages, F.xxhash64(text), sample, pages.count()).where(text.isNotNull() & F.rlike(F.lower(text), F.lit("<(article|main)\\b"))).where(F.octet_length(text) <= PAGE_BYTES)
+    usable = pages.where((F.octet_length(text) <= PAGE_BYTES) & F.rlike(F.lower(text), F.lit("<(article|main)\\b")))
+    rows = (thinned(usable, F.xxhash64(text), sample, usable.count())
             .select(F.xxhash64(text).alias("h"), text.alias("html")).orderBy("h", "html").limit(sample).collect())
     rng = np.random.default_rng(5)
     parsed = [(page, got) for page in (blocks(r["html"]) for r in rows) if (got := labels_of(page))]
@@ -367,7 +372,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     for page, got in parsed:
         texts = [b.text for b, y in zip(page, got) if y]
         for _ in range(VARIANTS if texts else 0):
-            made = blocks(variant(texts[:20], others, rng))
+            made = blocks(variant(texts[:20], others, rng), marked=True)
             data.append((features(made), labels_of(made)))
     return Field().fit([(f, y) for f, y in data if y])
 

@@ -234,6 +234,22 @@ def test_field_gradient_learns_transitions():
     assert all(field.decode(r) == y for r, y in zip(rows, labels))
 
 
+def test_label_attributes_of_real_pages(spark):
+    table = "<table><tr><td data-label='Price'>ten</td><td data-label=''>two</td><td data-label='0'>six</td></tr></table>"
+    pages = spark.createDataFrame([(1, table)], "page_id long, html string")
+    assert [r["text"] for r in html_text.extract(pages).collect()] == ["ten\ntwo\nsix"]
+    assert html_text.labels_of(html_text.blocks(table)) is None
+
+
+def test_few_labelled_pages_among_many_are_all_learned_from(spark):
+    from pyspark.sql import functions as F
+    page = "<html><body><nav><a href=x>Menu</a></nav><article><p>Some words of page {}, long enough to be prose.</p></article><footer>Foot</footer></body></html>"
+    plain = spark.range(0, 3000).select(F.col("id").alias("page_id"), F.format_string("<div>text %d</div>", "id").alias("html"))
+    few = spark.createDataFrame([(9000 + i, page.format(i)) for i in range(3)], "page_id long, html string")
+    one, both = html_text.train(few, 10), html_text.train(plain.unionByName(few), 10)
+    assert one.fitted and both.fitted and np.array_equal(one.unary, both.unary)
+
+
 def test_pages_without_labels_or_rows(spark):
     pages = spark.createDataFrame([(1, "<div><p>a b</p><script>x</script>c</div>", "x")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, None, "a b\nc", 5)]
