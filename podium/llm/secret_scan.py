@@ -1,7 +1,9 @@
 """Secret scans: candidates from one pattern, judged by a random forest trained on labelled findings.
 
 Everything is DataFrame and SQL functions: the pattern, the features, and the forest of pyspark.ml, which runs in
-the JVM. A candidate is a maximal run of at least 12 characters of ``[A-Za-z0-9+/_=.-]`` with a digit. Its features:
+the JVM. A candidate is a maximal run of at least 12 characters of ``[A-Za-z0-9+/_=.-]`` with a digit; names and ``=`` that lead such a run
+(``api_key=...``, ``?token=...``) are not part of it. After a credential name and ``=``, ``:`` or ``=>`` a candidate is any value of at least ``SHORTEST``
+characters, to the next space or quote, without quotes also to the next of ``,;&<>()[]{}``. A credential name that is assigned to is none. Its features:
 
 * length, share of hexadecimal characters, digits and upper case;
 * transitions between character classes (vowel, consonant, upper case, digit, symbol), all 25 rates;
@@ -30,9 +32,18 @@ from pyspark.sql import functions as F
 from .tables import pin, thinned
 
 RUN = "A-Za-z0-9+/_=.\\-"
-CANDIDATE = f"(?<![{RUN}])(?=[{RUN}&&[^0-9]]*+[0-9])[{RUN}]{{12,}}+"
 NAMES = "token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth"
 ASSIGNED = f"(?i)(?:{NAMES})[\"']?\\s*(?:=|:|=>)\\s*[\"']?$"
+SHORTEST = 6
+#: a credential name with what assigns to it, right before; the looks at one and few characters only spare the costly one
+_NAMED = f"(?<=[=:>\\s\"'])(?<=[=:>]\\s{{0,16}}[\"']?)(?<=(?i:{NAMES})[\"']?\\s{{0,16}}(?:=>|=|:)\\s{{0,16}}"
+_VALUE = f"{_NAMED}[\"'])[^\\s\"']{{{SHORTEST},}}+|{_NAMED})(?![=:>])[^\\s\"',;&<>()\\[\\]{{}}]{{{SHORTEST},}}+"
+_PART = "[A-Za-z0-9+/_.\\-]"
+_RUN = (f"(?:(?<![{RUN}])|(?<={_PART}=))(?!{_PART}++=(?!=)[{RUN}]{{12}})(?!{_PART}++(?<=(?i:{NAMES}))[\"']?\\s*+[=:])"
+        f"(?=[{RUN}&&[^0-9]]*+[0-9])[{RUN}]{{12,}}+")
+CANDIDATE = f"{_VALUE}|{_RUN}"
+#: what any text with a candidate has
+LIKELY = f"[0-9]|(?i:{NAMES})[\"']?\\s*[=:]"
 WORDS, SAMPLE = 1000, 10_000
 TREES, DEPTH, SEED = 20, 6, 17
 BEFORE, AFTER = 60, 40
@@ -51,7 +62,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     path = F.col("source").cast("string") if "source" in documents.columns else F.lit("")
     found = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"),
                               F.col("text").cast("string").alias("text"))
-             .where(F.rlike("text", F.lit("[0-9]")))  # far cheaper than the pattern, and none can match without
+             .where(F.rlike("text", F.lit(LIKELY)))  # far cheaper than the pattern, and none can match without
              .withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where("size(hits) > 0")
              .withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
@@ -68,7 +79,7 @@ def provisional_labels(found: DataFrame) -> DataFrame:
 def _classes(value: Column) -> Column:
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     to = "".join("v" if x in "aeiouy" else "c" for x in lower) + "U" * 26 + "0" * 10 + "s" * 6
-    return F.translate(value, lower + upper + digits + "+/_=.-", to)
+    return F.regexp_replace(F.translate(value, lower + upper + digits + "+/_=.-", to), "[^vcU0s]", "s")
 
 
 def features(found: DataFrame, words: list[str]) -> tuple[DataFrame, list[str]]:
