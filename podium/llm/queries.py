@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, phrase_dedup, quality_rules, secret_scan, suffix_dedup
+from . import (decontaminate, hard_negatives, html_text, jaccard_join, language_id, line_dedup, merkle, packing, phrase_dedup, quality_rules, secret_scan,
+               suffix_dedup, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +73,24 @@ def op9_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
 @_register
 def op10_secret_scans(spark: SparkSession, path: str) -> DataFrame:
     return secret_scan.digest(_table(spark, path, "documents"))
+
+
+@_register
+def op11_merkle_dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return merkle.digest(_table(spark, path, "documents"))
+
+
+ORACLES["op11_merkle_dataset_manifest"] = merkle.SQL
+
+
+@_register
+def op12_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, path, "documents"))
+
+
+@_register
+def op13_hard_negative_mining(spark: SparkSession, path: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, path, "embeddings"))
+
+
+ORACLES["op13_hard_negative_mining"] = hard_negatives.SQL
