@@ -241,22 +241,23 @@ def _positives(shared, dim: int, k: int):
         anchors = Anchors(*shared.value)
         own = digest(anchors.v)
         found = Lists(len(anchors.ids), k)
+
+        def keep(a: np.ndarray, r: np.ndarray, rows: Codes) -> None:
+            other = anchors.ids[a] != rows.ids[r]
+            twin = np.flatnonzero(~other)
+            other[twin] = digest(rows.v[r[twin]]) != own[a[twin]]
+            found.add(a[other], exact(anchors, a[other], rows, r[other]), rows, r[other])
+
         for rows, some in tiles(anchors, batches, dim):
-            low, high = bounds(anchors, some, rows)
+            _, high = bounds(anchors, some, rows)
             same = anchors.labels[some, None] == rows.labels[None, :]
-            low[~same] = LOW
-            if low.shape[1] > k + 1:  # one more than k: the anchor itself may be among them
-                floor = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1]
-                floor = np.maximum(floor, found.floor[some])
-            else:
-                floor = found.floor[some]
+            high[~same] = LOW
+            near = np.argpartition(high, -k - 1, axis=1)[:, -k - 1:] if high.shape[1] > k else np.tile(np.arange(high.shape[1]), (len(high), 1))
+            a, r = np.repeat(np.arange(len(high)), near.shape[1]), near.ravel()
+            keep(some.start + a[same[a, r]], r[same[a, r]], rows)  # the best bounds first: their scores tell which others can still enter
+            floor = found.floor[some]
             a, r = np.nonzero(same & (high >= floor[:, None]))
-            a += some.start
-            other = (anchors.ids[a] != rows.ids[r])
-            twin = np.flatnonzero(~other)
-            other[twin] = digest(rows.v[r[twin]]) != own[a[twin]]
-            a, r = a[other], r[other]
-            found.add(a, exact(anchors, a, rows, r), rows, r)
+            keep(some.start + a, r, rows)
         yield _found(found)
 
     return scan

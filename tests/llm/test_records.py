@@ -183,8 +183,8 @@ def test_hard_negatives_share_of_scored_rows(spark):
     low, high = hard_negatives.bounds(anchors, slice(0, 10), rows)
     score = v[::100] @ v.T
     assert (low <= score).all() and (score <= high).all()
-    fifth = np.sort(low, 1)[:, -6]
-    assert (high >= fifth[:, None]).mean() < 0.3
+    fifth = np.sort(score, 1)[:, -6]  # what the rows of the best bounds reach when they are scored first
+    assert (high >= fifth[:, None]).mean() < 0.1
 
 
 def test_hard_negatives_of_nothing(spark):
