@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import association, clustering, joins, observation, scoring, similarity
+from ..operators import association, clustering, distance_sums, joins, observation, scoring, similarity
 from ..plans import pin
 from . import proxies as px
 from .registry import Tables, cte, query
@@ -171,10 +171,9 @@ WITH m AS (SELECT a, a % 4 AS ca, b % 4 AS cb, avg(distance) AS m FROM every_pai
 s AS (SELECT a, max(CASE WHEN ca = cb THEN m END) AS own, min(CASE WHEN ca <> cb THEN m END) AS other FROM m GROUP BY 1)
 SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 8) AS silhouette FROM s""")
 def d08(t):
-    points = pin(scaled_with_roles(t))
-    pairs = clustering.sample_pairs(clustering.draw_samples(points), SPACE)
-    labels = fixed_labels(points).withColumn("grp", F.lit(4)).withColumn("draw", F.lit(0))
-    return clustering.silhouette(pairs, labels).select(F.round("silhouette", 8).alias("silhouette"))
+    codes = distance_sums.coded(scaled_with_roles(t), SPACE)
+    labels = fixed_labels(codes.rows).withColumn("grp", F.lit(4))
+    return clustering.silhouette(codes, labels).select(F.round("silhouette", 8).alias("silhouette"))
 
 
 @query("d08_medoid_silhouette")
@@ -187,6 +186,20 @@ def d09(t):
     return clustering.choose_k(scaled_with_roles(t), SPACE).withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query("d09_choose_k_given_labels", """
+WITH l AS (SELECT entity, unnest(range(2, 9)) AS k FROM features), m AS (
+  SELECT x.k, e.a, e.a % x.k AS ca, e.b % x.k AS cb, avg(e.distance) AS m FROM every_pair e JOIN l x ON x.entity = e.a GROUP BY 1, 2, 3, 4),
+s AS (SELECT k, a, max(CASE WHEN ca = cb THEN m END) AS own, min(CASE WHEN ca <> cb THEN m END) AS other FROM m GROUP BY 1, 2),
+v AS (SELECT k, avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette FROM s GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS k, round(silhouette, 8) AS silhouette, row_number() OVER (ORDER BY round(silhouette, 9) DESC, k) = 1 AS best FROM v""")
+def d09g(t):
+    """The choice of k among given labellings, so that it can be checked on its own."""
+    codes = distance_sums.coded(scaled_with_roles(t), SPACE)
+    labels = codes.rows.select(F.explode(F.sequence(F.lit(2), F.lit(8))).alias("grp"), "entity").withColumn("cluster", F.col("entity") % F.col("grp"))
+    scored = clustering.best_silhouette(clustering.silhouette(codes, labels).withColumnRenamed("grp", "k"))
+    return scored.withColumn("silhouette", F.round("silhouette", 8))
+
+
 @query("d10_cluster_stability")
 def d10(t):
     return clustering.cluster_stability(scaled_with_roles(t), SPACE, 4).withColumn("stability", F.round("stability", 6))
