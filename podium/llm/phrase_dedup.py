@@ -22,6 +22,7 @@ words; a null doc_id counts as the least; empty tables give empty results; other
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import ahocorasick
@@ -39,6 +40,8 @@ WINDOW, SEED = 13, 5
 HOT = 50_000
 SHARD_BYTES = 4 << 20
 FLUSH_BYTES = 8 << 20
+LONG = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 U = core.U
 
 
@@ -68,11 +71,11 @@ def _seeds(data: np.ndarray, offsets: np.ndarray, window: int):
 
 
 def _recurring(rows: DataFrame, window: int, hot: int) -> DataFrame:
-    """(doc, seeds, hots): for each document id its seeds that occur in two rows, and whether each is hot."""
+    """(doc, sum, seeds, hots): for each row its seeds that occur in two rows, and whether each is hot."""
 
     def emit(batches):
         for batch in batches:
-            for first, end, data, offsets in core.chunks(batch.column(1)):
+            for first, end, data, offsets in core.chunks(batch.column(2)):
                 _, got = _seeds(data, offsets, window)
                 if got is None:
                     continue
@@ -82,12 +85,12 @@ def _recurring(rows: DataFrame, window: int, hot: int) -> DataFrame:
                 seed, doc = seed[keep], doc[keep]
                 edges = np.searchsorted(doc, np.arange(end - first + 1))
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(seed.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], ["doc", "seeds"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, end - first) for i in (0, 1)), lists], ["doc", "sum", "seeds"])
 
-    seeds = pin(rows.select("doc", "text").mapInArrow(emit, "doc long, seeds array<long>")).select("doc", F.explode("seeds").alias("seed"))
+    seeds = pin(rows.mapInArrow(emit, "doc long, sum int, seeds array<long>")).select("doc", "sum", F.explode("seeds").alias("seed"))
     often = seeds.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > hot).alias("hot"))
-    return (seeds.join(often, "seed").groupBy("doc")
-            .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))
+    return (seeds.join(often, "seed").groupBy("doc", "sum")
+            .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", "sum", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))
 
 
 def _pack(least: dict[bytes, list[int]]) -> bytes:
@@ -167,7 +170,7 @@ def segments(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> Data
     rows = _rows(documents)
     shards = bytes_of(documents) // SHARD_BYTES + 8
     squeezed = rows.mapInArrow(_squeeze, "doc long, sum int, text binary")
-    marked = squeezed.join(_recurring(rows, window, hot), "doc")
+    marked = squeezed.join(_recurring(rows, window, hot), ["doc", "sum"])
 
     def cut(batches):
         packs: dict[int, dict[bytes, list[int]]] = {}
@@ -218,7 +221,7 @@ def segments(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> Data
                         shard = (name[0] if is_hot[k] else int(seed[k])) % shards
                         places.append((*name, docs[first + row], sums[first + row], a - base))
                         new = _see(packs.setdefault(shard, {}), piece, docs[first + row], docs[first + row])
-                        held += 100 + (len(piece) + 100 if new else 0)
+                        held += 300 + (len(piece) + 200 if new else 0)  # Python's own sizes
                 if held > FLUSH_BYTES:
                     yield from flush()
                     held = 0
@@ -251,7 +254,7 @@ def occurrences(documents: DataFrame, window: int = WINDOW, hot: int = HOT) -> D
 def _squeeze(batches):
     """Texts compressed for the shuffle."""
     press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
         small = [press.compress(t.as_py().encode()) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["doc", "sum", "text"])
 
@@ -261,10 +264,14 @@ def phrase_dedup(documents: DataFrame, window: int = WINDOW, hot: int = HOT) ->
 
     def base(batches):
         for batch in batches:
-            words = [t.as_py().encode().split() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())],
-                ["doc", "sum", "n_words", "sha256"])
+            counts, sums = [], []
+            for text in batch.column(2):  # one text at a time, a long one never as a list of its words
+                text = text.as_py().encode()
+                plain = b" ".join(text.split()) if len(text) < LONG else BLANK.sub(b" ", text).strip(b" ")
+                counts.append(plain.count(b" ") + 1 if plain else 0)
+                sums.append(hashlib.sha256(plain).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.string())],
+                                             ["doc", "sum", "n_words", "sha256"])
 
     def merge(batches):
         for batch in batches:

@@ -83,10 +83,61 @@ def test_copies_of_a_hot_window_do_not_meet_in_a_shard(spark):
     assert rows_of(phrase_dedup.phrase_dedup(docs, 13, 2), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_phrases(texts, 13)
 
 
+def test_phrase_dedup_of_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    words = [f"w{i}" for i in range(2_500_000)]
+    words[1_000_000:1_000_000] = passage.split()
+    long = "\n ".join(words)
+    assert len(long) > 20 << 20
+    got = phrase_dedup.digest(cases.table(spark, [(1, passage), (2, long), (3, "short")])).collect()
+    want = hashlib.sha256(" ".join(w for w in words if w[0] != "p").encode()).hexdigest()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got} == {(1, 40, 0), (2, 2_500_040, 40), (3, 1, 0)}
+    assert next(r["kept_sha256"] for r in got if r["doc_id"] == 2) == want
+
+
+def test_phrase_dedup_of_many_null_ids(spark):
+    texts = [(None, " ".join(f"n{i}x{j}" for j in range(20)) + " " + " ".join(f"c{j}" for j in range(20))) for i in range(5_000)]
+    docs = cases.table(spark, texts + [(1, texts[7][1])])
+    lists = phrase_dedup._recurring(phrase_dedup._rows(docs), 13, 50_000)
+    assert max(len(r["seeds"]) for r in lists.collect()) < 40  # per row, not per id
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in phrase_dedup.digest(docs).collect())
+    assert got == {(None, 0): 5_000, (1, 40): 1}
+
+
 def test_phrase_dedup_empty_table(spark):
     assert phrase_dedup.digest(cases.empty(spark)).count() == 0
 
 
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """2,000 edited copies of one text, whose pairs lie on both sides of the threshold: exact, and no pairs of the whole group."""
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(2_000):
+        words = list(base)
+        for at in rng.choice(80, rng.integers(0, 7), replace=False):
+            words[at] = f"e{rng.integers(0, 60)}"
+        lo = int(rng.integers(0, 25)) if i % 2 else 0
+        texts.append((i, " ".join(words[lo:])))
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in texts)]
+    number = {}
+    held = np.zeros((len(sets), 20_000), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [number.setdefault(g, len(number)) for g in x]] = 1
+    both, size = held @ held.T, held.sum(1)
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    comp = np.arange(len(sets))
+    while True:
+        near = np.array([comp[row].min() for row in link])
+        near = np.minimum(near, near[near])
+        if (near == comp).all():
+            break
+        comp = near
+    assert 0.05 < link.mean() < 0.95 and len(set(comp)) > 20
+    got = jaccard_join.linked(cases.table(spark, texts), 3, 80, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(comp.tolist()))
+
+
 def test_line_dedup_equals_its_sql(spark):
     texts = list(enumerate(cases.corpus(3)))
     docs = cases.table(spark, texts)
