@@ -347,6 +347,51 @@ def f22(t):
     return text.table_cells(t("pages"), "html", ["page_id"], "<li>", "</a>").select("page_id", "row_no", "cell_no", "cell")
 
 
+# The places of columns in the two kinds of career tables.
+LAYOUTS = [
+    text.Layout("placed", 17, 1, {"team": 2}, {"placing": 3, "maps": 4, "kd": 5, "rate": 6},
+                {"mode_maps": {"A": 7, "B": 10, "C": 13}, "mode_kd": {"A": 8, "B": 11, "C": 14}}),
+    text.Layout("dated", 21, 1, {"date": 0, "team": 2}, {"maps": 3, "kd": 4, "rate": 5},
+                {"mode_maps": {"A": 6, "B": 10, "C": 14, "D": 17}, "mode_kd": {"A": 7, "B": 11, "C": 15, "D": 18}})]
+ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_quantity", "l_tax", "l_discount"]
+GENERIC = {"team": 1, "maps": 2, "kd": 3, "rate": 4}
+
+
+def written_tables(t):
+    """Career tables as markup, one per supplier, of three forms: wide rows of two kinds and narrow ones; some rows without a link or too short."""
+    filler = lambda n: "repeat(' || -', %d)" % n
+    link = "'[[Ev_' || l_partkey % 50 || if(l_orderkey % 2 = 0, '|Event ' || l_partkey % 50, '') || ']]'"
+    number = "if(l_quantity = 7, '-', cast(cast(l_quantity as int) as string))"
+    wide = ("'| ' || {first} || ' || ' || " + link + " || ' || Team ' || l_linenumber || ' || ' || {own}" + f"{number} || ' || ' || l_tax || ' || <b>' || l_discount || '</b>'")
+    placed = wide.format(first="'1'", own="if(l_linenumber = 1, 'N/A', cast(l_linenumber as string)) || ' || ' || ") + " || ' || ' || l_linenumber" + " || " + filler(10)
+    dated = wide.format(first="l_shipdate", own="") + " || ' || ' || l_linenumber || ' || 0.5' || " + filler(14)
+    narrow = f"'| ' || if(l_linenumber % 2 = 0, {link}, l_shipdate || ' || ' || {link}) || ' || Team ' || l_linenumber || ' || ' || {number} || ' || ' || l_tax || ' || ' || l_discount || ' || x'"
+    row = f"CASE WHEN l_orderkey % 11 = 0 THEN '| too || short' WHEN l_orderkey % 13 = 0 THEN '| a || b || c || d || e || f || g' " \
+          f"WHEN l_orderkey % 3 = 0 THEN {narrow} WHEN l_suppkey % 2 = 0 THEN {placed} ELSE {dated} END"
+    rows = t("lineitem").select("l_suppkey", "l_orderkey", *ORDER, F.expr(row).alias("row"))
+    return rows.groupBy("l_suppkey", "l_orderkey").agg(
+        F.concat(F.lit("{| class=\"wikitable\"\n|-\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*ORDER, "row"))), lambda r: r["row"]), "\n|-\n"),
+                 F.lit("\n|-\n|}")).alias("text")).withColumn("kind", F.expr("if(l_suppkey % 2 = 0, 'placed', 'dated')"))
+
+
+@query("f22_table_records", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_quantity, l_tax, l_discount) AS row_no,
+  l_orderkey % 3 = 0 AS narrow, l_suppkey % 2 = 0 AS placed FROM lineitem)
+SELECT l_suppkey, l_orderkey, CAST(row_no AS INTEGER) AS row_no,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'Event ' || l_partkey % 50 ELSE 'Ev ' || l_partkey % 50 END AS event, 'Ev ' || l_partkey % 50 AS event_target, 'Team ' || l_linenumber AS team,
+  CASE WHEN narrow THEN CASE WHEN l_linenumber % 2 <> 0 THEN CAST(l_shipdate AS VARCHAR) END WHEN NOT placed THEN CAST(l_shipdate AS VARCHAR) END AS date,
+  CASE WHEN NOT narrow AND placed AND l_linenumber <> 1 THEN CAST(l_linenumber AS DOUBLE) END AS placing,
+  CASE WHEN l_quantity <> 7 THEN CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS maps, CAST(l_tax AS DOUBLE) AS kd, CAST(l_discount AS DOUBLE) AS rate,
+  CASE WHEN NOT narrow THEN CAST(l_linenumber AS DOUBLE) END AS mode_a_maps, CASE WHEN NOT narrow AND NOT placed THEN 0.5::DOUBLE END AS mode_a_kd,
+  CASE WHEN narrow THEN 0 WHEN placed THEN 3 ELSE 4 END AS modes
+FROM r WHERE l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0""")
+def f22r(t):
+    found = text.table_records(written_tables(t), "text", "kind", ["l_suppkey", "l_orderkey"], LAYOUTS, GENERIC)
+    return found.select("l_suppkey", "l_orderkey", "row_no", "event", "event_target", "team", "date", "placing", "maps", "kd", "rate",
+                        F.try_element_at("mode_maps", F.lit("A")).alias("mode_a_maps"), F.try_element_at("mode_kd", F.lit("A")).alias("mode_a_kd"),
+                        F.size("mode_maps").alias("modes"))
+
+
 @query("f23_era_dimension", """
 SELECT season, CASE WHEN pre_epoch THEN 'early' WHEN season >= 2000 THEN 'late' ELSE 'middle' END AS selection_id FROM ctx
 UNION ALL SELECT season, 'all' FROM ctx UNION ALL SELECT season, 'post' FROM ctx WHERE NOT pre_epoch""")

@@ -301,36 +301,45 @@ def c15e(t):
     return known.join(missing.groupBy("season").agg(F.count(F.lit(1)).alias("missing_keys")), "season", "full").fillna(0)
 
 
+METRICS = ("raw_wins", "finals_record", "championships", "overall_kd", "kd_delta")
+
+
 def claims(t):
     key = F.col("s_suppkey")
-    metric = F.element_at(F.array(*[F.lit(m) for m in ("raw_wins", "finals_record", "championships", "overall_kd")]), (key % 4 + 1).cast("int"))
+    metric = F.element_at(F.array(*[F.lit(m) for m in METRICS]), (key % 5 + 1).cast("int"))
     n = lambda e: F.expr(e).cast("double")
-    expected = (F.when(key % 4 == 0, F.create_map(F.lit("value"), n("s_suppkey % 3")))
-                .when(key % 4 == 1, F.create_map(F.lit("wins"), n("s_suppkey % 2"), F.lit("losses"), n("s_suppkey % 3")))
-                .when(key % 4 == 2, F.create_map(F.lit("value"), n("0")))
-                .otherwise(F.create_map(F.lit("kd"), F.lit(1.3))))
+    expected = (F.when(key % 5 == 0, F.create_map(F.lit("value"), n("s_suppkey % 3")))
+                .when(key % 5 == 1, F.create_map(F.lit("wins"), n("s_suppkey % 2"), F.lit("losses"), n("s_suppkey % 3")))
+                .when(key % 5 == 2, F.create_map(F.lit("value"), n("0")))
+                .when(key % 5 == 3, F.create_map(F.lit("kd"), F.lit(1.3)))
+                .otherwise(F.create_map(F.lit("maps_delta"), n("s_suppkey % 4"), F.lit("kd_delta"), F.lit(0.0))))
     return t("supplier").select(
         key.alias("id"), key.alias("entity"), metric.alias("metric"), F.lit("2000-06-30").cast("date").alias("as_of"),
-        F.when(key % 3 == 0, F.array(F.lit(1996), F.lit(1997), F.lit(1998))).alias("seasons"),
-        F.when(key % 5 == 0, F.array(F.lit("1996-01"), F.lit("1996-02"), F.lit("1997-03"))).alias("events"),
+        F.when(key % 3 == 0, F.array(F.lit(1996), F.lit(1997), F.lit(1998), F.lit(1997))).alias("seasons"),
+        F.when(key % 7 == 0, F.array(F.lit("1996-01"), F.lit("1996-02"), F.lit("1997-03"))).alias("events"),
         F.when(key % 8 == 3, F.array(F.lit("R"))).alias("modes"), expected.alias("expected"), F.lit(0.1).alias("tolerance"))
 
 
-@query("c16_audit_claims", """
-WITH c AS (SELECT s_suppkey AS id, s_suppkey % 4 AS m FROM supplier),
+CLAIMED = """date <= DATE '2000-06-30' AND (entity % 3 <> 0 OR season IN (1996, 1997, 1998)) AND (entity % 7 <> 0 OR event IN ('1996-01', '1996-02', '1997-03'))"""
+
+
+@query("c16_audit_claims", f"""
+WITH c AS (SELECT s_suppkey AS id, s_suppkey % 5 AS m FROM supplier),
 w AS (SELECT entity, count(*) FILTER (place = 1) AS wins, count(*) FILTER (place = 2) AS losses, count(*) FILTER (place = 1 AND month = 12 - season % 5) AS titles
-  FROM placement WHERE date <= DATE '2000-06-30' AND (entity % 3 <> 0 OR season IN (1996, 1997, 1998)) AND (entity % 5 <> 0 OR event IN ('1996-01', '1996-02', '1997-03')) GROUP BY 1),
-k AS (SELECT entity, round(CASE WHEN sum(bad) > 0 THEN CAST(sum(good) AS DOUBLE) / sum(bad) END, 3) AS kd FROM cobs
-  WHERE date <= DATE '2000-06-30' AND (entity % 3 <> 0 OR season IN (1996, 1997, 1998)) AND (entity % 5 <> 0 OR event IN ('1996-01', '1996-02', '1997-03'))
-    AND (entity % 8 <> 3 OR mode = 'R') GROUP BY 1),
-r AS (SELECT id, CASE m WHEN 0 THEN 'raw_wins' WHEN 1 THEN 'finals_record' WHEN 2 THEN 'championships' ELSE 'overall_kd' END AS metric,
+  FROM placement WHERE {CLAIMED} GROUP BY 1),
+k AS (SELECT entity, count(*) AS maps, count(*) FILTER (good % 5 <> 0) AS other_maps, round(CASE WHEN sum(bad) > 0 THEN CAST(sum(good) AS DOUBLE) / sum(bad) END, 3) AS kd,
+  round(CASE WHEN sum(bad) FILTER (good % 5 <> 0) > 0 THEN CAST(sum(good) FILTER (good % 5 <> 0) AS DOUBLE) / sum(bad) FILTER (good % 5 <> 0) END, 3) AS other_kd FROM cobs
+  WHERE {CLAIMED} AND (entity % 8 <> 3 OR mode = 'R') GROUP BY 1),
+r AS (SELECT id, CASE m WHEN 0 THEN 'raw_wins' WHEN 1 THEN 'finals_record' WHEN 2 THEN 'championships' WHEN 3 THEN 'overall_kd' ELSE 'kd_delta' END AS metric,
   CASE m WHEN 0 THEN CAST(coalesce(wins, 0) <> id % 3 AS INTEGER) WHEN 1 THEN CAST(coalesce(wins, 0) <> id % 2 AS INTEGER) + CAST(coalesce(losses, 0) <> id % 3 AS INTEGER)
-    WHEN 2 THEN CAST(coalesce(titles, 0) <> 0 AS INTEGER) ELSE CAST(NOT coalesce(abs(kd - 1.3::DOUBLE) <= 0.1::DOUBLE, FALSE) AS INTEGER) END AS failed
+    WHEN 2 THEN CAST(coalesce(titles, 0) <> 0 AS INTEGER) WHEN 3 THEN CAST(NOT coalesce(abs(kd - 1.3::DOUBLE) <= 0.1::DOUBLE, FALSE) AS INTEGER)
+    ELSE CAST(coalesce(maps, 0) - coalesce(other_maps, 0) <> id % 4 AS INTEGER) + CAST(NOT coalesce(abs(round(kd - other_kd, 3)) <= 0.1::DOUBLE, FALSE) AS INTEGER) END AS failed
   FROM c LEFT JOIN w ON w.entity = id LEFT JOIN k ON k.entity = id)
 SELECT id, metric, failed = 0 AS ok, CAST(failed AS BIGINT) AS failed FROM r""")
 def c16(t):
     placed = px.placement(t).withColumn("championship", F.expr("month = 12 - season % 5"))
-    return quality.audit_claims(claims(t), placed.where("place = 1"), placed, px.counted_obs(t, opponent=False))
+    seen = px.counted_obs(t, opponent=False)
+    return quality.audit_claims(claims(t), placed.where("place = 1"), placed, seen, seen.where("good % 5 <> 0"))
 
 
 def evidence(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import association, clustering, distance_sums, joins, observation, scoring, similarity
+from ..operators import association, clustering, distance_sums, joins, neighbours, observation, scoring, similarity
 from ..plans import pin
 from . import proxies as px
 from .registry import Tables, cte, query
@@ -80,7 +80,7 @@ def scaled_with_roles(t: Tables):
 
 def near_ids(points):
     """Every entity with its six nearest others."""
-    return similarity.nearest(points, SPACE, 6).select(F.col("entity").alias("a"), F.col("other").alias("b"))
+    return neighbours.nearest(points, SPACE, 6).select(F.col("entity").alias("a"), F.col("other").alias("b"))
 
 
 cte("role_seasons", """
@@ -122,7 +122,7 @@ def d05(t):
 
 @query("d06_nearest", "SELECT entity, other, distance, position FROM ranked_pairs WHERE position <= 6")
 def d06(t):
-    return similarity.nearest(scaled_with_roles(t), SPACE, 6).drop("score")
+    return neighbours.nearest(scaled_with_roles(t), SPACE, 6).drop("score")
 
 
 def mates(t):
@@ -139,7 +139,7 @@ m AS (SELECT a.entity AS a, b.entity AS b FROM s a JOIN s b ON a.entity <> b.ent
 SELECT entity, other, distance, position FROM (SELECT entity, other, distance, row_number() OVER (PARTITION BY entity ORDER BY distance, other) AS position
   FROM ranked_pairs WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.a = entity AND m.b = other)) WHERE position <= 6""")
 def d06n(t):
-    return similarity.nearest(scaled_with_roles(t), SPACE, 6, *mates(t)).drop("score")
+    return neighbours.nearest(scaled_with_roles(t), SPACE, 6, *mates(t)).drop("score")
 
 
 @query("d12_metric_percentiles", "WITH l AS (SELECT entity, unnest([" + ", ".join(f"'{n}'" for n in SPACE.names) + "]) AS feature, unnest([" + ", ".join(
@@ -153,7 +153,7 @@ def d12(t):
 
 @query("j09_similarity_join", "SELECT a, b, round(distance, 8) AS distance FROM every_pair WHERE a < b AND round(distance, 9) <= 0.12")
 def j09(t):
-    return similarity.within_distance(scaled_with_roles(t), SPACE, 0.12).withColumn("distance", F.round("distance", 8))
+    return neighbours.within_distance(scaled_with_roles(t), SPACE, 0.12).withColumn("distance", F.round("distance", 8))
 
 
 @query("d07_k_medoids")

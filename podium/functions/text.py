@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,3 +155,88 @@ def table_cells(df: DataFrame, text: str, keys: Sequence[str], row_mark: str, ce
     rows = df.select(*keys, F.posexplode(F.split(F.col(text), row_mark)).alias("row_no", "row_text"))
     return (rows.select(*keys, "row_no", F.posexplode(F.split("row_text", cell_mark)).alias("cell_no", "cell_raw"))
             .withColumn("cell", clean_markup(F.col("cell_raw"))))
+
+
+def number(c: Column) -> Column:
+    """The number a cell shows; null for blanks, dashes and words."""
+    text = clean_markup(c)
+    return F.when(~text.isin("", "-", "N/A"), text.try_cast("double"))
+
+
+def link(c: Column) -> tuple[Column, Column]:
+    """Label and target of the first link of a cell; a cell without one is its own label."""
+    target = F.regexp_extract(c, r"\[\[([^|\]]+)(?:\|[^\]]+)?\]\]", 1)
+    label = F.coalesce(F.nullif(F.regexp_extract(c, r"\[\[[^|\]]+\|([^\]]+)\]\]", 1), F.lit("")), F.replace(F.trim(target), F.lit("_"), F.lit(" ")))
+    has = target != ""
+    return F.when(has, clean_markup(label)).otherwise(clean_markup(c)), F.when(has, clean_markup(F.replace(F.trim(target), F.lit("_"), F.lit(" "))))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where a table of ``kind`` keeps its columns, for rows of at least ``least`` cells; places count from 0."""
+
+    kind: str
+    least: int
+    link: int
+    texts: Mapping[str, int]
+    numbers: Mapping[str, int]
+    groups: Mapping[str, Mapping[str, int]]
+
+
+def row_cells(row: Column) -> Column:
+    """Cells of one marked-up row: on one line between double bars, or one a line."""
+    inline = F.transform(F.split(F.trim(row), r"\|\|"), lambda c: F.trim(c))
+    lines = F.transform(F.split(F.trim(row), "\n"), lambda c: F.trim(c))
+    return F.when(F.contains(row, F.lit("||")), inline).otherwise(F.filter(lines, lambda c: c.startswith("|") & ~c.startswith("|}")))
+
+
+def table_records(df: DataFrame, text: str, kind: str, keys: Sequence[str], layouts: Sequence[Layout], generic: Mapping[str, int],
+                  least: int = 6) -> DataFrame:
+    """One record per row of the marked-up tables in ``text``: link label and target, texts, numbers and groups of numbers.
+
+    A row of fewer than ``least`` cells is none.  A row that is wide enough for a layout of its table's kind is read by it; any other has its
+    columns where ``generic`` puts them after its first linked cell (with a text before it as ``date``, if that is the second cell), and none without one.
+    """
+    names = list(dict.fromkeys(n for x in layouts for n in x.numbers))
+    texts = list(dict.fromkeys(n for x in layouts for n in x.texts))
+    groups = list(dict.fromkeys(g for x in layouts for g in x.groups))
+    rows = df.select(*keys, F.col(kind).alias("_kind"), F.posexplode(F.split(F.col(text), r"\n\|-\n")).alias("row_no", "_raw"))
+    cells = rows.where(F.ltrim(F.col("_raw")).startswith("|")).withColumn("_cells", row_cells(F.col("_raw"))).where(F.size("_cells") >= least)
+    at = F.array_position(F.transform("_cells", lambda c: F.contains(c, F.lit("[["))), True) - 1
+    cells = cells.withColumn("_at", at.cast("int"))
+
+    def cell(place: int | Column) -> Column:
+        return F.get("_cells", F.lit(place) if isinstance(place, int) else place)
+
+    def fits(x: Layout) -> Column:
+        return (F.col("_kind") == x.kind) & (F.size("_cells") >= x.least)
+
+    known = F.lit(False)
+    for x in layouts:
+        known = known | F.coalesce(fits(x), F.lit(False))
+    reach = max(generic.values())
+    cells = cells.where(known | ((F.col("_at") >= 0) & (F.size("_cells") > F.col("_at") + reach)))
+
+    def pick(of, other: Column) -> Column:
+        out = other
+        for x in reversed(layouts):
+            value = of(x)
+            out = F.when(fits(x), F.lit(None) if value is None else value).otherwise(out)
+        return out
+
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    after = {n: cell(F.col("_at") + g) for n, g in generic.items()}
+    label = pick(lambda x: link(cell(x.link))[0], link(cell(F.col("_at")))[0])
+    target = pick(lambda x: link(cell(x.link))[1], link(cell(F.col("_at")))[1])
+    out = [label.alias("event"), target.alias("event_target")]
+    for n in texts:
+        other = clean_markup(after[n]) if n in after else F.when(F.col("_at") == 1, blank_to_null(clean_markup(cell(0)))) if n == "date" else no_text
+        value = pick(lambda x, n=n: clean_markup(cell(x.texts[n])) if n in x.texts else no_text, other)
+        out.append((blank_to_null(value) if n == "date" else value).alias(n))
+    for n in names:
+        out.append(pick(lambda x, n=n: number(cell(x.numbers[n])) if n in x.numbers else nothing, number(after[n]) if n in after else nothing).alias(n))
+    no_map = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    for g in groups:
+        out.append(pick(lambda x, g=g: F.create_map(*[v for m, i in x.groups[g].items() for v in (F.lit(m), number(cell(i)))]) if x.groups.get(g) else no_map,
+                        no_map).alias(g))
+    return cells.select(*keys, "row_no", *out).where(F.coalesce(F.col("event"), F.lit("")) != "")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, compact_key, entity_key, strip_paren
@@ -302,40 +303,82 @@ def exclude_groups(df: DataFrame, key: Sequence[str], members: DataFrame, column
     return df.join(hit, list(key), "left_anti"), hit
 
 
-def audit_claims(claims: DataFrame, wins: DataFrame, placements: DataFrame, observations: DataFrame) -> DataFrame:
+def as_of_sums(claims: DataFrame, facts: DataFrame, filters: dict[str, str], measures: Sequence[str]) -> DataFrame:
+    """(id, *measures): for each claim the sums of its entity's facts up to its date, under its lists of allowed values.
+
+    claims(id, entity, as_of, lists...), facts(entity, date, dimensions..., measures); filters maps a claim's list column to the dimension it
+    restricts, and a null list restricts nothing.  Facts become sums per day and claims one row per combination of listed values; both are
+    lined up by date once and summed on, and a claim reads the sum at its place.  A key has one row a day and one per claim,
+    so an entity with many facts and many claims costs their sum, not their product.  Undated facts count as earlier than any date.
+    """
+    lists, dims = list(filters), list(filters.values())
+    first = F.lit("1900-01-01").cast("date")
+    daily = facts.where(F.col("entity").isNotNull()).groupBy("entity", *dims, F.coalesce(F.col("date").cast("date"), first).alias("date")) \
+        .agg(*[F.sum(m).alias(m) for m in measures])
+    asked = claims.select("id", "entity", F.col("as_of").cast("date").alias("date"), *lists)
+    kinds = asked.select(*[F.col(c).isNull().alias(c) for c in lists]).distinct().collect()  # at most two to the number of lists
+    lined = None
+    for number, kind in enumerate(kinds):
+        kept = [(c, d) for c, d in filters.items() if not kind[c]]
+        names = [d for _, d in kept]
+        any_value = [F.lit(None).cast(facts.schema[d].dataType).alias(d) for d in dims if d not in names]
+        known = daily.dropna(subset=names) if names else daily
+        days = known.groupBy("entity", *names, "date").agg(*[F.sum(m).alias(m) for m in measures]) \
+            .select("entity", *names, *any_value, "date", *measures, F.lit(False).alias("asks"), F.lit(None).cast(claims.schema["id"].dataType).alias("id"))
+        own = asked.where(" AND ".join([f"{c} IS {'NULL' if kind[c] else 'NOT NULL'}" for c in lists] or ["TRUE"]))
+        for c, d in kept:
+            own = own.withColumn(d, F.explode(F.array_distinct(c)))
+        own = own.select("entity", *[F.col(d).cast(facts.schema[d].dataType).alias(d) for d in names], *any_value, "date",
+                         *[F.lit(None).cast(daily.schema[m].dataType).alias(m) for m in measures], F.lit(True).alias("asks"), "id")
+        part = days.unionByName(own).withColumn("kind", F.lit(number))
+        lined = part if lined is None else lined.unionByName(part)
+    if lined is None:
+        return claims.select("id", *[F.lit(0).cast("double").alias(m) for m in measures])
+    so_far = W.partitionBy("kind", "entity", *dims).orderBy(F.col("date").asc_nulls_first(), "asks").rowsBetween(W.unboundedPreceding, 0)
+    read = lined.select("id", "asks", *[F.sum(m).over(so_far).alias(m) for m in measures]).where("asks")
+    sums = read.groupBy("id").agg(*[F.sum(m).alias(m) for m in measures])
+    return claims.select("id").join(sums, "id", "left").select("id", *[F.coalesce(F.col(m), F.lit(0)).cast("double").alias(m) for m in measures])
+
+
+def audit_claims(claims: DataFrame, wins: DataFrame, placements: DataFrame, observations: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Compare each claimed number with the tables, as of the claim's date.
 
     claims(id, metric, entity, as_of, seasons, events, modes, expected map<string,double>, tolerance);
-    a null filter list matches everything.  Counts compare exactly, ``kd`` within the tolerance,
-    and every expected name has to match.
+    a null filter list matches everything.  Counts compare exactly, ratios and their difference within the tolerance,
+    and every expected name has to match.  ``kd_delta`` sets the observations beside those of another source (``others``): maps and
+    ratio of both, and local minus other.
     """
-    def facing(facts: DataFrame, mode: bool = False) -> DataFrame:
-        keep = (F.col("c.entity") == F.col("f.entity")) & (F.coalesce(F.col("f.date"), F.lit("1900-01-01").cast("date")) <= F.col("c.as_of"))
-        keep = keep & (F.col("c.seasons").isNull() | F.array_contains("c.seasons", F.col("f.season")))
-        keep = keep & (F.col("c.events").isNull() | F.array_contains("c.events", F.col("f.event")))
-        if mode:
-            keep = keep & (F.col("c.modes").isNull() | F.array_contains("c.modes", F.col("f.mode")))
-        return keep
-
-    slim = claims.select("id", "metric", "entity", "as_of", "seasons", "events", "modes")
-    def measured(metric: Sequence[str], facts: DataFrame, mode: bool, **aggs: Column) -> DataFrame:
-        c = slim.where(F.col("metric").isin(list(metric)))
-        joined = c.alias("c").join(facts.alias("f"), facing(facts, mode), "left")
-        return joined.groupBy("c.id").agg(*[a.alias(n) for n, a in aggs.items()]).unpivot("id", list(aggs), "name", "actual")
-
-    present = F.col("f.entity").isNotNull()
-    win_facts = measured(["raw_wins"], wins, False, value=F.count_if(present).cast("double"))
-    titles = measured(["championships"], wins.where("championship"), False, value=F.count_if(present).cast("double"))
-    finals = measured(["finals_record"], placements, False, wins=F.count_if(F.col("f.place") == 1).cast("double"),
-                      losses=F.count_if(F.col("f.place") == 2).cast("double"))
-    per_day = observations.groupBy("entity", "date", "season", "event", "mode").agg(
-        F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("maps"))
-    kd = measured(["overall_kd"], per_day, True, good=F.coalesce(F.sum("f.good"), F.lit(0)).cast("double"),
-                  bad=F.coalesce(F.sum("f.bad"), F.lit(0)).cast("double"), maps=F.coalesce(F.sum("f.maps"), F.lit(0)).cast("double"),
-                  kd=F.round(F.try_divide(F.sum("f.good").cast("double"), F.sum("f.bad").cast("double")), 3))
-    actual = win_facts.unionByName(titles).unionByName(finals).unionByName(kd)
+    by_event = {"seasons": "season", "events": "event"}
+    by_mode = by_event | {"modes": "mode"}
+
+    def long(sums: DataFrame, **values: Column) -> DataFrame:
+        return sums.select("id", *[v.alias(n) for n, v in values.items()]).unpivot("id", list(values), "name", "actual")
+
+    def of(*metrics: str) -> DataFrame:
+        return claims.where(F.col("metric").isin(list(metrics)))
+
+    one = F.lit(1)
+    won = as_of_sums(of("raw_wins", "championships"), wins.withColumn("won", one).withColumn("titles", F.col("championship").cast("int")), by_event, ["won", "titles"])
+    won = won.join(claims.select("id", "metric"), "id")
+    parts = [long(won, value=F.when(F.col("metric") == "raw_wins", F.col("won")).otherwise(F.col("titles")))]
+    finals = placements.select("*", F.when(F.col("place") == 1, 1).alias("wins"), F.when(F.col("place") == 2, 1).alias("losses"))
+    parts.append(long(as_of_sums(of("finals_record"), finals, by_event, ["wins", "losses"]), wins=F.col("wins"), losses=F.col("losses")))
+
+    def kd(side: str = "") -> Column:
+        return F.round(F.try_divide(F.col(f"{side}good"), F.nullif(F.col(f"{side}bad"), F.lit(0.0))), 3)
+
+    stats = ["good", "bad", "maps"]
+    local = as_of_sums(of("overall_kd", "kd_delta"), observations.withColumn("maps", one), by_mode, stats)
+    parts.append(long(local, good=F.col("good"), bad=F.col("bad"), maps=F.col("maps"), kd=kd()))
+    if others is not None:
+        there = as_of_sums(of("kd_delta"), others.withColumn("maps", one), by_mode, stats).select("id", *[F.col(c).alias(f"other_{c}") for c in stats])
+        parts.append(long(local.join(there, "id"), other_maps=F.col("other_maps"), other_kd=kd("other_"), maps_delta=F.col("maps") - F.col("other_maps"),
+                          kd_delta=F.round(kd() - kd("other_"), 3)))
+    actual = parts[0]
+    for part in parts[1:]:
+        actual = actual.unionByName(part)
     wanted = claims.select("id", "metric", "tolerance", F.explode("expected").alias("name", "expected"))
-    close = F.when(F.col("name") == "kd", F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")) \
+    close = F.when(F.col("name").isin("kd", "other_kd", "kd_delta"), F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")) \
              .otherwise(F.col("actual") == F.col("expected"))
     checked = wanted.join(actual, ["id", "name"], "left").withColumn("ok", F.coalesce(close, F.lit(False)))
     return checked.groupBy("id", "metric").agg(F.bool_and("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))

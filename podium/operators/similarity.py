@@ -1,4 +1,4 @@
-"""Mixed-feature similarity: feature tables, robust scaling, pair distances, exact nearest neighbours.
+"""Mixed-feature similarity: feature tables, robust scaling, pair distances and what explains them.
 
 A distance is the weighted mean of per-feature differences, each capped at 1, over the features
 present on both sides, blended with the disagreement of roles in shared seasons.
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio
-from ..plans import exact_quantile, pin, row_rank
-from .boards import top_k
+from ..plans import exact_quantile
 
 # Rows needed before a skill rate counts, and the co-win level that makes a team mate.
 MIN_SKILL_MAPS = 25
@@ -164,133 +163,3 @@ def explain(pairs: DataFrame, scaled: DataFrame, sp: Space, k: int = 3) -> DataF
     best = listed.select("a", "b", total.alias("_total"), F.posexplode(F.slice(F.sort_array(order), 1, k)).alias("position", "p"))
     share = F.coalesce(F.try_divide(F.col("p.amount"), F.nullif(F.col("_total"), F.lit(0.0))), F.lit(0.0))
     return best.select("a", "b", (F.col("position") + 1).alias("position"), F.col("p.label").alias("label"), share.alias("share"))
-
-
-# --- exact nearest neighbours ------------------------------------------------------------------
-
-CELLS = 32           # grid cells over the projection's range 0..1
-SLACK = 1e-9
-
-
-def _projection(sp: Space, sign: int) -> Column:
-    """Weighted capped difference to a fixed reference point, over the features present."""
-    total = F.lit(0.0)
-    for i, f in enumerate(sp.features):
-        anchor = -sp.cap / 2 if sign > 0 or i % 2 else sp.cap / 2
-        x = F.get("vec", F.lit(i))
-        diff = F.least(F.abs(x - F.lit(anchor)) / F.lit(sp.cap), F.lit(1.0))
-        total = total + F.when(x.isNotNull(), F.lit(f.weight) * diff).otherwise(F.lit(0.0))
-    return total
-
-
-def _profiles(scaled: DataFrame, sp: Space, k: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with equal features, roles and event set collapse to one profile with its k + 1 smallest members."""
-    content = F.to_json(F.struct("vec", F.sort_array(F.map_entries("roles")).alias("roles"), "set_id"))
-    keyed = scaled.withColumn("profile", F.sha2(content, 256))
-    members = keyed.select("profile", "entity")
-    few = top_k(members, ["profile"], [("entity", True)], k + 1).groupBy("profile").agg(F.sort_array(F.collect_list("entity")).alias("ids"))
-    one = keyed.groupBy("profile").agg(*[F.first(c).alias(c) for c in ("vec", "roles", "set_id")])
-    missing = F.lit(0.0)
-    for i, f in enumerate(sp.features):
-        missing = missing + F.when(F.get("vec", F.lit(i)).isNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
-    rows = (one.join(few, "profile").withColumn("p1", _projection(sp, 1)).withColumn("p2", _projection(sp, -1))
-            .withColumn("missing", missing))
-    return rows, members
-
-
-def _allowed(pairs: DataFrame, mates: DataFrame | None) -> DataFrame:
-    """Drop profile pairs whose event sets are listed as team mates."""
-    if mates is None:
-        return pairs
-    return pairs.join(mates, (F.col("a_set_id") == F.col("mate_a")) & (F.col("b_set_id") == F.col("mate_b")), "left_anti")
-
-
-def _reach(rows: DataFrame, sp: Space, k: int, mates: DataFrame | None) -> DataFrame:
-    """An upper bound on each profile's k-th neighbour distance, from neighbours in projection order.
-
-    Profiles are cut into chunks of fixed size along the projection; a chunk offers at least k
-    others, whatever the size of the table.  A profile with fewer allowed ones gets the bound 1.
-    """
-    size = 2 * (k + 1)
-    ordered = row_rank(rows.drop("ids"), [], [("p1", True), ("profile", True)], "pos")
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))  # one row
-    chunked = ordered.crossJoin(total).withColumn(
-        "chunk", F.least(F.floor((F.col("pos") - 1) / size), F.greatest(F.floor(F.col("_n") / size) - 1, F.lit(0)))).drop("_n", "pos")
-    a, b = prefixed(chunked, "a_"), prefixed(chunked, "b_")
-    near = _allowed(a.join(b, (F.col("a_chunk") == F.col("b_chunk")) & (F.col("a_profile") != F.col("b_profile"))), mates)
-    per = near.select(F.col("a_profile").alias("profile"), distance(sp).alias("d")).groupBy("profile").agg(
-        F.sort_array(F.collect_list("d")).alias("ds"))
-    return rows.join(per, "profile", "left").withColumn("reach", F.coalesce(F.get("ds", F.lit(k - 1)), F.lit(1.0))).drop("ds")
-
-
-def nearest(scaled: DataFrame, sp: Space, k: int, sets: DataFrame | None = None, mates: DataFrame | None = None) -> DataFrame:
-    """The exact k nearest others of every entity (ties by entity), without comparing all pairs.
-
-    With sets(entity, set_id) and mates(set_id, other_id) team mates are left out: entities whose
-    event sets are listed as a pair, a set listed with itself included.
-
-    1. Equal rows collapse to profiles, so copies are compared once.
-    2. A cheap pass bounds every profile's k-th distance.
-    3. Capped differences obey the triangle inequality, so two profiles closer than that bound must
-       have projections within bound / (1 - role weight) plus the weight of missing features.  An
-       equi-join on grid cells of one projection, filtered by a second, yields every such pair;
-       Spark splits crowded cells as skewed join partitions.
-    4. The few survivors are measured exactly and cut to k per profile, then expanded to members.
-    """
-    if mates is not None:
-        pairs = mates.select(F.col("set_id").alias("mate_a"), F.col("other_id").alias("mate_b"))
-        mates = pin(pairs.union(pairs.select("mate_b", "mate_a")).distinct())
-        scaled = scaled.join(sets.select("entity", "set_id"), "entity", "left")
-    else:
-        scaled = scaled.withColumn("set_id", F.lit(None).cast("long"))
-    rows, members = _profiles(scaled, sp, k)
-    rows = pin(_reach(pin(rows), sp, k, mates))
-    radius = F.col("reach") / F.lit(1 - sp.role_weight) + F.lit(SLACK)
-    def cells(lo: Column, hi: Column) -> tuple[Column, Column]:
-        clip = lambda c: F.least(F.greatest(F.floor(c * CELLS), F.lit(0)), F.lit(CELLS)).cast("int")
-        return clip(lo), clip(hi)
-    lo_p, hi_p = cells(F.col("p1") - F.col("missing"), F.col("p1") + F.col("missing"))
-    lo_q, hi_q = cells(F.col("p1") - F.col("missing") - radius, F.col("p1") + F.col("missing") + radius)
-    asked = prefixed(rows.withColumn("radius", radius).withColumn("first", lo_q).withColumn("cell", F.explode(F.sequence(lo_q, hi_q))).drop("ids", "reach"), "a_")
-    offered = prefixed(rows.withColumn("first", lo_p).withColumn("cell", F.explode(F.sequence(lo_p, hi_p))).drop("reach"), "b_")
-    slack = F.col("a_radius") + F.col("a_missing") + F.col("b_missing")
-    close = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_cell") == F.greatest("a_first", "b_first")) \
-        & (F.col("a_profile") != F.col("b_profile")) \
-        & (F.abs(F.col("a_p1") - F.col("b_p1")) <= slack) & (F.abs(F.col("a_p2") - F.col("b_p2")) <= slack)
-    measured = _allowed(asked.join(offered, close), mates).select(
-        F.col("a_profile").alias("profile"), F.explode(F.slice("b_ids", 1, k)).alias("other"), F.round(distance(sp), 9).alias("distance"))
-    best = top_k(measured, ["profile"], [("distance", True), ("other", True)], k).drop("position")
-    self_distance = F.when(F.col("missing") < 1 - SLACK, 0.0).otherwise(1.0)
-    shared = rows.where(F.size("ids") > 1)
-    if mates is not None:
-        shared = shared.join(mates.where("mate_a = mate_b"), F.col("set_id") == F.col("mate_a"), "left_anti")
-    own = shared.select("profile", F.explode("ids").alias("other"), self_distance.alias("distance"))
-    offers = members.join(best.unionByName(own), "profile").where(F.col("entity") != F.col("other"))
-    return top_k(offers.drop("profile"), ["entity"], [("distance", True), ("other", True)], k) \
-        .withColumn("score", F.round((1 - F.col("distance")) * 100, 6))
-
-
-def within_distance(scaled: DataFrame, sp: Space, limit: float) -> DataFrame:
-    """(a, b, distance) of every pair a < b no further apart than ``limit``, exactly.
-
-    The same projection bound as ``nearest`` with one radius for all rows; only pairs in touching
-    cells are measured.  Rows with equal content are measured once per pair of contents.
-    """
-    rows, members = _profiles(scaled.withColumn("set_id", F.lit(None).cast("long")), sp, 1)
-    rows = pin(rows)
-    reach = F.lit(limit / (1 - sp.role_weight) + SLACK)
-    def cells(lo: Column, hi: Column) -> tuple[Column, Column]:
-        clip = lambda c: F.least(F.greatest(F.floor(c * CELLS), F.lit(0)), F.lit(CELLS)).cast("int")
-        return clip(lo), clip(hi)
-    lo_p, hi_p = cells(F.col("p1") - F.col("missing"), F.col("p1") + F.col("missing"))
-    lo_q, hi_q = cells(F.col("p1") - F.col("missing") - reach, F.col("p1") + F.col("missing") + reach)
-    a = prefixed(rows.withColumn("first", lo_q).withColumn("cell", F.explode(F.sequence(lo_q, hi_q))), "a_")
-    b = prefixed(rows.withColumn("first", lo_p).withColumn("cell", F.explode(F.sequence(lo_p, hi_p))), "b_")
-    slack = reach + F.col("a_missing") + F.col("b_missing")
-    close = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_cell") == F.greatest("a_first", "b_first")) \
-        & (F.abs(F.col("a_p1") - F.col("b_p1")) <= slack) & (F.abs(F.col("a_p2") - F.col("b_p2")) <= slack)
-    d = F.when((F.col("a_profile") == F.col("b_profile")) & (F.col("a_missing") < 1 - SLACK), 0.0).otherwise(distance(sp))
-    found = a.join(b, close).select("a_profile", "b_profile", d.alias("distance")).where(F.round("distance", 9) <= limit)
-    one, two = members.select(F.col("profile").alias("a_profile"), F.col("entity").alias("a")), members.select(
-        F.col("profile").alias("b_profile"), F.col("entity").alias("b"))
-    return found.join(one, "a_profile").join(two, "b_profile").where("a < b").select("a", "b", "distance")

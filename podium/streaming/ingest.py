@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT = "unit"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str,
@@ -16,42 +18,41 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, o
     """Ingest the files not seen before and stop.
 
     Finished files are skipped through the checkpoint.  Rows failing ``valid`` go to quarantine with
-    the file they came from; the rest continues.  A batch is written once before it is split; it keeps one row
-    per key (by file, then content) and skips keys of earlier batches.  Every batch writes its own directories in overwrite mode, so a batch that is
+    the file they came from; of the rest one row per key is kept, and none whose key an earlier batch has.  The keys seen are a state store
+    (RocksDB) of the stream, so a batch reads its own files and looks its keys up, however much has landed.  Two streams read
+    the files, one for the rows and one for the account of files and rejects.  Every batch writes its own directories in overwrite mode, so a batch that is
     replayed after a failure replaces itself.
     """
-    reader = spark.readStream.schema(schema).format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(source).withColumn(UNIT, F.col("_metadata.file_name"))
+    def stream() -> DataFrame:
+        reader = spark.readStream.schema(schema).format(fmt)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.load(source).withColumn(UNIT, F.col("_metadata.file_name"))
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        ok = F.coalesce(F.expr(valid), F.lit(False))
-        batch.write.mode("overwrite").parquet(f"{out}/read/batch={batch_id}")
-        batch = spark.read.schema(batch.schema).parquet(f"{out}/read/batch={batch_id}")
-        rest = F.struct(*[c for c in batch.columns if c not in keys])
+    ok = F.coalesce(F.expr(valid), F.lit(False))
+
+    def account(batch: DataFrame, batch_id: int) -> None:
         batch.where(~ok).withColumn("reason", F.lit(f"not ({valid})")).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
-        good = batch.where(ok).groupBy(*keys).agg(F.min_by(rest, F.struct(F.col(UNIT), F.to_json(rest))).alias("r")) \
-                    .select(*keys, "r.*")
-        earlier = landed(spark, out, schema, before=batch_id)
-        if earlier is not None:
-            good = good.join(earlier.select(*keys), list(keys), "left_anti")
-        good.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
         batch.groupBy(UNIT).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~ok).alias("rejected")) \
             .write.mode("overwrite").parquet(f"{out}/units/batch={batch_id}")
 
-    query = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        for frame, write, name in ((stream().where(ok).dropDuplicates(list(keys)), land, "rows"), (stream(), account, "units")):
+            frame.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{name}") \
+                .trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
-def landed(spark: SparkSession, out: str, schema: T.StructType, before: int | None = None) -> DataFrame | None:
-    """Ingested rows of all batches, or of the batches before one; null when there are none yet."""
-    if before == 0:
-        return None
+def landed(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """Ingested rows of all batches."""
     full = T.StructType([*schema.fields, T.StructField(UNIT, T.StringType()), T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).parquet(f"{out}/rows")
-    return rows if before is None else rows.where(F.col("batch") < before)
+    return spark.read.schema(full).parquet(f"{out}/rows")
 
 
 def ingest_progress(spark: SparkSession, out: str) -> DataFrame:

@@ -53,3 +53,22 @@ def test_title_key_collapses_repeats(frame):
 def test_reception_is_bounded_and_neutral_without_score(frame):
     row = frame("s int", (40,), (-50,), (0,), (None,)).select(weights.reception_raw(F.col("s"), F.lit(40), F.lit(50)).alias("w")).collect()
     assert [r["w"] for r in row] == [1.25, 0.75, 1.0, 1.0]
+
+
+def test_table_records_by_layout_and_without(spark):
+    layout = text.Layout("wide", 8, 1, {"date": 0, "team": 2}, {"maps": 3, "kd": 4}, {"mode_kd": {"A": 5, "B": 6}})
+    table = "\n|-\n".join([
+        '{| class="x"', "| 2014 || [[Big_Event#1|The ''\'Event'\'']] || [[Red_Team]] || 12 || 1.05 || 0.9 || - || x",  # the layout
+        "| [[Other Event]] || Blue || N/A || 0.8 || 3 || y",                                                       # no layout: link first
+        "| May || [[A|B]] || align=\"c\" | <i>Green</i> || 7 || 1e1 || two",                                         # link second, date before it
+        "|2015\n|[[Lines_Event]]\n|Team\n|4\n|1.5\n|.25\n|2\n|z", "| a || b || c || d || e || f", "| [[short]] || b", "|}"])
+    df = spark.createDataFrame([(1, table, "wide"), (2, table, "other"), (3, None, "wide"), (4, "", None)], "id int, text string, kind string")
+    got = {(r["id"], r["row_no"]): r for r in text.table_records(df, "text", "kind", ["id"], [layout], {"team": 1, "maps": 2, "kd": 3}).collect()}
+    assert sorted(got) == [(i, n) for i in (1, 2) for n in (1, 2, 3, 4)]
+    wide, first, second, lines = (got[1, n] for n in (1, 2, 3, 4))
+    assert (wide["event"], wide["event_target"], wide["date"], wide["maps"], wide["kd"]) == ("The Event", "Big Event#1", "2014", 12.0, 1.05)
+    assert wide["mode_kd"] == {"A": 0.9, "B": None} and first["mode_kd"] == {}
+    assert (first["event"], first["event_target"], first["date"], first["team"], first["maps"], first["kd"]) == ("Other Event", "Other Event", None, "Blue", None, 0.8)
+    assert (second["event"], second["event_target"], second["date"], second["team"], second["maps"], second["kd"]) == ("B", "A", "May", "Green", 7.0, 10.0)
+    assert (lines["event"], lines["date"], lines["team"], lines["maps"], lines["mode_kd"]) == ("Lines Event", "2015", "Team", 4.0, {"A": 0.25, "B": 2.0})
+    assert (got[2, 1]["event"], got[2, 1]["maps"], got[2, 1]["kd"]) == ("The Event", 12.0, 1.05) and got[2, 1]["mode_kd"] == {}

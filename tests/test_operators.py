@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import association, careers, clustering, consensus, joins, observation, quality, scenarios, scoring, similarity
+from podium.operators import association, careers, clustering, consensus, joins, neighbours, observation, quality, scenarios, scoring, similarity
 from podium.sources import publish, tables
 from podium.streaming import ingest
 
@@ -172,7 +172,7 @@ def brute_distance(a, b):
 def test_nearest_is_exact_with_copies_and_missing_values(spark):
     df, rows = random_points(spark)
     got = {}
-    for r in similarity.nearest(df, SPACE, 4).collect():
+    for r in neighbours.nearest(df, SPACE, 4).collect():
         got.setdefault(r["entity"], []).append((r["position"], r["other"]))
     for a in rows:
         want = sorted((round(brute_distance(a, b), 9), b[0]) for b in rows if b[0] != a[0])[:4]
@@ -181,7 +181,7 @@ def test_nearest_is_exact_with_copies_and_missing_values(spark):
 
 def test_within_distance_is_exact(spark):
     df, rows = random_points(spark, 60, 2)
-    got = {(r["a"], r["b"]) for r in similarity.within_distance(df, SPACE, 0.2).collect()}
+    got = {(r["a"], r["b"]) for r in neighbours.within_distance(df, SPACE, 0.2).collect()}
     assert got == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if round(brute_distance(a, b), 9) <= 0.2}
 
 
@@ -269,6 +269,37 @@ def test_ingest_resumes_and_quarantines(spark, tmp_path):
     assert sorted((r["rows"], r["rejected"]) for r in progress) == [(6, 0), (6, 1)]
 
 
+def test_ingest_reads_only_new_files_and_looks_keys_up(spark, tmp_path):
+    """Keys of earlier batches are found in the state, though the rows that landed are gone."""
+    import shutil
+    root, df = str(tmp_path), spark.range(20).select("id", F.lit("x").alias("v"))
+    df.where("id < 10").coalesce(1).write.parquet(f"{root}/in/a")
+    args = (spark, f"{root}/in/*", df.schema, f"{root}/out", f"{root}/cp", ["id"], "v IS NOT NULL")
+    ingest.incremental_ingest(*args)
+    assert ingest.landed(spark, f"{root}/out", df.schema).count() == 10
+    shutil.rmtree(f"{root}/out/rows")
+    df.where("id >= 5").union(df.where("id > 17")).coalesce(1).write.parquet(f"{root}/in/b")
+    ingest.incremental_ingest(*args)
+    assert sorted(r["id"] for r in ingest.landed(spark, f"{root}/out", df.schema).collect()) == list(range(10, 20))
+    assert spark.conf.get(ingest.STORE, None) != ingest.ROCKS
+
+
+def test_as_of_sums_of_a_hot_entity(spark):
+    """Many claims on an entity of many facts, under all kinds of lists, against brute force; rows lined up are days and claims."""
+    rng = random.Random(4)
+    day = lambda d: None if d is None else f"2001-01-{d:02d}"
+    facts = [(rng.choice([1, 1, 1, 2, None]), rng.choice([1, 2, 3, None]), rng.choice("ab"), rng.choice("xyz"), rng.choice([None, *range(1, 29)]), rng.randint(0, 9)) for _ in range(800)]
+    some = lambda values: rng.choice([None, [], [rng.choice(values)], [*values[:2], values[0]]])
+    claims = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(1, 29)]), some([1, 2, 3]), some(["a", "b"]), some(["x", "y", "z"])) for i in range(300)]
+    f = spark.createDataFrame([(e, s, v, m, day(d), g) for e, s, v, m, d, g in facts], "entity int, season int, event string, mode string, date string, good int")
+    c = spark.createDataFrame([(i, e, day(d), *x) for i, e, d, *x in claims], "id int, entity int, as_of string, seasons array<int>, events array<string>, modes array<string>")
+    got = quality.as_of_sums(c, f.withColumn("date", F.col("date").cast("date")), {"seasons": "season", "events": "event", "modes": "mode"}, ["good"])
+    allowed = lambda values, v: values is None or v in [x for x in values if x is not None]
+    want = {i: float(sum(g for fe, s, v, m, fd, g in facts if e is not None and fe == e and d is not None and (fd or 0) <= d
+                         and allowed(ss, s) and allowed(vs, v) and allowed(ms, m))) for i, e, d, ss, vs, ms in claims}
+    assert {r["id"]: r["good"] for r in got.collect()} == want
+
+
 def test_merge_treats_null_and_blank_alike(frame):
     base = frame("k string, v string", ("a", None))
     batch = frame("k string, v string", ("a", ""), ("b", "x"), ("b", "x"))
