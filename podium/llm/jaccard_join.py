@@ -9,10 +9,11 @@ empty, and empty subsets are no signatures. Partitions beyond the pigeonhole (``
 partners elsewhere; a set with more is signed again under another hash of the domain, and under the last of ``LAYOUTS`` with its empty
 subsets too, so no link is lost.
 
-Equal sets are one class. Within the documents of a signature each class is compared with the group's leader, not with all others; classes
-already in one component need no further comparison. New leaders are taken until the pairs that still lie in different components are no more than ``FEW``
-times the rows they come from (or for ``ROUNDS`` rounds); these are compared one by one, so the components are exact. A pair is
-compared only if its sizes allow a link and so do the shingles that either set shares with no other candidate: all of them count as difference. Every comparison is the exact intersection of the two sets, in the JVM.
+Equal sets are one class. The classes that share a signature with another are split further: a set with more shingles of its own than a link
+allows is alone; of the others, two linked ones share one of their rarest shingles, at places that bound their difference. Within such a group each class is first compared
+with the group's leader only, which joins most copies into one component, and classes in one component need no comparison; then with about ``HEADS``
+members a turn (a small group with all of its own), which leave the group after it, until no group spans two components. So a turn makes rows in proportion to the
+groups' sizes. A pair is compared if it also shares a signature; every comparison is the exact intersection of the two sets, in the JVM.
 
 Defined results: null or wordless text has an empty set, linked with nothing; fewer words than n form one shingle; a doc_id
 that repeats with other text takes, row by row, the component of its own text; a null doc_id counts as the least id and is returned as
@@ -25,7 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import core
@@ -33,7 +35,7 @@ from .tables import ROW, pin, positional, row_id
 
 PARTS, SPARE, LAYOUTS = 3, 2, 4
 SMALL_K = 12
-ROUNDS, FEW = 2, 8
+HEADS = 64
 U = core.U
 
 
@@ -190,6 +192,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             .where(den * F.col("both") >= num * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"))
 
 
+def _tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, id, set, size, own, pos): the shingles that a linked pair must share one of: those among the rarest of each set, at their place.
+
+    A set with more shingles of its own than a link allows has no partner. Of the others, the first places up to that number and one more, by
+    rarity among them, hold a shingle that any partner has within its own first places.
+    """
+    def counted(some: DataFrame) -> DataFrame:
+        return some.select("set", F.explode("shingles").alias("s"))
+
+    single = counted(sets).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("set")).where("n = 1")
+    own = single.groupBy("set").agg(F.count(F.lit(1)).alias("own"))
+    alive = pin(sets.join(own, "set", "left").select("id", "set", "size", "shingles", F.coalesce("own", F.lit(0)).alias("own"))
+                .where(den * F.col("own") <= (den - num) * F.col("size")))
+    often = counted(alive).groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = counted(alive).join(often, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared"))
+    lone = F.col("size") - F.size("shared")  # these come first in the order, and are in no other set
+    places = (F.floor((den - num) * F.col("size") / F.lit(den)) + 1 - lone).cast("int")
+    first = shared.join(alive.select("id", "set", "size", "own"), "set").where(places > 0)
+    return pin(first.select("id", "set", "size", "own", lone.alias("lone"), F.posexplode(F.slice("shared", 1, places)).alias("at", "e"))
+               .select(F.col("e.s").alias("s"), "id", "set", "size", "own", (F.col("lone") + F.col("at")).alias("pos")))
+
+
+def _heads(turn: int) -> Column:
+    """Rows that the rest of their group is compared with in this turn: all of a small group, about ``HEADS`` of a large one."""
+    return F.pmod(F.xxhash64("set", "s", F.lit(turn)), "rows") < HEADS
+
+
 def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of documents."""
     known = pin(keys(documents, n))
@@ -200,38 +229,36 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     members = sigs.join(shared, "sig").join(chosen, "id").distinct()
     nodes = pin(members.groupBy("id").agg(F.collect_set("sig").alias("sigs"), F.first("most").alias("most"), F.first("least").alias("least")))
     members = nodes.select(F.explode("sigs").alias("sig"), "id", "most", "least")
-    sets = pin(shingle_sets(documents.select("doc_id", "text").withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi"), n).distinct())
-    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    own = pin(nodes.select("id").join(single.groupBy("id").agg(F.count("*").alias("own")), "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own")))
+    candidates = documents.select("doc_id", "text").withColumn(ROW, row_id()).join(nodes.select(F.col("id").alias(ROW)), ROW, "left_semi")
+    sets = pin(shingle_sets(candidates, n).distinct().select("id", "shingles", F.xxhash64("id", "shingles").alias("set"), F.size("shingles").alias("size")))
+    tokens = _tokens(sets, num, den)
     labels, links, tried, turn = nodes.select("id", F.col("id").alias("comp")), None, None, 0
     while True:
-        rows = pin(members.join(labels, "id").join(own, "id"))
-        parts = rows.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("within"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = pin(parts.select("sig", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"))
-        left = open_.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("rows")).first()
-        if not left["pairs"]:
+        rows = tokens.join(labels, "id")
+        groups = rows.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        rows = pin(rows.join(groups.select("s", "rows"), "s"))
+        if rows.isEmpty():
             break
-        rows = rows.join(open_.select("sig"), "sig")
-        last = turn >= ROUNDS or left["pairs"] <= FEW * left["rows"]
-        if last:
-            heads = rows
+        if turn == 0:
+            heads = rows.groupBy("s").agg(F.min_by(F.struct("id", "comp", "set", "size", "pos"), F.struct("own", "set")).alias("h")).select("s", "h.*")
         else:
-            rank = F.col("own") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            heads = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "id", "comp", "most", "least", "own")).alias("h")).select("sig", "h.id", "h.comp", "h.most", "h.least", "h.own")
-        heads = heads.select("sig", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "most", "least", "own")])
-        # |x - y| is at least what x alone has, and |y - x| exceeds it by the difference of the sizes
-        differ = F.greatest(F.col("own") + F.col("h_own"), 2 * F.col("own") + F.col("h_least") - F.col("most"), 2 * F.col("h_own") + F.col("least") - F.col("h_most"))
-        fits = ((F.col("comp") != F.col("h_comp")) & (den * F.col("most") >= num * F.col("h_least")) & (den * F.col("h_most") >= num * F.col("least"))
-                & ((den + num) * differ <= (den - num) * (F.col("most") + F.col("h_most"))))
-        pairs = (rows.join(heads, "sig").where(fits)
+            heads = rows.where(_heads(turn)).select("s", "id", "comp", "set", "size", "pos")
+        heads = heads.select("s", *[F.col(c).alias(f"h_{c}") for c in ("id", "comp", "set", "size", "pos")])
+        # in the order of tokens nothing before the first common one is common, so |x - y| is at least its place in x, and the sizes fix |y - x|
+        differ = F.greatest(F.col("pos") + F.col("h_pos"), 2 * F.col("pos") + F.col("h_size") - F.col("size"), 2 * F.col("h_pos") + F.col("size") - F.col("h_size"))
+        fits = ((F.col("comp") != F.col("h_comp")) & (den * F.col("size") >= num * F.col("h_size")) & (den * F.col("h_size") >= num * F.col("size"))
+                & ((den + num) * differ <= (den - num) * (F.col("size") + F.col("h_size"))))
+        pairs = (rows.join(heads, "s").where(fits)
                  .select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct())
-        pairs = pin(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        left, right = nodes.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), nodes.select(F.col("id").alias("b"), F.col("sigs").alias("sb"))
+        pairs = pin(pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("sa", "sb")).select("a", "b"))
         found = pin(_verified(pairs, sets, num, den))
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(labels, links)
-        if last:
-            break
+        if turn:
+            tokens = pin(rows.where(~_heads(turn)).drop("comp", "rows"))
         turn += 1
     named = classes.join(labels.withColumnRenamed("id", "class"), "class", "left").select("k1", "k2", F.coalesce("comp", "class").alias("component_id"))
     return known.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

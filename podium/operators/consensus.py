@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, weights
 from ..functions.values import ratio
-from ..plans import competition_rank, exact_quantile, pin, row_rank
+from ..plans import competition_rank, competition_ranks, exact_quantile, pin, row_rank
 
 
 def ballot_entries(votes: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def rollup_orders(rollup: DataFrame) -> DataFrame:
     stable = rollup
     for c in ("overall", "per_played", "per_ranked"):
         stable = stable.withColumn(c, F.round(c, 9))
-    for name, order in ROLLUP_ORDERS.items():
-        stable = row_rank(stable, [], order, name)
+    stable = competition_ranks(stable, [], ROLLUP_ORDERS)
     return stable.select("entity", *ROLLUP_ORDERS)
 
 

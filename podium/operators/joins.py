@@ -91,23 +91,35 @@ def event_sets(members: DataFrame) -> DataFrame:
     return ordered.join(ids, "events")
 
 
+def set_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, other_id): pairs of sets (set_id, events by rarity, size) that may exceed the threshold, each once.
+
+    Sets of size s that share more than the threshold share one of their first s - ceil(threshold * s) + 1 events in rarity order.
+    If a shared event is the first one, no more events than those from it on are common; places and sizes decide whether these suffice.
+    An event's places and sizes are few, so they meet as classes first, and only members of classes that can suffice meet: a common event in
+    large sets, which comes last in them, yields no pairs.
+    """
+    size, wanted = F.col("size"), F.lit(float(threshold))
+    prefix = F.slice("events", 1, (size - F.ceil(wanted * size) + 1).cast("int"))
+    tokens = sets.select("set_id", "size", F.posexplode(prefix).alias("place", "token"))
+    classes = tokens.select("token", "size", "place").distinct()
+    theirs = classes.select("token", F.col("size").alias("other_size"), F.col("place").alias("other_place"))
+    most = F.least(size - F.col("place"), F.col("other_size") - F.col("other_place"))
+    meet = classes.join(theirs, "token").where(most > wanted * (size + F.col("other_size") - most))
+    other = tokens.select("token", F.col("size").alias("other_size"), F.col("place").alias("other_place"), F.col("set_id").alias("other_id"))
+    asked = tokens.join(meet, ["token", "size", "place"])
+    return asked.join(other, ["token", "other_size", "other_place"]).where(F.col("set_id") < F.col("other_id")).select("set_id", "other_id").distinct()
+
+
 def co_occurrence(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of distinct event sets whose Jaccard similarity exceeds ``threshold`` (> 0), exactly.
+    """Pairs of distinct event sets whose Jaccard similarity exceeds ``threshold``, exactly.
 
-    members(entity, event).  Entities with equal sets collapse to one row (``n`` entities), and
-    each set is looked up only by its rarest events: sets of size s that share more than the
-    threshold must share one of the first s - ceil(threshold * s) + 1 events in rarity order, so the
-    commonest events are never joined on by larger sets.  A set shared by several
-    entities is listed against itself with similarity 1.
+    members(entity, event).  Entities with equal sets collapse to one row (``n`` entities), and pairs come from
+    ``set_candidates``.  A set shared by several entities is listed against itself with similarity 1.
     """
     sets = event_sets(members).groupBy("set_id").agg(F.first("events").alias("events"), F.count(F.lit(1)).alias("n")) \
         .withColumn("size", F.size("events"))
-    prefix = F.slice("events", 1, (F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).cast("int"))
-    tokens = sets.select("set_id", "size", F.explode(prefix).alias("token"))
-    other = tokens.select("token", F.col("set_id").alias("other_id"), F.col("size").alias("other_size"))
-    fits = (F.col("size") >= F.lit(threshold) * F.col("other_size")) & (F.col("other_size") >= F.lit(threshold) * F.col("size"))
-    pairs = tokens.join(other, "token").where(fits & (F.col("set_id") < F.col("other_id"))) \
-        .select("set_id", "other_id").distinct()
+    pairs = set_candidates(sets, threshold)
     right = sets.select(F.col("set_id").alias("other_id"), F.col("events").alias("other_events"), F.col("n").alias("other_n"))
     shared = F.size(F.array_intersect("events", "other_events"))
     scored = (pairs.join(sets, "set_id").join(right, "other_id")

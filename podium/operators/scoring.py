@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import average_from_x2, ratio
-from ..plans import competition_rank
+from ..plans import competition_ranks
 
 EXACT = "decimal(38,0)"
 
@@ -90,9 +90,7 @@ def opportunity_share(seasons: DataFrame, context: DataFrame, multiple: int | No
 
 def leaderboard(shares: DataFrame) -> DataFrame:
     """Competition ranks on exact values plus the movement against the raw ranking."""
-    ranked = competition_rank(shares, [], [("wins", False)], "raw_rank")
-    ranked = competition_rank(ranked, [], [("numer", False)], "adjusted_rank")
-    ranked = competition_rank(ranked, [], [("numer_post", False)], "post_rank")
+    ranked = competition_ranks(shares, [], {"raw_rank": [("wins", False)], "adjusted_rank": [("numer", False)], "post_rank": [("numer_post", False)]})
     return (ranked.withColumn("rank_change", F.col("raw_rank") - F.col("adjusted_rank"))
             .withColumn("value_change", F.col("adjusted") - F.col("wins")))
 
@@ -145,8 +143,7 @@ def recompute_for_selection(seasons: DataFrame, context: DataFrame, selection: D
               .withColumn("weighted_key", (F.col("numer") * F.col("denom_sum") + F.col("titles") * extra
                                            * F.lit(multiple) * F.col("n_seasons")).cast(EXACT))
               .drop("denom_sum", "n_seasons", "peak_numer"))
-    scored = competition_rank(scored, ["selection_id"], [("weighted_key", False)], "adjusted_rank")
-    scored = competition_rank(scored, ["selection_id"], [("wins", False)], "raw_rank")
+    scored = competition_ranks(scored, ["selection_id"], {"adjusted_rank": [("weighted_key", False)], "raw_rank": [("wins", False)]})
     scored = scored.withColumn("rank_change", F.col("raw_rank") - F.col("adjusted_rank"))
     if placements is None:
         return scored

@@ -83,6 +83,31 @@ def competition_rank(df: DataFrame, groups: Sequence[str], order: Order, name: s
     return join_null_safe(df, counts, [*groups, *[c for c, _ in order]])
 
 
+def competition_ranks(df: DataFrame, groups: Sequence[str], boards: dict[str, Order]) -> DataFrame:
+    """``competition_rank`` for several orders of one table at once.
+
+    Beyond small input the table is read once: its rows are numbered and written, and all boards are one long table in which a row
+    of a board has that board's keys only, so a single range partitioning and prefix count ranks them all.
+    """
+    if is_small(df):
+        for name, order in boards.items():
+            df = df.withColumn(name, F.rank().over(W.partitionBy(*groups).orderBy(*sort_columns(order))).cast("long"))
+        return df
+    rows = pin(df.withColumn("_row", F.monotonically_increasing_id()))
+    slots = {(b, c): f"_key{i}" for i, (b, c) in enumerate((b, c) for b, order in boards.items() for c, _ in order)}
+
+    def keys(board: str) -> Column:
+        own = [(F.col(c) if b == board else F.lit(None)).cast(rows.schema[c].dataType).alias(k) for (b, c), k in slots.items()]
+        return F.struct(F.lit(board).alias("_board"), *own)
+
+    long = pin(rows.select("_row", *groups, F.explode(F.array(*[keys(b) for b in boards])).alias("_k")).select("_row", *groups, "_k.*"))
+    order = [(slots[b, c], asc) for b, wanted in boards.items() for c, asc in wanted]
+    counts = prefix_counts(long, [*groups, "_board"], order).select(*groups, "_board", *slots.values(), (F.col("n_before") + 1).alias("_rank"))
+    ranked = join_null_safe(long, counts, [*groups, "_board", *slots.values()])
+    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_board") == b, F.col("_rank"))).alias(b) for b in boards])
+    return rows.join(wide, "_row").drop("_row")
+
+
 def row_rank(df: DataFrame, groups: Sequence[str], order: Order, name: str = "rank") -> DataFrame:
     """Row number under a total order (the order keys must identify a row within its group)."""
     return competition_rank(df, groups, order, name)

@@ -210,6 +210,25 @@ def test_co_occurrence_collapses_copies(frame):
     assert got == {(0, 0): 1.0, (0, 10): 0.3333, (10, 11): 0.5}
 
 
+def test_a_hot_event_makes_no_pairs_of_large_sets(spark):
+    """A third of the sets hold one event: the pairs that only it could link are never made."""
+    rng = random.Random(2)
+    sets = {i: {f"own{i}x{j}" for j in range(6)} | {f"rare{rng.randrange(60)}"} | ({"hot"} if i % 3 == 0 else set()) for i in range(600)}
+    sets |= {1000 + i: {"hot", f"one{i}"} for i in range(5)} | {2000: sets[0] | {"more"}, 2001: set(sets[1])}
+    df = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "entity long, event string")
+    one = joins.event_sets(df).groupBy("set_id").agg(F.first("events").alias("events")).withColumn("size", F.size("events"))
+    hot = sum("hot" in s for s in sets.values())
+    made = joins.set_candidates(one, 0.15).count()
+    want = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both / len(sets[a] | sets[b]) > 0.15:
+            want[a, b] = both / len(sets[a] | sets[b])
+    got = {(r["set_id"], r["other_id"]): r["jaccard"] for r in joins.co_occurrence(df, 0.15).collect()}
+    assert got.pop((1, 1)) == 1.0 and want.pop((1, 2001)) == 1.0 and all(got[p] == pytest.approx(j) for p, j in want.items() if 2001 not in p)
+    assert set(got) == {p for p in want if 2001 not in p} and made < 2 * len(want) + 600 < hot * hot / 8
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_scenarios_match_full_rerank(spark, seed):
     rng = random.Random(seed)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from podium.plans import competition_rank, exact_quantile, prefix_counts
+from podium.plans import competition_rank, competition_ranks, exact_quantile, prefix_counts
 
 
 def numbers(spark):
@@ -21,6 +21,22 @@ def test_competition_rank(spark, mode, request):
     assert got == brute_rank(df.collect())
 
 
+@pytest.mark.parametrize("mode", ["small", "large"])
+def test_several_ranks_at_once(spark, mode, request):
+    if mode == "large":
+        request.getfixturevalue("distributed")
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 7 % 40).alias("v"),
+                                 F.format_string("%02d", F.col("id") * 13 % 50).alias("s")).repartition(5)
+    boards = {"down": [("v", False)], "up": [("s", True), ("v", False)], "named": [("s", False), ("id", True)]}
+    got = {r["id"]: r for r in competition_ranks(df, ["g"], boards).collect()}
+    for name, order in boards.items():
+        want = {r["id"]: r["rank"] for r in competition_rank(df, ["g"], order).collect()}
+        assert {i: r[name] for i, r in got.items()} == want
+        rows = [r for r in got.values() if r["g"] == 1]
+        if name == "down":  # nulls come last
+            assert all(r["down"] == 1 + sum(o["v"] is not None and (r["v"] is None or o["v"] > r["v"]) for o in rows) for r in rows)
+
+
 def test_ties_share_the_smallest_rank(frame):
     df = frame("e string, v int", *[(c, v) for c, v in zip("abcdefgh", (30, 29, 28, 27, 26, 18, 18, 15))])
     ranks = {r["e"]: r["rank"] for r in competition_rank(df, [], [("v", False)]).collect()}
