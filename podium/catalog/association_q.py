@@ -16,11 +16,11 @@ from .registry import Tables, cte, query
 from .scoring_q import career_table
 
 
-def corr(x, y, where="TRUE"):
+def corr(x, y, where="TRUE", digits=8):
     """Guarded correlation in SQL: complete pairs, three or more, variation on both sides."""
     f = f"FILTER (({x}) IS NOT NULL AND ({y}) IS NOT NULL AND {where})"
     return (f"CASE WHEN count(*) {f} >= 3 AND min({x}) {f} < max({x}) {f} AND min({y}) {f} < max({y}) {f}"
-            f" THEN round(covar_pop(CAST({y} AS DOUBLE), CAST({x} AS DOUBLE)) {f} / (stddev_pop(CAST({x} AS DOUBLE)) {f} * stddev_pop(CAST({y} AS DOUBLE)) {f}), 8) END")
+            f" THEN round(covar_pop(CAST({y} AS DOUBLE), CAST({x} AS DOUBLE)) {f} / (stddev_pop(CAST({x} AS DOUBLE)) {f} * stddev_pop(CAST({y} AS DOUBLE)) {f}), {digits}) END")
 
 
 def rounded(df, digits=8, *cols):
@@ -80,22 +80,25 @@ cte("rated", f"""
 SELECT entity, coalesce(mode, 'all') AS mode, count(*) AS maps, count(*) FILTER (won) AS wins, CAST(sum(good) AS BIGINT) AS good, CAST(sum(bad) AS BIGINT) AS bad,
   count(DISTINCT season) AS seasons, count(*) FILTER (good > bad) AS up_maps, count(*) FILTER (good > bad AND won) AS up_wins, count(*) FILTER (good = bad) AS even_maps,
   count(*) FILTER (good = bad AND won) AS even_wins, count(*) FILTER (good < bad) AS down_maps, count(*) FILTER (good < bad AND won) AS down_wins,
-  count(*) FILTER (bad > 0) AS known, {corr(KD, Y)} AS ratio_corr, {corr("good", Y)} AS good_corr, {corr("bad", Y)} AS bad_corr,
+  count(*) FILTER (bad > 0) AS known, {corr(KD, Y, digits=15)} AS exact_corr, {corr(KD, Y)} AS ratio_corr, {corr("good", Y)} AS good_corr, {corr("bad", Y)} AS bad_corr,
   count(DISTINCT won) AS outcomes, count(DISTINCT {KD}) AS vals
 FROM vobs GROUP BY GROUPING SETS ((entity), (entity, mode))""")
 
 
 @query("a26_conditional_rates", """
-WITH r AS (SELECT entity, mode, maps, wins, good, bad, seasons, up_maps, up_wins, even_maps, even_wins, down_maps, down_wins, ratio_corr, good_corr, bad_corr,
+WITH r AS (SELECT entity, mode, known, exact_corr, maps, wins, good, bad, seasons, up_maps, up_wins, even_maps, even_wins, down_maps, down_wins, ratio_corr, good_corr, bad_corr,
   wins / maps AS win_rate, up_wins / nullif(up_maps, 0) AS win_given_up, even_wins / nullif(even_maps, 0) AS win_given_even, down_wins / nullif(down_maps, 0) AS win_given_down,
   (even_wins + down_wins) / nullif(even_maps + down_maps, 0) AS win_given_not_up, up_wins / nullif(wins, 0) AS up_given_win,
   (up_maps - up_wins) / nullif(maps - wins, 0) AS up_given_loss, down_wins / nullif(wins, 0) AS down_given_win,
   CASE WHEN outcomes < 2 THEN 'unavailable — no outcome variation' WHEN vals < 2 THEN 'unavailable — no K/D variation' WHEN maps < 10 THEN 'unstable — very small sample'
     WHEN maps < 25 THEN 'unstable — small sample' ELSE 'descriptive — larger sample' END AS status,
   CASE WHEN maps < 10 THEN 'very small sample' WHEN maps < 25 THEN 'small sample' ELSE 'descriptive' END AS stability FROM rated)
-SELECT *, win_given_up - win_given_not_up AS uplift, up_given_win - up_given_loss AS rate_gap FROM r""")
+SELECT * EXCLUDE (known, exact_corr), win_given_up - win_given_not_up AS uplift, up_given_win - up_given_loss AS rate_gap,
+  CASE WHEN known >= 4 AND abs(exact_corr) < 1 THEN round(tanh(atanh(exact_corr) - 1.96 / sqrt(known - 3)), 6) END AS corr_low,
+  CASE WHEN known >= 4 AND abs(exact_corr) < 1 THEN round(tanh(atanh(exact_corr) + 1.96 / sqrt(known - 3)), 6) END AS corr_high FROM r""")
 def a26(t):
-    return rounded(association.conditional_rates(clean_group_obs(t)).drop("corr_low", "corr_high"), 8, "ratio_corr", "good_corr", "bad_corr")
+    out = rounded(association.conditional_rates(clean_group_obs(t)), 8, "ratio_corr", "good_corr", "bad_corr")
+    return rounded(out, 6, "corr_low", "corr_high")
 
 
 @query("a26_overall_rates", f"""
@@ -275,18 +278,13 @@ cte("runs", """
 SELECT season, date, event, sum(n) OVER (PARTITION BY season ORDER BY date, event ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT season, date, event, CASE WHEN event = lag(event) OVER (PARTITION BY season ORDER BY date, event) THEN 0 ELSE 1 END AS n
   FROM (SELECT DISTINCT season, date, event FROM robs))""", materialized=True)
-cte("hist", """
-SELECT season, entity, scope, run, sum(g) OVER w AS g, sum(b) OVER w AS b, sum(m) OVER w AS m FROM (
-  SELECT r.season, entity, scope, run, sum(good) AS g, sum(bad) AS b, count(*) AS m FROM (SELECT *, unnest(['overall', split]) AS scope FROM robs) r
-  JOIN runs u ON u.season = r.season AND u.date = r.date AND u.event = r.event GROUP BY 1, 2, 3, 4)
-WINDOW w AS (PARTITION BY season, entity, scope ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", materialized=True)
 cte("prior", """
-SELECT r.*, u.run, CASE WHEN o.m >= 20 THEN o.m END AS om, CASE WHEN o.m >= 20 THEN o.g END AS og, CASE WHEN o.m >= 20 THEN o.b END AS ob,
-  CASE WHEN s.m >= CASE r.split WHEN 'snd' THEN 5 ELSE 14 END THEN s.m END AS sm, CASE WHEN s.m >= CASE r.split WHEN 'snd' THEN 5 ELSE 14 END THEN s.g END AS sg,
-  CASE WHEN s.m >= CASE r.split WHEN 'snd' THEN 5 ELSE 14 END THEN s.b END AS sb
-FROM robs r JOIN runs u ON u.season = r.season AND u.date = r.date AND u.event = r.event
-LEFT JOIN hist o ON o.season = r.season AND o.entity = r.entity AND o.run = u.run AND o.scope = 'overall'
-LEFT JOIN hist s ON s.season = r.season AND s.entity = r.entity AND s.run = u.run AND s.scope = r.split""")
+SELECT * EXCLUDE (oc, osg, osb, sc, ssg, ssb), CASE WHEN oc >= 20 THEN oc END AS om, CASE WHEN oc >= 20 THEN osg END AS og, CASE WHEN oc >= 20 THEN osb END AS ob,
+  CASE WHEN sc >= least_maps THEN sc END AS sm, CASE WHEN sc >= least_maps THEN ssg END AS sg, CASE WHEN sc >= least_maps THEN ssb END AS sb FROM (
+  SELECT r.*, u.run, CASE r.split WHEN 'snd' THEN 5 ELSE 14 END AS least_maps, count(*) OVER o AS oc, sum(good) OVER o AS osg, sum(bad) OVER o AS osb,
+    count(*) OVER s AS sc, sum(good) OVER s AS ssg, sum(bad) OVER s AS ssb FROM robs r JOIN runs u ON u.season = r.season AND u.date = r.date AND u.event = r.event
+  WINDOW o AS (PARTITION BY r.season, r.entity ORDER BY u.run RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    s AS (PARTITION BY r.season, r.entity, r.split ORDER BY u.run RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 
 
 @query("w07_prior_features", """
