@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions.stats import pearson
 from ..functions.values import ratio
-from ..operators import association, careers, observation, scoring
+from ..operators import association, boards, careers, observation, scoring
 from . import functions_q as fq
 from . import proxies as px
 from .observation_q import config
 from .quality_q import MAP_KEY, clean_group_obs, group_obs
 from .registry import Tables, cte, query
-from .scoring_q import career_table
+from .scoring_q import career_table, shares
 
 
 def corr(x, y, where="TRUE", digits=8):
@@ -46,32 +46,86 @@ def a24(t):
     return careers.path_features(rows)
 
 
-@query("a25_signatures", """
-WITH e AS (SELECT event, CASE month % 3 WHEN 0 THEN 'Online' WHEN 1 THEN 'Offline' ELSE 'Offline/LAN' END AS kind,
-   CASE month % 4 WHEN 0 THEN 'International' WHEN 1 THEN 'Europe' WHEN 2 THEN 'North America' END AS region FROM played),
-w AS (SELECT w.*, e.kind, e.region, w.season < 1997 AS pre, c.career_years, date_diff('day', lag(w.date) OVER (PARTITION BY w.entity ORDER BY w.date, w.event), w.date) AS gap,
-   CASE WHEN c.last_date > c.first_date THEN least(greatest(date_diff('day', c.first_date, w.date) / date_diff('day', c.first_date, c.last_date), 0.0), 1.0) END AS pos
-   FROM wins w LEFT JOIN e ON e.event = w.event JOIN careers c ON c.entity = w.entity),
-m AS (SELECT entity, count(*) AS wins, count(*) FILTER (championship) AS titles, count(DISTINCT season) AS seasons, count(*) FILTER (pre) / count(*) AS pre_share,
+cte("sigfull", """
+SELECT m.*, b.y AS best_year, b.n AS best_year_wins, c.adjusted, c.adjusted_post, c.peak_share, r.raw_rank, r.adjusted_rank, r.raw_rank - r.adjusted_rank AS rank_change,
+  m.last_year - m.first_year + 1 AS win_span, round(m.titles / c.adjusted, 8) AS ring_rate, round(c.peak_share / c.adjusted, 8) AS peak_concentration,
+  round(m.wins / c.adjusted, 8) AS inflation, CASE WHEN m.career_years >= 1 THEN round(c.adjusted / m.career_years, 8) END AS density FROM (
+  SELECT entity, count(*) AS wins, count(*) FILTER (championship) AS titles, count(DISTINCT season) AS seasons, count(*) FILTER (pre) / count(*) AS pre_share,
    count(*) FILTER (kind LIKE '%Offline%') / count(*) AS offline_share, count(*) FILTER (kind = 'Online') / count(*) AS online_share,
    count(*) FILTER (region = 'International') / count(*) AS international_share, count(DISTINCT region) AS regions, count(*) / count(DISTINCT season) AS wins_per_season,
    CASE WHEN count(*) >= 2 THEN round(avg(pos), 8) END AS timing, CASE WHEN count(*) >= 2 THEN CAST(max(gap) AS INTEGER) END AS longest_drought,
-   coalesce(max(season) FILTER (championship) - min(season) FILTER (championship), 0) AS title_span, any_value(career_years) AS career_years FROM w GROUP BY entity),
-y AS (SELECT entity, CAST(year(date) AS INTEGER) AS y, count(*) AS n FROM wins GROUP BY 1, 2)
-SELECT m.*, b.y AS best_year, b.n AS best_year_wins, round(m.titles / c.adjusted, 8) AS ring_rate, round(c.peak_share / c.adjusted, 8) AS peak_concentration,
-  round(m.wins / c.adjusted, 8) AS inflation, CASE WHEN m.career_years >= 1 THEN round(c.adjusted / m.career_years, 8) END AS density
-FROM m JOIN (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, y) = 1) b ON b.entity = m.entity JOIN career c ON c.entity = m.entity""")
-def a25(t):
+   coalesce(max(season) FILTER (championship) - min(season) FILTER (championship), 0) AS title_span, coalesce(string_agg(DISTINCT CAST(season AS VARCHAR), ',' ORDER BY CAST(season AS VARCHAR)) FILTER (championship), '') AS ring_years,
+   CAST(year(min(date)) AS INTEGER) AS first_year, CAST(year(max(date)) AS INTEGER) AS last_year, CAST(any_value(first_date) AS VARCHAR) AS first_played, CAST(any_value(last_date) AS VARCHAR) AS last_played,
+   CASE WHEN count(*) >= 2 THEN CAST(date_diff('day', any_value(first_date), any_value(last_date)) AS INTEGER) END AS career_days, any_value(career_years) AS career_years FROM (
+    SELECT w.*, e.kind, e.region, w.season < 1997 AS pre, c.career_years, c.first_date, c.last_date,
+     date_diff('day', lag(w.date) OVER (PARTITION BY w.entity ORDER BY w.date, w.event), w.date) AS gap,
+     CASE WHEN c.last_date > c.first_date THEN least(greatest(date_diff('day', c.first_date, w.date) / date_diff('day', c.first_date, c.last_date), 0.0), 1.0) END AS pos
+     FROM wins w LEFT JOIN (SELECT event, CASE month % 3 WHEN 0 THEN 'Online' WHEN 1 THEN 'Offline' ELSE 'Offline/LAN' END AS kind,
+       CASE month % 4 WHEN 0 THEN 'International' WHEN 1 THEN 'Europe' WHEN 2 THEN 'North America' END AS region FROM played) e ON e.event = w.event
+     JOIN careers c ON c.entity = w.entity) GROUP BY entity) m
+JOIN (SELECT * FROM (SELECT entity, CAST(year(date) AS INTEGER) AS y, count(*) AS n FROM wins GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, y) = 1) b ON b.entity = m.entity
+JOIN career c ON c.entity = m.entity JOIN board r ON r.entity = m.entity""")
+RATIOS = ("timing", "ring_rate", "peak_concentration", "inflation", "density")
+
+
+def profiles(t):
+    """Signatures of winners with their standings."""
     events = px.played(t).selectExpr("event", "CASE month % 3 WHEN 0 THEN 'Online' WHEN 1 THEN 'Offline' ELSE 'Offline/LAN' END AS kind",
                                      "CASE month % 4 WHEN 0 THEN 'International' WHEN 1 THEN 'Europe' WHEN 2 THEN 'North America' END AS region")
     won = px.wins(t).withColumn("pre_epoch", F.col("season") < px.EPOCH)
     sig = careers.signatures(won, scoring.career_span(px.entity_event(t)).drop("events_entered"), events)
-    figures = career_table(t).select("entity", "adjusted", "peak_share")
-    joined = sig.join(figures, "entity")
-    joined = (joined.withColumn("ring_rate", F.col("titles") / F.col("adjusted")).withColumn("peak_concentration", F.col("peak_share") / F.col("adjusted"))
-              .withColumn("inflation", F.col("wins") / F.col("adjusted"))
-              .withColumn("density", F.when(F.col("career_years") >= 1, F.col("adjusted") / F.col("career_years"))).drop("adjusted", "peak_share"))
-    return rounded(joined, 8, "timing", "ring_rate", "peak_concentration", "inflation", "density")
+    ranks = scoring.leaderboard(shares(t)).select("entity", "raw_rank", "adjusted_rank", "rank_change")
+    out = careers.career_profiles(sig, career_table(t).select("entity", "adjusted", "adjusted_post", "peak_share").join(ranks, "entity"))
+    return out.withColumn("first_played", F.col("first_played").cast("string")).withColumn("last_played", F.col("last_played").cast("string"))
+
+
+SIGNATURES = ["entity", "wins", "titles", "seasons", "pre_share", "offline_share", "online_share", "international_share", "regions", "wins_per_season", "timing",
+              "longest_drought", "title_span", "ring_years", "first_year", "last_year", "first_played", "last_played", "career_days", "career_years", "best_year",
+              "best_year_wins", "raw_rank", "adjusted_rank", "rank_change", "win_span", "ring_rate", "peak_concentration", "inflation", "density"]
+
+
+@query("a25_signatures", f"SELECT {', '.join(SIGNATURES)}, round(adjusted, 8) AS adjusted, round(adjusted_post, 8) AS adjusted_post, round(peak_share, 8) AS peak_share FROM sigfull")
+def a25(t):
+    return rounded(profiles(t).select(*SIGNATURES, "adjusted", "adjusted_post", "peak_share"), 8, *RATIOS, "adjusted", "adjusted_post", "peak_share")
+
+
+# (board, metric, filter, ascending)
+BOARDS = [
+    ("ring_rate", "titles / adjusted", "titles >= 1 AND adjusted >= 1", False),
+    ("ringless", "adjusted", "titles = 0", False),
+    ("peak_heavy", "peak_share / adjusted", "adjusted >= 1", False),
+    ("even_career", "peak_share / adjusted", "adjusted >= 2", True),
+    ("deflated", "wins / adjusted", "wins >= 2", False),
+    ("density", "adjusted / career_years", "adjusted >= 1 AND career_years >= 2", False),
+    ("journeymen", "CAST(seasons AS DOUBLE)", "TRUE", False),
+    ("specialists", "wins / seasons", "wins >= 2", False),
+    ("converters", "win_rate", "events >= 10", False),
+    ("finalists", "finals / events", "events >= 10", False),
+    ("boosted", "CAST(rank_change AS DOUBLE)", "TRUE", False),
+    ("penalised", "CAST(rank_change AS DOUBLE)", "TRUE", True),
+    ("early_share", "pre_share", "wins >= 3", False),
+    ("offline_heavy", "offline_share", "wins >= 4", False),
+    ("online_heavy", "online_share", "wins >= 3", False),
+    ("many_regions", "CAST(regions AS DOUBLE)", "wins >= 4", False),
+    ("late_bloomers", "timing", "wins >= 4", False),
+    ("prodigies", "timing", "wins >= 4", True),
+    ("droughts", "CAST(longest_drought AS DOUBLE)", "wins >= 4", False),
+    ("best_years", "CAST(best_year_wins AS DOUBLE)", "TRUE", False),
+    ("longest_careers", "CAST(career_days AS DOUBLE)", "TRUE", False),
+    ("ring_longevity", "CAST(title_span AS DOUBLE)", "titles >= 2", False),
+    ("peaks", "peak_share", "TRUE", False),
+]
+MORE = ["win_rate", "events", "finals"]
+
+
+@query("t03_filtered_boards", "WITH f AS (SELECT s.*, " + ", ".join(f"c.{m}" for m in MORE) + " FROM sigfull s JOIN career c ON c.entity = s.entity), l AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS board, entity, CAST({e} AS DOUBLE) AS value, {'1' if a else '-1'} * CAST({e} AS DOUBLE) AS k FROM f WHERE {w}"
+    for n, e, w, a in BOARDS) + """)
+SELECT board, entity, round(value, 6) AS value, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY board ORDER BY round(k, 9), entity) AS position FROM l WHERE value IS NOT NULL) WHERE position <= 8""")
+def t03(t):
+    table = rounded(profiles(t), 8, "timing").join(career_table(t).select("entity", *MORE), "entity")
+    return boards.filtered_boards(table, "entity", BOARDS, 8).withColumn("value", F.round("value", 6))
 
 
 KD = "CASE WHEN bad > 0 THEN CAST(good AS DOUBLE) / bad END"

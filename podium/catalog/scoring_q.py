@@ -311,29 +311,6 @@ def t02(t):
     return boards.top_k_with_ties(career_table(t), [], "win_rate", 6, 2).select("entity", "shown")
 
 
-BOARDS = [
-    ("ring_rate", "titles / adjusted", "titles >= 1 AND adjusted >= 1", False),
-    ("ringless", "adjusted", "titles = 0", False),
-    ("peak_heavy", "peak_share / adjusted", "adjusted >= 1", False),
-    ("even_career", "peak_share / adjusted", "adjusted >= 2", True),
-    ("deflated", "wins / adjusted", "wins >= 2", False),
-    ("density", "adjusted / career_years", "adjusted >= 1 AND career_years >= 2", False),
-    ("journeymen", "CAST(seasons AS DOUBLE)", "TRUE", False),
-    ("specialists", "wins / seasons", "wins >= 2", False),
-    ("converters", "win_rate", "events >= 10", False),
-    ("finalists", "finals / events", "events >= 10", False),
-]
-
-
-@query("t03_filtered_boards", "WITH l AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS board, entity, CAST({e} AS DOUBLE) AS value, {'1' if a else '-1'} * CAST({e} AS DOUBLE) AS k FROM career WHERE {f}"
-    for n, e, f, a in BOARDS) + """)
-SELECT board, entity, round(value, 6) AS value, position FROM (
-  SELECT *, row_number() OVER (PARTITION BY board ORDER BY round(k, 9), entity) AS position FROM l) WHERE position <= 8""")
-def t03(t):
-    return boards.filtered_boards(career_table(t), "entity", BOARDS, 8).withColumn("value", F.round("value", 6))
-
-
 @query("t05_named_presets", """
 WITH s AS (SELECT c.*, p.run, p.slope, l.late FROM career c JOIN (SELECT entity, max(idx) - min(idx) AS run,
     sum(step) / greatest(1, max(idx) - min(idx)) AS slope FROM path GROUP BY entity) p ON p.entity = c.entity
@@ -380,14 +357,29 @@ def u05c(t):
     return boards.comparison_matrix(summary)
 
 
-@query("u06_metric_table", """
-SELECT entity, metric, round(value, 6) AS value, metric = 'average_x2' AS lower_is_better, metric = 'events' AS no_best FROM (
-  UNPIVOT (SELECT entity, adjusted, adjusted_post, CAST(wins AS DOUBLE) AS wins, CAST(titles AS DOUBLE) AS titles, win_rate, peak_share,
-    CAST(events AS DOUBLE) AS events, place_x2_sum / events AS average_x2, CAST(career_years AS DOUBLE) AS career_years FROM career)
+# Metrics of the comparison table beyond those of the career table; shown, but not ranked, are the plain volumes.
+SKILL = {"kd": "sum(good) / sum(bad)", "good_per_map": "sum(good) / count(1)", "bad_per_map": "sum(bad) / count(1)", "total_per_map": "(sum(good) + sum(bad)) / count(1)",
+         "stat_maps": "count(1)", "stat_events": "count(DISTINCT event)",
+         "respawn_kd": "sum(CASE WHEN split = 'respawn' THEN good END) / sum(CASE WHEN split = 'respawn' THEN bad END)",
+         "snd_kd": "sum(CASE WHEN split = 'snd' THEN good END) / sum(CASE WHEN split = 'snd' THEN bad END)"}
+UNRANKED = ["events", "events_entered", "good_per_map", "bad_per_map", "total_per_map", "stat_maps", "stat_events"]
+COMPARED = ["adjusted", "adjusted_post", "wins", "titles", "win_rate", "finals_rate", "deep_rate", "peak_share", "seasons", "events", "events_entered", "average_x2",
+            "career_years", *SKILL]
+
+
+@query("u06_metric_table", f"""
+WITH k AS (SELECT entity, {", ".join(f"{e} AS {n}" for n, e in SKILL.items())} FROM cobs GROUP BY entity),
+v AS (SELECT c.*, c.finals / c.events AS finals_rate, c.deep_runs / c.events AS deep_rate, c.place_x2_sum / c.events AS average_x2, p.events_entered, {", ".join(f"k.{n}" for n in SKILL)}
+  FROM career c JOIN careers p ON p.entity = c.entity LEFT JOIN k ON k.entity = c.entity)
+SELECT entity, metric, round(value, 6) AS value, metric = 'average_x2' AS lower_is_better, metric IN ({", ".join(f"'{m}'" for m in UNRANKED)}) AS no_best FROM (
+  UNPIVOT (SELECT entity, {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in COMPARED)} FROM v)
   ON COLUMNS(* EXCLUDE entity) INTO NAME metric VALUE value)""")
 def u06(t):
-    table = career_table(t).withColumn("average_x2", F.col("place_x2_sum") / F.col("events"))
-    return boards.metric_table(table, "entity", ["adjusted", "adjusted_post", "wins", "titles", "win_rate", "peak_share",
-                                                 "events", "average_x2", "career_years"]).select(
+    skill = px.counted_obs(t, opponent=False).groupBy("entity").agg(*[F.expr(e.replace(" / ", " * 1.0D / ")).alias(n) for n, e in SKILL.items()])
+    entered = scoring.career_span(px.entity_event(t)).select("entity", "events_entered")
+    table = (career_table(t).join(entered, "entity").join(skill, "entity", "left")
+             .withColumn("finals_rate", F.col("finals") / F.col("events")).withColumn("deep_rate", F.col("deep_runs") / F.col("events"))
+             .withColumn("average_x2", F.col("place_x2_sum") / F.col("events")))
+    return boards.metric_table(table, "entity", COMPARED).select(
         "entity", "metric", F.round("value", 6).alias("value"), (F.col("metric") == "average_x2").alias("lower_is_better"),
-        (F.col("metric") == "events").alias("no_best"))
+        F.col("metric").isin(UNRANKED).alias("no_best"))

@@ -109,6 +109,10 @@ def signatures(wins: DataFrame, career: DataFrame, events: DataFrame) -> DataFra
         F.when(n >= 2, F.max("gap")).alias("longest_drought"),
         F.max(F.when(F.col("championship"), F.col("season"))).alias("_last_title"),
         F.min(F.when(F.col("championship"), F.col("season"))).alias("_first_title"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("championship"), F.col("season")))).cast("array<string>"), ",").alias("ring_years"),
+        F.year(F.min("date")).alias("first_year"), F.year(F.max("date")).alias("last_year"),
+        F.first("first_date").alias("first_played"), F.first("last_date").alias("last_played"),
+        F.when(n >= 2, F.date_diff(F.first("last_date"), F.first("first_date"))).alias("career_days"),
         F.first("career_years").alias("career_years"))
     yearly = rows.groupBy("entity", F.year("date").alias("year")).agg(n.alias("n"))
     best = yearly.groupBy("entity").agg(F.max_by("year", F.struct("n", -F.col("year"))).alias("best_year"),
@@ -116,3 +120,15 @@ def signatures(wins: DataFrame, career: DataFrame, events: DataFrame) -> DataFra
     return (main.join(best, "entity")
             .withColumn("title_span", F.coalesce(F.col("_last_title") - F.col("_first_title"), F.lit(0)))
             .drop("_last_title", "_first_title"))
+
+
+def career_profiles(sig: DataFrame, board: DataFrame) -> DataFrame:
+    """Signatures with the standings of board(entity, adjusted, adjusted_post, peak_share, raw_rank, adjusted_rank, rank_change)
+    and the ratios of both."""
+    adjusted, career = F.nullif(F.col("adjusted"), F.lit(0.0)), F.col("career_years")
+    return (sig.join(board.select("entity", "adjusted", "adjusted_post", "peak_share", "raw_rank", "adjusted_rank", "rank_change"), "entity")
+            .withColumn("win_span", F.col("last_year") - F.col("first_year") + 1)
+            .withColumn("ring_rate", F.coalesce(F.try_divide(F.col("titles"), adjusted), F.lit(0.0)))
+            .withColumn("peak_concentration", F.coalesce(F.try_divide(F.col("peak_share"), adjusted), F.lit(0.0)))
+            .withColumn("inflation", F.coalesce(F.try_divide(F.col("wins"), adjusted), F.lit(0.0)))
+            .withColumn("density", F.when(career >= 1, F.col("adjusted") / career)))
