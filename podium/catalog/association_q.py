@@ -12,7 +12,7 @@ from . import functions_q as fq
 from . import proxies as px
 from .observation_q import config
 from .quality_q import MAP_KEY, clean_group_obs, group_obs
-from .registry import Tables, cte, query
+from .registry import cte, query
 from .scoring_q import career_table, shares
 
 

@@ -9,7 +9,7 @@ from ..sources import publish, tables
 from ..streaming import ingest
 from . import functions_q as fq
 from . import proxies as px
-from .registry import Tables, cte, query
+from .registry import cte, query
 
 
 @query("s01_read_wrapped_rows", """

@@ -11,6 +11,20 @@ def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
 
 
+def test_queries_without_what_text_operators_need(monkeypatch):
+    """A missing dependency takes the text queries away, and no others."""
+    import sys
+
+    import podium
+    for name in [m for m in sys.modules if m.startswith("podium.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr(podium, "llm", raising=False)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    found = entry.queries()
+    assert len(found) > 150 and "w01_competition_rank" in found and "pipeline" not in found and not [n for n in found if n.startswith("op")]
+    assert set(entry.oracle_sql()) <= set(found)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
