@@ -12,8 +12,8 @@ subsets too, so no link is lost.
 Equal sets are one class. The classes that share a signature with another are split further: a set with more shingles of its own than a link
 allows is alone; of the others, two linked ones share one of their rarest shingles, at places that bound their difference. Within such a group each class is first compared
 with the group's leader only, which joins most copies into one component, and classes in one component need no comparison; then with about ``HEADS``
-members a turn (a small group with all of its own), which leave the group after it, until no group spans two components. So a turn makes rows in proportion to the
-groups' sizes. A pair is compared if it also shares a signature; every comparison is the exact intersection of the two sets, in the JVM.
+members a turn (a small group with all of its own), which leave the group after it, until no group spans two components. So a turn compares places in proportion to the
+groups' sizes, and makes rows only of pairs whose places allow a link. A pair is compared if it also shares a signature; every comparison is the exact intersection of the two sets, in the JVM.
 
 Defined results: null or wordless text has an empty set, linked with nothing; fewer words than n form one shingle; a doc_id
 that repeats with other text takes, row by row, the component of its own text; a null doc_id counts as the least id and is returned as
@@ -35,7 +35,7 @@ from .tables import ROW, pin, positional, row_id
 
 PARTS, SPARE, LAYOUTS = 3, 2, 4
 SMALL_K = 12
-HEADS = 64
+HEADS = 2048
 U = core.U
 
 
@@ -255,8 +255,9 @@ def linked(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
         pairs = pin(pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("sa", "sb")).select("a", "b"))
         found = pin(_verified(pairs, sets, num, den))
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(labels, links)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(labels, links)
         if turn:
             tokens = pin(rows.where(~_heads(turn)).drop("comp", "rows"))
         turn += 1
