@@ -1,6 +1,10 @@
 """From documents to packed sequences: five stages, each on all rows that the one before kept.
 
 Every stage but the last returns the columns of documents; a stage's result is written as Parquet and reread as the next one's input.
+
+Defined results: a document without text or of few words fails the quality rules; nulls, ties and repeated rows in line dedup, decontamination and packing are as their modules
+say; of a group of linked texts the Jaccard join keeps the rows that carry its least id (repeated ones included), and every row of a null id; an empty table
+gives an empty result of the same columns; further columns of documents pass through every stage but the last, under whatever names, and the last returns its own columns.
 """
 
 from __future__ import annotations
