@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.values import ratio
+from ..functions.values import half_away, ratio
 from ..operators import boards, careers, joins, observation
 from ..plans import competition_rank, exact_quantile
 from . import proxies as px
@@ -178,7 +178,7 @@ def a14m(t):
 @query("w03_all_season_rank", """
 SELECT split, season, entity, value, maps, row_number() OVER (PARTITION BY split ORDER BY round(value, 3) DESC, maps DESC, entity, season) AS rank FROM ror""")
 def w03(t):
-    rows = replacement(t).drop("rank").withColumn("value", F.round("value", 9)).withColumn("shown", F.round("value", 3))
+    rows = replacement(t).drop("rank").withColumn("value", F.round("value", 9)).withColumn("shown", half_away(F.col("value"), 3))
     ranked = competition_rank(rows, ["split"], [("shown", False), ("maps", False), ("entity", True), ("season", True)])
     return ranked.select("split", "season", "entity", "value", "maps", "rank")
 

@@ -72,3 +72,8 @@ def test_table_records_by_layout_and_without(spark):
     assert (second["event"], second["event_target"], second["date"], second["team"], second["maps"], second["kd"]) == ("B", "A", "May", "Green", 7.0, 10.0)
     assert (lines["event"], lines["date"], lines["team"], lines["maps"], lines["mode_kd"]) == ("Lines Event", "2015", "Team", 4.0, {"A": 0.25, "B": 2.0})
     assert (got[2, 1]["event"], got[2, 1]["maps"], got[2, 1]["kd"]) == ("The Event", 12.0, 1.05) and got[2, 1]["mode_kd"] == {}
+
+
+@pytest.mark.parametrize("value,shown", [(4.0005, 4.0), (1.0005, 1.001), (-1.0005, -1.001), (0.5125, 0.513)])
+def test_half_away_rounds_the_binary_value_as_the_sql_does(frame, value, shown):
+    assert one(frame, value, lambda c: values.half_away(c, 3), "double") == shown
