@@ -4,9 +4,9 @@ Words and word pairs of a text fall into ``2**BITS`` hashed classes. Two multino
 trusted documents and one over the whole corpus; a document's score is the mean over its n-grams of
 ``log(p_trusted / p_raw)``, so length cancels out. Every document above one fixed threshold is kept: no draw is involved.
 
-Trusted documents come from a sample of at most ``sample`` labelled rows (those with the smallest hash
-of doc_id, so the choice does not depend on order or partitions); raw counts always cover all documents. A fifth of the sample is held out
-of the counts and places the threshold: the middle of the widest range of scores with the best balanced accuracy.
+Every labelled document counts: those labelled good and not toxic are trusted, raw counts cover all documents. A fifth of the labelled
+(doc_id divisible by ``HELD``) is held out of the trusted counts and places the threshold: the middle of the widest range of scores with the
+best balanced accuracy. Labels meet documents in a join, so nothing of their number goes through the driver.
 
 Defined results: null or wordless text has no words and fails the base rules; repeated rows are scored each on
 their own; labels that are null or repeated collapse to the lowest quality and highest toxicity of a document (null rows
@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import core
-from .tables import thinned
+from .tables import pin
 
 BITS = 16
-SAMPLE = 20_000
+#: one labelled document in so many is left out of the counts and places the threshold
+HELD = 5
+#: bits of the map of labelled ids
+SLOTS = 1 << 23
 PSEUDO = 50.0
 RANGE, STEPS = 8.0, 100
 SYMBOLS = np.zeros(256, bool)
@@ -80,60 +83,62 @@ def _walk(column: pa.Array):
         yield first, end, data, offsets, words, sums, core.spans(sums, words.starts, words.ends)
 
 
-def labelled(labels: DataFrame, sample: int = SAMPLE) -> dict[int, bool]:
-    """doc_id -> trusted or not, for at most ``sample`` documents labelled bad, or good and not toxic."""
-    some = thinned(labels, F.xxhash64(F.col("doc_id").cast("long")), sample, labels.count())
-    rows = (some.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-            .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-            .agg((F.min("quality") == 1).alias("good"), (F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0).alias("toxic"))
-            .where("NOT (good AND toxic)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect())
-    return {r["doc_id"]: r["good"] for r in rows}
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good): every document labelled bad, or good and not toxic, once."""
+    return pin(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+               .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+               .agg((F.min("quality") == 1).alias("good"), (F.max(F.coalesce(F.col("toxic"), F.lit(0))) > 0).alias("toxic"))
+               .where("NOT (good AND toxic)").select("doc_id", "good"))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Log ratios by class, and the threshold."""
-    known = labelled(labels, sample)
-    held = {i: good for i, good in known.items() if i % 5 == 0}
-    trusted = np.sort(np.array([i for i, good in known.items() if good and i % 5], np.int64))
+    known = labelled(labels)
     size = 1 << BITS
-    if not len(trusted):
-        return np.zeros(size), -np.inf
+    apart = F.pmod("doc_id", F.lit(HELD)) == 0
 
     def count(batches):
-        raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        seen = np.zeros(size, np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            mine = np.isin(ids, trusted)
-            for first, _, _, _, words, _, hashes in _walk(batch.column(1)):
-                cls, doc = _classes(words, hashes)
-                raw += np.bincount(cls, minlength=size)
-                good += np.bincount(cls[mine[doc + first]], minlength=size)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(good[some])], ["class", "raw", "good"])
-
-    rows = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(count, "class int, raw long, good long")
-            .groupBy("class").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect())
-    raw, good = np.zeros(size), np.zeros(size)
-    for r in rows:
-        raw[r["class"]], good[r["class"]] = r["raw"], r["good"]
+            for _, _, _, _, words, _, hashes in _walk(batch.column(0)):
+                seen += np.bincount(_classes(words, hashes)[0], minlength=size)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], ["class", "n"])
+
+    def counted(texts: DataFrame) -> np.ndarray:
+        out = np.zeros(size)
+        for r in texts.select("text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most 2**BITS rows
+            out[r["class"]] = r["n"]
+        return out
+
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good = counted(_marked(plain.where(~apart), known.where(F.col("good") & ~apart)))
     if not good.sum():
         return np.zeros(size), -np.inf
+    raw = counted(plain)
     share = good.sum() / raw.sum()
     ratios = np.log((good + PSEUDO * share) / (raw + PSEUDO)) - np.log(share)
-    return ratios, _threshold(documents, ratios, held)
+    return ratios, _threshold(plain.where(apart), ratios, known.where(apart))
 
 
-def _threshold(documents: DataFrame, ratios: np.ndarray, held: dict[int, bool]) -> float:
+def _marked(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents of marks(doc_id, good).
+
+    Only texts whose id falls into a hashed slot of some mark are shuffled; the slots are a bitmap of fixed size, and the join decides.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    taken = marks.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")).alias("_bits"))
+    near = documents.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64)) \
+        .join(F.broadcast(taken), "_word").where("_bits & shiftleft(1L, CAST(_slot % 64 AS INT)) <> 0")  # at most SLOTS / 64 rows
+    return near.select("doc_id", "text").join(marks.hint("merge"), "doc_id")
+
+
+def _threshold(documents: DataFrame, ratios: np.ndarray, held: DataFrame) -> float:
     """Middle of the best range of cuts on the held-out labels, from a histogram of fixed size."""
-    if len(set(held.values())) < 2:
-        return -np.inf
-    scored = score(documents.where(F.col("doc_id").isin(list(held))), ratios, -np.inf)  # a fifth of `sample` ids at most
-    spark = documents.sparkSession
-    marks = spark.createDataFrame(list(held.items()), "doc_id long, good boolean")
+    scored = score(_marked(documents, held), ratios, -np.inf)
     cell = F.floor((F.least(F.greatest(F.col("score"), F.lit(-RANGE)), F.lit(RANGE)) + RANGE) * STEPS).cast("int")
-    cells = (scored.where("NOT base_failed").join(F.broadcast(marks), "doc_id")  # at most `sample` rows
-             .groupBy(cell.alias("cell"), "good").count().collect())
+    cells = scored.where("NOT base_failed").join(held.hint("merge"), "doc_id").groupBy(cell.alias("cell"), "good").count().collect()
     n = int(2 * RANGE * STEPS) + 1
     by = {True: np.zeros(n), False: np.zeros(n)}
     for r in cells:
@@ -170,15 +175,15 @@ def score(documents: DataFrame, ratios: np.ndarray, threshold: float) -> DataFra
     return plain.mapInArrow(rate, f"doc_id long, {BASE_SCHEMA}, base_failed boolean, score double, kept boolean")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    return score(documents, *train(documents, labels, sample))
+def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return score(documents, *train(documents, labels))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents whose text is kept, in their own columns.
 
     The verdict is a function of the text alone, so it is computed in the row and no text is shuffled."""
-    ratios, threshold = train(documents, labels, sample)
+    ratios, threshold = train(documents, labels)
     table = ratios.astype(np.float32)
     names = documents.columns
     at = names.index("text")

@@ -368,3 +368,14 @@ def test_candidates_and_places(spark):
     one = secret_scan.secret_scan(cases.table(spark, [f"plain {key} here", f"plain {key} here"]))
     assert [(r["score"], r["is_secret"]) for r in one.collect()] == [(0.0, False)] * 2
     assert secret_scan.digest(cases.empty(spark)).count() == 0
+
+
+def test_every_label_counts(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality_rules.labelled(labels).count() == 25_000
+
+
+def test_every_training_text_calibrates(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 in (2, 3)]
+    docs = spark.createDataFrame([(i, "the cat sat on the mat " * 3, "en") for i in ids], "doc_id long, text string, lang string")
+    assert np.isfinite(list(language_id.calibrate(docs, language_id.train(docs))[1].values())).all()
