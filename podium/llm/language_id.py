@@ -8,7 +8,7 @@ so that all that a gram needs lies in one slice (of orders 3 and 4) and one of o
 
 A text goes to the language of lowest cross-entropy a character. ``score`` is that language's share under a softmax of the negative
 cross-entropies; its temperature, and for each language the cross-entropy above which a prediction is rejected (``accepted`` is
-false, ``lang_pred`` stays), are calibrated on at most about ``CALIBRATION`` labelled training texts.
+false, ``lang_pred`` stays), are calibrated on all labelled training texts.
 
 Only documents whose crc32 of the id as text is not divisible by 5 are learned from; language, source and id are no inputs of a prediction.
 Defined results: null text or text without letters: ``und`` with score 0 and not accepted; with no labelled text at all
@@ -32,7 +32,6 @@ from .tables import pin
 ORDER = 4
 #: grams in memory at a time; no bound on the model
 GRAMS = 2_000_000
-CALIBRATION = 20_000
 REJECTED = 0.001
 TEMPERATURES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
 CELLS, CELL = 400, 0.05
@@ -74,6 +73,11 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gram, doc
 
 
+def _learned(documents: DataFrame) -> DataFrame:
+    """The rows learned from."""
+    return documents.where("lang IS NOT NULL AND text IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+
+
 def _counted(documents: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts learned from."""
 
@@ -100,8 +104,7 @@ def _counted(documents: DataFrame) -> DataFrame:
             names, n = merged(lang)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    learned = documents.where("lang IS NOT NULL AND text IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    return (learned.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return (_learned(documents).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
@@ -241,11 +244,8 @@ def _shares(entropies: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def calibrate(documents: DataFrame, models: Models, sample: int = CALIBRATION) -> tuple[float, dict[str, float]]:
+def calibrate(documents: DataFrame, models: Models) -> tuple[float, dict[str, float]]:
     """Temperature of least log loss, and for each language the cross-entropy that all but a share REJECTED of its texts stay below."""
-    held = documents.where("lang IS NOT NULL AND text IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1)
-    share = min(1.0, sample / max(held.count(), 1))
-    chosen = held.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000))
     names = models.names
     place = {x: i for i, x in enumerate(names)}
 
@@ -266,7 +266,7 @@ def calibrate(documents: DataFrame, models: Models, sample: int = CALIBRATION) -
             [pa.array(np.concatenate([np.full(len(losses), -1), where[:, 0]])), pa.array(np.concatenate([np.arange(len(losses)), where[:, 1]])),
              pa.array(np.concatenate([losses, cells[cells > 0]]))], ["kind", "cell", "value"])
 
-    rows = (chosen.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = (_learned(documents).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .mapInArrow(measure, "kind long, cell long, value double").groupBy("kind", "cell").agg(F.sum("value").alias("value")).collect())
     losses, limits = {}, {}
     cells = np.zeros((len(names), CELLS))
@@ -282,10 +282,10 @@ def calibrate(documents: DataFrame, models: Models, sample: int = CALIBRATION) -
     return TEMPERATURES[best], limits
 
 
-def language_id(documents: DataFrame, grams: int = GRAMS, sample: int = CALIBRATION) -> DataFrame:
+def language_id(documents: DataFrame, grams: int = GRAMS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted, cross_entropy) of every document."""
     models = train(documents, grams)
-    temperature, limits = calibrate(documents, models, sample) if models.names else (1.0, {})
+    temperature, limits = calibrate(documents, models) if models.names else (1.0, {})
     names = np.array(models.names, object)
     top = np.array([limits[x] for x in models.names])
 
