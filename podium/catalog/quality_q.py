@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import split_of
 from ..operators import quality
+from ..plans import pin
 from . import functions_q as fq
 from . import proxies as px
 from .registry import Tables, cte, query
@@ -339,7 +340,7 @@ r AS (SELECT id, CASE m WHEN 0 THEN 'raw_wins' WHEN 1 THEN 'finals_record' WHEN
 SELECT id, metric, failed = 0 AS ok, CAST(failed AS BIGINT) AS failed FROM r""")
 def c16(t):
     placed = px.placement(t).withColumn("championship", F.expr("month = 12 - season % 5"))
-    seen = px.counted_obs(t, opponent=False)
+    seen = pin(px.counted_obs(t, opponent=False).select("entity", "season", "event", "mode", "date", "good", "bad"))
     return quality.audit_claims(claims(t), placed.where("place = 1"), placed, seen, seen.where("good % 5 <> 0"))
 
 

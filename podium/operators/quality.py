@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, compact_key, entity_key, strip_paren
 from ..plans.ordered import join_null_safe, prefix_counts
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, pin
 
 # Facts an observation must carry, the fields that identify it, and the group shape rules.
 REQUIRED_FIELDS = ["event", "season", "mode", "date", "team", "team_vs", "map", "series", "good", "bad"]
@@ -84,23 +84,29 @@ def observation_id(df: DataFrame, id_col: str = "stat_id", base: Sequence[str] =
     base fields, so it does not depend on row order.
     """
     sig = signature(df.columns)
+    df = pin(df)  # read three times
     upstream = blank_to_null(F.col(id_col).cast("string"))
     base_text = F.to_json(F.array(*[F.coalesce(F.lower(F.col(c).cast("string")) if c == "entity" else F.col(c).cast("string"),
                                                F.lit("")) for c in base]))
-    rows = df.withColumn("_sig", F.sha2(sig, 256)).withColumn("_base", F.sha2(base_text, 256)) \
-             .withColumn("_order", sig).withColumn("_up", upstream)
-    contents = rows.where("_up IS NULL").select("_base", "_order")
+    rows = df.withColumn("_up", upstream).withColumn("_hash", F.xxhash64(base_text))
+    # Base fields with one content only need no rank; hashes leave a few too many, which are ranked like the rest.
+    sums = rows.where("_up IS NULL").select("_hash", F.xxhash64(sig).alias("_x"), F.hash(sig).alias("_m"))
+    several = pin(sums.groupBy("_hash").agg(F.min("_x").alias("a"), F.max("_x").alias("b"), F.min("_m").alias("c"), F.max("_m").alias("d"))
+                  .where("a <> b OR c <> d").select("_hash"))
+    contents = pin(rows.where("_up IS NULL").join(several, "_hash", "left_semi").select(F.sha2(base_text, 256).alias("_base"), sig.alias("_order")).distinct())
     ranked = prefix_counts(contents, ["_base"], [("_order", True)], dense=True).select(
-        "_base", "_order", (F.col("n_before") + 1).alias("_rank"))
-    ranked = ranked.withColumn("_sig", F.sha2("_order", 256)).drop("_order")
-    joined = rows.join(ranked, ["_base", "_sig"], "left")
+        "_base", F.sha2("_order", 256).alias("_sig"), (F.col("n_before") + 1).alias("_rank"))
+    ranked = pin(ranked)
+    keyed = rows.join(several.withColumn("_several", F.lit(True)), "_hash", "left") \
+        .withColumn("_base", F.when(F.col("_several"), F.sha2(base_text, 256))).withColumn("_sig", F.when(F.col("_several"), F.sha2(sig, 256)))
+    joined = keyed.join(ranked, ["_base", "_sig"], "left").withColumn("_rank", F.coalesce("_rank", F.lit(1).cast("long")))
     occurrence = F.when(F.col("_up").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("_rank"))
     derived = F.concat(F.lit(DERIVED_PREFIX), F.substring(
         F.sha2(F.concat_ws("|", base_text, occurrence.cast("string")), 256), 1, DERIVED_LENGTH))
     return (joined.withColumn("occurrence", occurrence)
             .withColumn("observation_id", F.when(F.col("_up").isNotNull(), F.concat(F.lit(UPSTREAM_PREFIX), "_up"))
                         .otherwise(derived))
-            .drop("_sig", "_base", "_order", "_up", "_rank"))
+            .drop("_sig", "_base", "_hash", "_several", "_up", "_rank"))
 
 
 def observation_conflicts(df: DataFrame, id_col: str = "stat_id", required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
@@ -316,16 +322,19 @@ def as_of_sums(claims: DataFrame, facts: DataFrame, filters: dict[str, str], mea
     daily = facts.where(F.col("entity").isNotNull()).groupBy("entity", *dims, F.coalesce(F.col("date").cast("date"), first).alias("date")) \
         .agg(*[F.sum(m).alias(m) for m in measures])
     asked = claims.select("id", "entity", F.col("as_of").cast("date").alias("date"), *lists)
+    latest = pin(asked.groupBy("entity").agg(F.max("date").alias("_latest")))
+    daily = pin(daily.join(latest, "entity").where("date <= _latest").drop("_latest"))  # read for every combination of lists
     kinds = asked.select(*[F.col(c).isNull().alias(c) for c in lists]).distinct().collect()  # at most two to the number of lists
     lined = None
     for number, kind in enumerate(kinds):
         kept = [(c, d) for c, d in filters.items() if not kind[c]]
         names = [d for _, d in kept]
         any_value = [F.lit(None).cast(facts.schema[d].dataType).alias(d) for d in dims if d not in names]
-        known = daily.dropna(subset=names) if names else daily
+        own = asked.where(" AND ".join([f"{c} IS {'NULL' if kind[c] else 'NOT NULL'}" for c in lists] or ["TRUE"]))
+        known = daily.join(own.select("entity").distinct(), "entity", "left_semi")  # an entity's days go only where its claims are
+        known = known.dropna(subset=names) if names else known
         days = known.groupBy("entity", *names, "date").agg(*[F.sum(m).alias(m) for m in measures]) \
             .select("entity", *names, *any_value, "date", *measures, F.lit(False).alias("asks"), F.lit(None).cast(claims.schema["id"].dataType).alias("id"))
-        own = asked.where(" AND ".join([f"{c} IS {'NULL' if kind[c] else 'NOT NULL'}" for c in lists] or ["TRUE"]))
         for c, d in kept:
             own = own.withColumn(d, F.explode(F.array_distinct(c)))
         own = own.select("entity", *[F.col(d).cast(facts.schema[d].dataType).alias(d) for d in names], *any_value, "date",

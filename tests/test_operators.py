@@ -373,3 +373,14 @@ def test_teams_without_a_board_do_not_appear(frame):
     listed = shares.unionByName(frame("entity int, numer long, wins int", (4, 30, 2)))
     moves = scenarios.scenario_moves(frame("team string, entity int", ("A", 1), ("B", 3)), listed, 25)
     assert sorted(tuple(r) for r in scenarios.teams_that_move(moves, listed).collect()) == [("A", True, 1), ("B", False, 0)]
+
+
+def test_only_contents_that_share_base_fields_are_ranked(spark, frame, distributed, monkeypatch):
+    ranked = []
+    plain = quality.prefix_counts
+    monkeypatch.setattr(quality, "prefix_counts", lambda df, *a, **k: ranked.append(df.count()) or plain(df, *a, **k))
+    base = ("E", "e", 2000, "R", "2000-01-01", "1", "2", "m")
+    rows = [(*base, 1, g, 0, None) for g in (7, 5, 5)] + [(*base, s, 1, 0, None) for s in range(2, 9)]
+    df = frame("entity string, event string, season int, mode string, date string, team string, team_vs string, map string, series int, good int, bad int, stat_id string", *rows)
+    got = sorted((r["series"], r["good"], r["occurrence"]) for r in quality.observation_id(df).collect())
+    assert got == [(1, 5, 1), (1, 5, 1), (1, 7, 2)] + [(s, 1, 1) for s in range(2, 9)] and ranked == [2]
