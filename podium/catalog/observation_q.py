@@ -14,7 +14,11 @@ from .registry import Tables, cte, query
 
 def team_places(t: Tables):
     """Placement of each nation at each counted event."""
-    teams = px.counted_obs(t, opponent=False).groupBy("season", "event", "team").agg(F.sum("good").alias("good"))
+    return t.once("team_places", _team_places)
+
+
+def _team_places(t: Tables):
+    teams = px.entity_event(t).groupBy("season", "event", "team").agg(F.sum("good").alias("good"))
     return competition_rank(teams, ["season", "event"], [("good", False)], "place")
 
 
@@ -96,7 +100,7 @@ SELECT season, split, entity, maps, good, bad, events, median_opponent, opponent
   CASE WHEN season BETWEEN 1995 + entity % 3 AND 1998 + entity % 4 THEN CASE entity % 3 WHEN 0 THEN 'AR' WHEN 1 THEN 'Flex' ELSE 'SMG' END
        ELSE 'Unknown' END AS role FROM ror""")
 def a11(t):
-    keys = px.counted_obs(t, opponent=False).select("entity", "season").distinct()
+    keys = px.entity_event(t).select("entity", "season").distinct()
     roles = joins.role_by_season(keys, px.stints(t), 1995, 2001)
     out = observation.rate_over_replacement(placed_obs(t), roles)
     for c, digits in (("replacement", 9), ("value", 9), ("total_value", 8)):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio
-from ..plans import exact_quantile, row_rank
+from ..plans import exact_quantile, pin, row_rank
 from .boards import top_k
 
 # Qualification minimum per split and the replacement percentile.
@@ -86,7 +86,7 @@ def rate_over_replacement(obs: DataFrame, roles: DataFrame | None = None,
     obs carries ``opponent_place`` (see ``with_places``); roles(entity, season, role) is optional.
     """
     minimum = F.create_map(*[F.lit(x) for item in (min_maps or MIN_MAPS).items() for x in item])
-    buckets = replacement_buckets(obs).withColumn("rate", ratio(F.col("good"), F.col("maps"))) \
+    buckets = pin(replacement_buckets(obs)).withColumn("rate", ratio(F.col("good"), F.col("maps"))) \
         .withColumn("_ok", F.col("maps") >= F.try_element_at(minimum, F.col("split")))
     sizes = buckets.groupBy("season", "split").agg(F.count_if("_ok").alias("qualified"), F.count(F.lit(1)).alias("with_maps"))
     fit = buckets.where("_ok").drop("_ok")

@@ -42,3 +42,10 @@ def test_query_matches_sql(spark, name):
     assert sorted(df.columns) == sorted(names) and len(got) == len(want)
     for g, w in zip(got, want):
         assert all(a == b or a == pytest.approx(b) for a, b in zip(g, w))
+
+
+def test_derived_tables_are_made_once_a_query(spark, distributed):
+    from podium.catalog import proxies
+    from podium.catalog.registry import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert proxies.placement(t) is proxies.placement(t) and proxies.entity_event(t) is proxies.entity_event(t)
