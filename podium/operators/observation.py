@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio
-from ..plans import exact_quantile, pin, row_rank
+from ..plans import bounded_parts, exact_quantile, pin, row_rank
 from .boards import top_k
 
 # Qualification minimum per split and the replacement percentile.
 MIN_MAPS = {"respawn": 28, "snd": 10}
 REPLACEMENT_PERCENTILE = 0.25
 STRONG_PLACE = 8
+#: input bytes whose totals one task expands into grains
+GRAIN_BYTES = 2 * 1024 * 1024
 
 GRAINS: dict[str, list[str]] = {
     "overall": [], "split": ["split"], "mode": ["mode"], "season": ["season"],
@@ -22,24 +24,39 @@ GRAINS: dict[str, list[str]] = {
 
 
 def stat_grains(obs: DataFrame, grains: dict[str, list[str]] | None = None) -> DataFrame:
-    """All grains in one aggregation over totals pre-summed to the finest combination."""
+    """All grains in one aggregation over totals pre-summed to the finest combination.
+
+    Those totals are dealt out by entity, which every grain keeps, into tasks of bounded size; the rest needs no further exchange.
+    Events and teams are counted as the distinct rows of a first aggregation, which also carries all sums under the event.
+    """
     grains = grains or GRAINS
-    fine = obs.groupBy("entity", "season", "event", "mode", "split", "team").agg(
+    dims = ["season", "event", "mode", "split"]
+    fine = obs.groupBy("entity", *dims, "team").agg(
         F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("maps"),
         F.count_if("won").alias("wins"), F.count("won").alias("known"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    dims = ["season", "event", "mode", "split"]
-    label = F.lit(None).cast("string")
-    for name, keys in grains.items():
-        bits = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in keys)
-        label = F.when(F.grouping_id() == bits, name).otherwise(label)
-    sets = [[F.col("entity"), *[F.col(k) for k in keys]] for keys in grains.values()]
-    summed = fine.groupingSets(sets, "entity", *dims).agg(
-        label.alias("grain"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("maps").alias("maps"),
-        F.sum("wins").alias("wins"), F.sum("known").alias("known"),
-        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
-        F.count_distinct("event").alias("events"), F.count_distinct("team").alias("teams"))
-    return (summed.withColumn("total", F.col("good") + F.col("bad"))
+    totals = ["good", "bad", "maps", "wins", "known"]
+    figures = [*totals, "first_date", "last_date"]
+
+    def empty(c: str) -> Column:
+        return F.lit(None).cast(fine.schema[c].dataType)
+
+    def entry(name: str, keys: list[str], by_team: bool) -> Column:
+        kept = [(F.col(d) if d in keys else empty(d)).alias(d) for d in dims]
+        counted = [empty("event").alias("_event"), F.col("team").alias("_team")] if by_team else [F.col("event").alias("_event"), empty("team").alias("_team")]
+        return F.struct(F.lit(name).alias("grain"), F.lit(by_team).alias("_by_team"), *kept, *counted,
+                        *[(empty(c) if by_team else F.col(c)).alias(c) for c in figures])
+
+    entries = F.array(*[entry(name, keys, by_team) for name, keys in grains.items() for by_team in (False, True)])
+    long = fine.repartition(bounded_parts(fine, GRAIN_BYTES), "entity").select("entity", F.explode(entries).alias("_e")).select("entity", "_e.*")
+
+    def summed(*more: Column) -> list[Column]:
+        return [*[F.sum(c).alias(c) for c in totals], F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), *more]
+
+    groups = ["entity", *dims, "grain"]
+    distinct = long.groupBy(*groups, "_by_team", "_event", "_team").agg(*summed())
+    grouped = distinct.groupBy(*groups).agg(*summed(F.count("_event").alias("events"), F.count("_team").alias("teams")))
+    return (grouped.withColumn("total", F.col("good") + F.col("bad"))
             .withColumn("ratio", F.round(ratio(F.col("good"), F.col("bad")), 3))
             .withColumn("losses", F.col("known") - F.col("wins"))
             .withColumn("win_rate", ratio(F.col("wins"), F.col("known"))).drop("known"))

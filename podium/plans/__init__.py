@@ -1,5 +1,5 @@
 from .ordered import competition_rank, competition_ranks, exact_quantile, prefix_counts, row_rank
-from .sizing import broadcast_if_small, input_bytes, is_small, pin
+from .sizing import bounded_parts, broadcast_if_small, input_bytes, is_small, pin
 
 __all__ = ["competition_rank", "competition_ranks", "exact_quantile", "prefix_counts", "row_rank",
-           "broadcast_if_small", "input_bytes", "is_small", "pin"]
+           "bounded_parts", "broadcast_if_small", "input_bytes", "is_small", "pin"]

@@ -41,6 +41,17 @@ def test_stat_grains(frame):
     assert top["win_rate"] == 0.5
 
 
+def test_stat_grains_expand_within_tasks_of_an_entity(frame):
+    rows = [(1, 1, "e1", "HP", "respawn", None, 3, 2, True, "2001-01-01"), (1, 2, None, "HP", "respawn", "t", 4, 0, None, "2001-01-02"), (1, 2, "e2", "HP", None, "u", 5, 1, False, "2001-01-03")]
+    df = observation.stat_grains(obs_rows(frame, rows))
+    got = {(r["grain"], r["season"], r["event"], r["split"]): (r["good"], r["events"], r["teams"], r["wins"], r["losses"]) for r in df.collect()}
+    assert got["overall", None, None, None] == (12, 2, 2, 1, 1) and got["season", 2, None, None] == (9, 1, 2, 0, 1)
+    assert got["event", 2, None, None] == (4, 0, 1, 0, 0) and got["split", None, None, None] == (5, 1, 1, 0, 1) and len(got) == 15
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # rows multiplied ahead of an exchange
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 def test_best_fact_needs_a_reviewed_decision(frame):
     facts = frame("entity string, event string, place_x2 int, team string", ("p", "e", 21, "A"), ("p", "e", 21, "B"), ("q", "e", 29, "A"), ("q", "e", 7, "C"))
     assert {r["entity"]: r["status"] for r in quality.best_fact(facts).collect()} == {"p": "conflict", "q": "single"}
