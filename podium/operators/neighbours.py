@@ -31,7 +31,7 @@ SLACK = 2e-9
 def profiles(scaled: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Rows with equal features, roles and event set collapse to one profile with its k + 1 smallest members."""
     content = F.to_json(F.struct("vec", F.sort_array(F.map_entries("roles")).alias("roles"), "set_id"))
-    keyed = scaled.withColumn("profile", F.sha2(content, 256))
+    keyed = pin(scaled.withColumn("profile", F.sha2(content, 256)))
     members = keyed.select("profile", "entity")
     few = top_k(members, ["profile"], [("entity", True)], k + 1).groupBy("profile").agg(F.sort_array(F.collect_list("entity")).alias("ids"))
     one = keyed.groupBy("profile").agg(*[F.first(c).alias(c) for c in ("vec", "roles", "set_id")])
@@ -68,9 +68,9 @@ class Kernel:
 
 
 def _blocks(rows: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
-    """Rows of a key packed into blocks of about ``BLOCK``."""
+    """Rows of a key packed into blocks of about ``BLOCK``; of a cell only its size is broadcast, as its box is."""
     sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    spread = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")))
+    spread = rows.join(F.broadcast(sizes), key).withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")))
     return spread.groupBy(key, "block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
 
 
@@ -173,7 +173,8 @@ def _pairs(profile_rows: DataFrame, sp: Space, k: int | None, limit: float | Non
                                                   theirs.field("entity").take(pa.array(at)), pa.array(d[row, at])], names=["profile", "ids", "other", "distance"])
 
     types = f"profile string, {_ddl(rows, ['ids'])}, other string, distance double"
-    return queries.join(cells, "cell").select("asked", "offered").mapInArrow(compare, types)
+    # Spark's size estimate does not know how many cells a row goes to and would broadcast blocks, which pass through the driver
+    return queries.hint("merge").join(cells, "cell").select("asked", "offered").mapInArrow(compare, types)
 
 
 def nearest(scaled: DataFrame, sp: Space, k: int, sets: DataFrame | None = None, mates: DataFrame | None = None) -> DataFrame:
