@@ -18,6 +18,10 @@ COVERAGE = "CASE season % 3 WHEN 0 THEN 'end_of_title' WHEN 1 THEN 'late_season'
 
 
 def all_ballots(t: Tables):
+    return t.once("all_ballots", _all_ballots)
+
+
+def _all_ballots(t: Tables):
     """One ballot per order with lines; sources are (season, priority), and each single ballot is a source of its own."""
     placed = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     rows = t("orders").join(placed, "o_orderkey", "left_semi").selectExpr(
@@ -188,7 +192,7 @@ SELECT entity, ranked_seasons, top_1, top_3, top_5, top_10, placements, events,
 
 
 def rollup(t):
-    return consensus.cross_season_rollup(consensus_table(t), px.counted_obs(t, opponent=False).select("entity", "season", "event"), px.wins(t))
+    return consensus.cross_season_rollup(consensus_table(t), px.entity_event(t).select("entity", "season", "event"), px.wins(t))
 
 
 @query("a22_cross_season_rollup", "SELECT * FROM rolled")

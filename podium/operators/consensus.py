@@ -14,7 +14,7 @@ def ballot_entries(votes: DataFrame) -> DataFrame:
     """votes(source_id, ballot_id, entity, position) -> one entry per ballot and entity with its rank and ballot size."""
     best = votes.groupBy("source_id", "ballot_id", "entity").agg(F.min("position").alias("position"))
     ranked = row_rank(best, ["ballot_id"], [("position", True), ("entity", True)])
-    sizes = best.groupBy("ballot_id").agg(F.count(F.lit(1)).alias("size"))
+    sizes = ranked.groupBy("ballot_id").agg(F.count(F.lit(1)).alias("size"))
     return ranked.join(sizes, "ballot_id").withColumn("points", weights.ballot_points(F.col("rank"), F.col("size")))
 
 
