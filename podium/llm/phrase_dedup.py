@@ -87,7 +87,8 @@ def _recurring(rows: DataFrame, window: int, hot: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(seed.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, end - first) for i in (0, 1)), lists], ["doc", "sum", "seeds"])
 
-    seeds = pin(rows.mapInArrow(emit, "doc long, sum int, seeds array<long>")).select("doc", "sum", F.explode("seeds").alias("seed"))
+    # found again for the count and the join: written, all seeds would take three quarters of the input on disk
+    seeds = rows.mapInArrow(emit, "doc long, sum int, seeds array<long>").select("doc", "sum", F.explode("seeds").alias("seed"))
     often = seeds.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > hot).alias("hot"))
     return (seeds.join(often, "seed").groupBy("doc", "sum")
             .agg(F.collect_set(F.struct("seed", "hot")).alias("found")).select("doc", "sum", F.col("found.seed").alias("seeds"), F.col("found.hot").alias("hots")))

@@ -229,3 +229,13 @@ def test_one_of_each_keeps_rows_and_columns(spark):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 8, 9]
     assert jaccard_join.linked(cases.empty(spark)).count() == 0
+
+
+def test_phrase_seeds_are_not_written(spark, monkeypatch):
+    """op4: all seeds of the corpus take most of the input's size; only those that recur may go on."""
+    def fail(df):
+        raise AssertionError("seeds are written")
+    monkeypatch.setattr(phrase_dedup, "pin", fail)
+    passage = " ".join(f"w{i}" for i in range(20))
+    found = phrase_dedup._recurring(phrase_dedup._rows(cases.table(spark, [(1, passage), (2, passage), (3, "short")])), 13, 9).collect()
+    assert sorted(r["doc"] for r in found) == [1, 2]

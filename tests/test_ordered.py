@@ -56,3 +56,22 @@ def test_weighted_prefix_counts(spark, distributed):
     df = spark.sql("SELECT * FROM VALUES (10, 1), (8, 1), (9, 0), (8, 1), (1, 0) AS t(v, w)")
     got = {r["v"]: (r["n_before"], r["n_same"]) for r in prefix_counts(df, [], [("v", False)], "w").collect()}
     assert got == {10: (0, 1), 9: (1, 0), 8: (1, 2), 1: (3, 0)}
+
+
+def test_pin_keeps_no_shuffle_files(spark):
+    """op4: what a pinned table was shuffled from is of no use once the table is written."""
+    import gc
+    import time
+    from podium.plans import pin
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    gc.collect()
+    before, deadline = shuffled(), time.time() + 10
+    table = pin(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 7
