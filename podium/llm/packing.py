@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,45 +32,46 @@ from .tables import pin, texts
 
 SIZE = 2048
 END = b"\0\0\0\0"
-#: words remembered by a Python worker; a bound on its memory only
-REMEMBERED = 400_000
 #: fillings tried around one length, and steps of the search
 WIDTH, NODES = 6, 20_000
 BUCKET_ROWS = 50_000
-#: a space at an edge of the text or beside other white space
-UNEVEN = re.compile(r"^ | $|\s | \s")
+#: a run of white space that may outgrow the stack of the pattern's look-ahead; a text is cut around it
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+#: public_tokenizers.PATTERN without steps back: white space at the end of a text is one match of any length
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Encoder(dict):
-    """A word without its leading space -> the ids of ' ' + word, as unsigned little-endian 32-bit numbers.
+class _Encoder:
+    """Ids of a text as unsigned little-endian 32-bit numbers.
 
-    Byte-level BPE never joins a character with the space after it, so a text without uneven spaces is
-    the concatenation of its words."""
+    A text is encoded whole: so many words are rare that looking each one up and keeping it takes longer."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = np.array(self.encode(" " + word), "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = made
-        return made
+        self.encode = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if UNEVEN.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        head, *words = text.split(" ")
-        return np.array(self.encode(head), "<u4").tobytes() + b"".join(map(self.__getitem__, words))
+        if len(text) >= 100_000 and RUN.search(text):
+            return b"".join(map(self._ids, self._parts(text)))
+        return self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(array("I", self.encode(text)), "<u4").tobytes()
+
+    @staticmethod
+    def _parts(text: str) -> Iterator[str]:
+        """Text cut before and after long runs of white space; the last character of a run goes with the word after it."""
+        at = 0
+        for run in RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            yield text[at:run.start()]
+            yield text[run.start():end]
+            at = end
+        yield text[at:]
 
 
 @lru_cache(maxsize=2)

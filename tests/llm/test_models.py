@@ -270,6 +270,26 @@ def test_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(code.ids(text), "<u4").tolist() == want.ids
 
 
+def test_a_text_is_encoded_at_once(monkeypatch):
+    code, asked = packing.encoder(packing.default_ranks()), []
+    encode = code.encode
+    monkeypatch.setattr(code, "encode", lambda text: asked.append(text) or encode(text))
+    texts = [f"n{i}ab wi{i}ch lo{i}mu, er{i}to" for i in range(50)]  # words met once
+    for text in texts:
+        code.ids(text)
+    assert asked == texts
+
+
+def test_ids_of_long_white_space_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    code, n = packing.encoder(packing.default_ranks()), 1_000_000  # more than the look-ahead has stack for
+    runs = [" " * n, "\n" * n, " \n\t" * (n // 3), "\u3000" * 100_000]
+    for text in [r for run in runs for r in (run, "a " + run, run + "b", "don't " + run + "stop, 12")] + [runs[0] + "a" + runs[1] + "b c", runs[3] + " é" + runs[0]]:
+        assert np.frombuffer(code.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_layout(rows, size):
     by = {}
     for r in rows:
