@@ -202,6 +202,33 @@ def test_blocks_of_rows_are_never_broadcast(spark):
         assert "SortMergeJoin [cell#" in plan and "BroadcastHashJoin [cell#" not in plan.split("SortMergeJoin [cell#")[0]
 
 
+def test_pairs_within_distance_are_never_shuffled(spark, monkeypatch):
+    """Pairs of members leave the task that finds them; copies and tiles of several boxes, and boxes of several tiles, lose none."""
+    for name, value in (("TILE", 16), ("HELD", 4), ("STRIPE", 8), ("PAIRS", 32)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    df, rows = random_points(spark, 150, 5)
+    made = neighbours.within_distance(df, SPACE, 0.2)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan[:plan.index("MapInArrow")] and plan.count("offered#") > 0
+    got = made.collect()
+    found = {(r["a"], r["b"]): r["distance"] for r in got}
+    want = {(a[0], b[0]): brute_distance(a, b) for a, b in itertools.combinations(rows, 2) if round(brute_distance(a, b), 9) <= 0.2}
+    assert len(got) == len(found) and found == pytest.approx(want)
+
+
+def test_a_join_sends_a_row_to_near_tiles_only(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    monkeypatch.setattr(neighbours, "CELL", 8)
+    routed = []
+    route = neighbours._routed
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: routed.append(route(*a)) or routed[-1])
+    rows = [(i, [10.0 * (i % 8) + i / 1000] * 4, None) for i in range(160)]
+    df = spark.createDataFrame(rows, "entity long, vec array<double>, roles map<int,string>")
+    assert neighbours.within_distance(df, SPACE, 0.1).count() == 8 * 190
+    sent = [r["cells"] for r in routed[0].collect()]
+    assert max(map(len, sent)) <= 4 and max(map(max, sent)) >= 9
+
+
 def test_medoids_cannot_be_improved_by_a_swap(spark):
     df, rows = random_points(spark, 40, 3)
     labels = clustering.cluster(df, SPACE, 3).collect()
